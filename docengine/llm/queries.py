@@ -1,0 +1,103 @@
+"""Queries of the training-data problems over whole tables, and SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docengine.llm import boilerplate, leakage, mixture, splitting, template_residue
+from docengine.plans.staging import read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_oversized(read_table(spark, sf_dir, "pages"))
+    return pieces.filter("piece_no = 1").select("page_id", "boundary")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(read_table(spark, sf_dir, "pages"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = boilerplate.repeated_lines(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "source_files"))
+    return lines.select("page_id", "line_no")
+
+
+def p5_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.strip_repeated(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "source_files"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixture.source_plan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "source_targets"))
+    return plan.select("source", "copies", "status")
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "source_targets"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "source_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_residue.residue(read_table(spark, sf_dir, "documents"))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_residue.without_residue(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang")
+
+
+def queries() -> dict[str, Query]:
+    named = (p3_found, p3_pieces, p5_found, p5_stripped, p7_found, p8_found, p8_mixture, p8_report, p9_found, p9_kept)
+    return {f.__name__: f for f in named}
+
+
+_P3 = r"""
+WITH page AS (SELECT page_id, arg_max(cleaned_text, extracted_at) AS t FROM pages GROUP BY page_id),
+long AS (SELECT page_id, regexp_split_to_array(t, '\n\s*\n') AS pars, t FROM page WHERE length(t) > 2000),
+units AS (SELECT page_id, pars, string_split(array_to_string(list_transform(pars, lambda p: regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g')), chr(1)), chr(1)) AS sens,
+                 regexp_split_to_array(t, '\s+') AS words FROM long),
+size AS (SELECT page_id, list_max(list_transform(pars, lambda u: length(regexp_replace(u, '^\s+|\s+$', '', 'g')))) AS p,
+                list_max(list_transform(sens, lambda u: length(regexp_replace(u, '^\s+|\s+$', '', 'g')))) AS s,
+                list_max(list_transform(words, lambda u: length(u))) AS w FROM units)
+SELECT page_id, CASE WHEN p <= 2000 THEN 'paragraph' WHEN s <= 2000 THEN 'sentence' WHEN w <= 2000 THEN 'word' ELSE 'none' END AS boundary FROM size
+"""
+
+_P5 = r"""
+WITH page AS (SELECT page_id, arg_max(document_id, extracted_at) AS document_id, arg_max(cleaned_text, extracted_at) AS t FROM pages WHERE cleaned_text <> '' GROUP BY page_id),
+src AS (SELECT document_id, coalesce(arg_max(insurer, ingested_at), '') AS source FROM source_files GROUP BY document_id),
+line AS (SELECT source, document_id, page_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM page JOIN src USING (document_id)),
+form AS (SELECT source, document_id, page_id, CAST(line_no AS INT) AS line_no, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '\s+', ' ', 'g')) AS form FROM line),
+docs AS (SELECT source, count(DISTINCT document_id) AS n FROM form GROUP BY source),
+freq AS (SELECT source, form, count(DISTINCT document_id) AS d FROM form WHERE form <> '' GROUP BY source, form),
+gone AS (SELECT source, form FROM freq JOIN docs USING (source) WHERE d >= 3 AND d >= 0.1 * n)
+SELECT page_id, line_no FROM form JOIN gone USING (source, form)
+"""
+
+_P7 = r"""
+WITH item AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+gram AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM item WHERE len(w) >= 12)),
+seen AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM doc WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM seen JOIN gram USING (g)
+"""
+
+_P8 = r"""
+WITH tok AS (SELECT source, sum(coalesce(len(regexp_extract_all(text, '[\p{L}\p{Nd}]+|[^\s\p{L}\p{Nd}]')), 0)) AS n FROM documents GROUP BY source),
+plan AS (SELECT t.source, t.target_share AS a, t.max_repeats AS m, CAST(coalesce(n, 0) AS BIGINT) AS n FROM source_targets t LEFT JOIN tok USING (source)),
+need AS (SELECT source, m, n, a * (SELECT sum(n) FROM plan) AS need FROM plan),
+pick AS (SELECT source, m, n, need, coalesce(list_min(list_filter(range(0, m + 1), lambda c: c * n >= need)), m) AS c FROM need)
+SELECT source, CAST(CASE WHEN n = 0 THEN 0 ELSE c END AS INT) AS copies, CASE WHEN n > 0 AND c * n >= need THEN 'met' ELSE 'short' END AS status FROM pick
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p3_found": _P3, "p5_found": _P5, "p7_found": _P7, "p8_found": _P8}
