@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docengine.plans.staging import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 Q = 12  # characters of a q-gram
 BAND = 64  # width of a diagonal band; bands overlap by half
 #: Bytes of item text up to which the index is sent to every task; more is processed in slices of this size.

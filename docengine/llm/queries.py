@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docengine.llm import boilerplate, leakage, mixture, splitting, template_residue
+from docengine.llm import answer_pairs, boilerplate, leakage, mixture, near_duplicates, splitting, template_residue, vector_neighbours
 from docengine.plans.staging import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = vector_neighbours.neighbour_pairs(read_table(spark, sf_dir, "chunk_vectors"))
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_neighbours.nearest(read_table(spark, sf_dir, "chunk_vectors"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_oversized(read_table(spark, sf_dir, "pages"))
     return pieces.filter("piece_no = 1").select("page_id", "boundary")
@@ -21,6 +31,10 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(read_table(spark, sf_dir, "pages"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer_pairs.defects(read_table(spark, sf_dir, "query_requests"), read_table(spark, sf_dir, "query_responses"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = boilerplate.repeated_lines(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "source_files"))
     return lines.select("page_id", "line_no")
@@ -30,6 +44,15 @@ def p5_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.strip_repeated(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "source_files"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_duplicates.near_duplicate_pairs(read_table(spark, sf_dir, "chunks"))
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(read_table(spark, sf_dir, "chunks"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -56,7 +79,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p3_found, p3_pieces, p5_found, p5_stripped, p7_found, p8_found, p8_mixture, p8_report, p9_found, p9_kept)
+    named = (p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p5_found, p5_stripped, p6_found, p6_groups, p7_found, p8_found, p8_mixture, p8_report, p9_found, p9_kept)
     return {f.__name__: f for f in named}
 
 

@@ -10,6 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docengine.plans.staging import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 _BLANK_LINE = r"(?U)\n\s*\n"
 _SENTENCE = r"(?U)(?<=[.!?])\s+"
 _WORDS = re.compile(r"[^\W\d_]{3,}")
