@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,8 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_with_tasks(module_name: str) -> None:
+    """Send the module's functions to Python workers by value, so that executors need not have the package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
