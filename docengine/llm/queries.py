@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import answer_pairs, boilerplate, leakage, mixture, near_duplicates, splitting, template_residue, vector_neighbours
+from docengine.llm import answer_pairs, boilerplate, leakage, mixture, near_duplicates, ocr_repair, splitting, template_residue, vector_neighbours
 from docengine.plans.staging import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr_repair.line_defects(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "source_files"))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr_repair.repaired_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "source_files"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = vector_neighbours.neighbour_pairs(read_table(spark, sf_dir, "chunk_vectors"))
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
@@ -79,7 +87,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p5_found, p5_stripped, p6_found, p6_groups, p7_found, p8_found, p8_mixture, p8_report, p9_found, p9_kept)
+    named = (p1_found, p1_repaired, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p5_found, p5_stripped, p6_found, p6_groups, p7_found, p8_found, p8_mixture, p8_report, p9_found, p9_kept)
     return {f.__name__: f for f in named}
 
 
