@@ -102,7 +102,7 @@ def latest_pairs(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 def _plain(text: Column) -> Column:
     """Without tags, invisible characters and citations, trimmed."""
-    clean = F.regexp_replace(text, r"(?s)<!--.*?-->|</?[a-zA-Z][^<>]{0,80}>|&nbsp;|[​-‏⁠﻿­]", " ")
+    clean = F.regexp_replace(text, r"(?s)<!--.*?-->|</?[a-zA-Z][^<>]{0,80}>|&nbsp;|[\u200b-\u200f\u2060\ufeff\u00ad]", " ")
     return F.regexp_replace(F.regexp_replace(clean, _CITATION, " "), r"(?U)^\s+|\s+$", "")
 
 

@@ -20,7 +20,7 @@ GLYPHS, MEANT = "i1!|05$@+68£€¢c9", "lllloss" + "at" + "bb" + "eeee" + "g"
 #: Letters that look like two others; applied in this order.
 DOUBLE = (("m", "rrl"), ("n", "rl"), ("d", "el"), ("h", "ll"), ("u", "ll"), ("w", "vv"))
 #: Marks at a line's end that divide a word.
-DIVIDES = "-¬‐­"
+DIVIDES = "-¬‐\u00ad–"
 #: Digits and what they are misread as.
 DIGITS_READ, DIGITS_MEANT = "OoQlIi|!SsBZzbgq", "0001111155822699"
 
