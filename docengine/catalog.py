@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from docengine.queries import text_queries
+from docengine.queries.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (text_queries,)
+FLAGSHIP = "e14_strategy_report"
 
-FLAGSHIP = ""
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: q for m in _MODULES for name, q in m.query.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for m in _MODULES for name, s in m.query.sql.items()}
