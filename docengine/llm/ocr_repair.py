@@ -120,7 +120,7 @@ def content_lines(scans: DataFrame, running: DataFrame) -> DataFrame:
 def _tokens(text: Column) -> Column:
     low = F.lower(F.regexp_replace(text, _CODE, " "))
     kept = F.regexp_replace(low, rf"[^{_GLYPH}ﬁﬂ\-]+", " ")
-    return F.split(F.regexp_replace(kept, r"(?<=[ ]|^)-+|-+(?=[ ]|$)", " "), " +")
+    return F.split(F.regexp_replace(F.concat(F.lit(" "), kept, F.lit(" ")), r" -+|-++ ", " "), " +")
 
 
 def _is_word(token: Column) -> Column:
@@ -138,10 +138,10 @@ def divided_words(lines: DataFrame) -> DataFrame:
 
 def word_forms(texts: DataFrame, divided: DataFrame) -> DataFrame:
     """prev, form, n, clean: how often each form follows each other form in all pages, and how often in pages that were not scanned."""
-    whole = F.regexp_replace("text", rf"(?U)\S+[{DIVIDES}] *\n\s*\S+", " \n ")
+    whole = F.regexp_replace("text", rf"(?<!\S)\S++(?<=[{DIVIDES}]) *+\n\s*+\S++", " \n ")
     words = texts.select("scanned", _tokens(whole).alias("w"))
     pairs = words.select("scanned", F.explode(F.transform("w", lambda t, i: F.struct(F.when(i > 0, F.get("w", i - 1)).otherwise(F.lit("")).alias("prev"), t.alias("form")))).alias("x")).select("scanned", "x.prev", "x.form")
-    pairs = pairs.filter(_is_word(F.col("form"))).groupBy("prev", "form").agg(F.count("*").alias("n"), F.count(F.when(~F.col("scanned"), 1)).alias("clean"))
+    pairs = pairs.filter("length(form) > 1").groupBy("prev", "form").agg(F.count("*").alias("n"), F.count(F.when(~F.col("scanned"), 1)).alias("clean")).filter(_is_word(F.col("form")))
     joined = divided.select(F.lit("").alias("prev"), F.explode(F.split(F.lower(F.concat("head", "tail")), "-")).alias("form")).filter(_is_word(F.col("form")))
     return pairs.unionByName(joined.groupBy("prev", "form").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("clean")))
 
