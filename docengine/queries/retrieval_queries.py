@@ -42,7 +42,7 @@ COS = f"""wt AS (SELECT chunk_id, tok, count(*) AS tf FROM (SELECT chunk_id, unn
 qw AS (SELECT qid, tok, count(*) AS qtf FROM (SELECT qid, unnest({_WTOK.format('qtext')}) AS tok FROM q) GROUP BY qid, tok),
 qn AS (SELECT qid, sqrt(sum(qtf * qtf)) AS qn, count(*) AS qs FROM qw GROUP BY qid), dn AS (SELECT chunk_id, sqrt(sum(tf * tf)) AS dn, count(*) AS ds FROM wt GROUP BY chunk_id),
 cs AS (SELECT qid, chunk_id, round(dot / (qn * dn), 6) AS sim, shared, shared / (qs + ds - shared) AS jac FROM (SELECT qid, chunk_id, sum(qtf * tf) AS dot, count(*) AS shared FROM wt JOIN qw USING (tok) GROUP BY qid, chunk_id) JOIN qn USING (qid) JOIN dn USING (chunk_id))"""
-_BOOST = "round(CASE chunk_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lx.TYPE_BOOST.items()) + " ELSE 0.0 END + CASE WHEN coalesce(table_id, '') <> '' THEN 0.08 ELSE 0.0 END, 6)"
+_BOOST = "round(CASE chunk_type " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in lx.TYPE_BOOST.items()) + " ELSE 0e0 END + CASE WHEN coalesce(table_id, '') <> '' THEN 0.08e0 ELSE 0e0 END, 6)"
 
 
 def best(score: str, k: int, by: str = "qid") -> str:
@@ -204,10 +204,10 @@ def q02_first_intent(t: Tables) -> DataFrame:
         understanding.is_comparison(F.col("query")).alias("comparison"), understanding.is_small_talk(F.col("query")).alias("small_talk"), understanding.in_domain(F.col("query")).alias("in_domain"))
 
 
-_MULTI = ", ".join(f"CASE WHEN regexp_matches(lower(query), '{p}') THEN 1.0 ELSE 0.0 END AS {k}" for k, p in lx.ROUTER_INTENTS.items())
+_MULTI = ", ".join(f"CASE WHEN regexp_matches(lower(query), '{p}') THEN 1e0 ELSE 0e0 END AS {k}" for k, p in lx.ROUTER_INTENTS.items())
 
 
-@query(f"WITH {_PRE}, m AS (SELECT request_id, {_MULTI} FROM pre) SELECT *, CASE WHEN exclusion + coverage + claim + premium + waiting_period + definition > 0 THEN 0.0 ELSE 1.0 END AS general FROM m")
+@query(f"WITH {_PRE}, m AS (SELECT request_id, {_MULTI} FROM pre) SELECT *, CASE WHEN exclusion + coverage + claim + premium + waiting_period + definition > 0 THEN 0e0 ELSE 1e0 END AS general FROM m")
 def q03_multi_intent(t: Tables) -> DataFrame:
     q = requests_of(t.query_requests).filter("query is not null").select("request_id", understanding.preprocess(F.col("query")).alias("query"))
     return q.select("request_id", *[c.alias(k) for k, c in retrieval.router_intents(F.col("query")).items()])
@@ -218,7 +218,7 @@ _NWORDS = "len(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <>
 
 @query(rf"""WITH {_PRE}, f AS (SELECT request_id, query, {_case(lx.FIRST_INTENTS, 'lower(query)')} AS intent FROM pre),
 g AS (SELECT *, ends_with(query, '?') AND substr(query, 1, 1) = upper(substr(query, 1, 1)) AND substr(query, 1, 1) <> lower(substr(query, 1, 1)) AND {_NWORDS} >= 6 AND intent <> 'general' AS clean FROM f)
-SELECT request_id, clean, CASE WHEN clean THEN 0.98 ELSE 0.5 END AS intent_confidence, upper(substr(regexp_replace(query, '[.!?\s]+$', ''), 1, 1)) || substr(regexp_replace(query, '[.!?\s]+$', ''), 2) || '?' AS normalized FROM g""")
+SELECT request_id, clean, CASE WHEN clean THEN 0.98e0 ELSE 0.5e0 END AS intent_confidence, upper(substr(regexp_replace(query, '[.!?\s]+$', ''), 1, 1)) || substr(regexp_replace(query, '[.!?\s]+$', ''), 2) || '?' AS normalized FROM g""")
 def q07_clean_query(t: Tables) -> DataFrame:
     q = requests_of(t.query_requests).filter("query is not null").select("request_id", understanding.preprocess(F.col("query")).alias("query"))
     clean = understanding.is_clean(F.col("query"))
@@ -234,7 +234,7 @@ def q10_rewrite(t: Tables) -> DataFrame:
     return requests_of(t.query_requests).filter("query is not null").select("request_id", understanding.rewrite(F.col("query")).alias("rewritten"))
 
 
-@query(f"WITH {BASE}, {BM25}, {COS}, {hybrid_sql(10)} SELECT qid, chunk_id, sim, coalesce(norm, 0.0) AS norm, boost, retrieval_score FROM hits {best('retrieval_score', 10)}")
+@query(f"WITH {BASE}, {BM25}, {COS}, {hybrid_sql(10)} SELECT qid, chunk_id, sim, coalesce(norm, 0e0) AS norm, boost, retrieval_score FROM hits {best('retrieval_score', 10)}")
 def r03_hybrid_fusion(t: Tables) -> DataFrame:
     hits = retrieval.top(retrieval.hybrid(asked(t), docs_of(t), 10), 10, "retrieval_score")
     return hits.select("qid", "chunk_id", "sim", F.coalesce("norm", F.lit(0.0)).alias("norm"), "boost", "retrieval_score")
@@ -248,11 +248,11 @@ def r06_neighbour_expand(t: Tables) -> DataFrame:
 
 
 _WANT = {k: f"regexp_matches(lower(qtext), '{p}')" for k, p in lx.ROUTER_INTENTS.items()}
-_INTENT = f"""round(CASE WHEN {_WANT['exclusion']} AND chunk_type = 'exclusion' THEN 0.35 ELSE 0.0 END + CASE WHEN {_WANT['exclusion']} AND contains(lower(text), 'not covered') THEN 0.25 ELSE 0.0 END
-+ CASE WHEN {_WANT['coverage']} AND chunk_type IN ('table_row', 'table_meta') THEN 0.15 ELSE 0.0 END + CASE WHEN {_WANT['coverage']} AND contains(lower(text), 'covered') THEN 0.10 ELSE 0.0 END
-+ CASE WHEN {_WANT['claim']} AND contains(lower(text), 'claim') THEN 0.25 ELSE 0.0 END + CASE WHEN {_WANT['premium']} AND contains(lower(text), 'premium') THEN 0.25 ELSE 0.0 END
-+ CASE WHEN {_WANT['waiting_period']} AND contains(lower(text), 'waiting') THEN 0.30 ELSE 0.0 END, 6)"""
-_KEYWORD = f"round(0.1 * len(list_filter({_BTOK.format('qtext')}, lambda w: contains(lower(text), w))) + CASE chunk_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lx.RERANK_BOOST.items()) + " ELSE 0.0 END, 6)"
+_INTENT = f"""round(CASE WHEN {_WANT['exclusion']} AND chunk_type = 'exclusion' THEN 0.35e0 ELSE 0.0e0 END + CASE WHEN {_WANT['exclusion']} AND contains(lower(text), 'not covered') THEN 0.25e0 ELSE 0.0e0 END
++ CASE WHEN {_WANT['coverage']} AND chunk_type IN ('table_row', 'table_meta') THEN 0.15e0 ELSE 0.0e0 END + CASE WHEN {_WANT['coverage']} AND contains(lower(text), 'covered') THEN 0.10e0 ELSE 0.0e0 END
++ CASE WHEN {_WANT['claim']} AND contains(lower(text), 'claim') THEN 0.25e0 ELSE 0.0e0 END + CASE WHEN {_WANT['premium']} AND contains(lower(text), 'premium') THEN 0.25e0 ELSE 0.0e0 END
++ CASE WHEN {_WANT['waiting_period']} AND contains(lower(text), 'waiting') THEN 0.30e0 ELSE 0.0e0 END, 6)"""
+_KEYWORD = f"round(0.1e0 * len(list_filter({_BTOK.format('qtext')}, lambda w: contains(lower(text), w))) + CASE chunk_type " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in lx.RERANK_BOOST.items()) + " ELSE 0e0 END, 6)"
 
 
 @query(f"""WITH {BASE}, {COS}, near AS (SELECT qid, chunk_id, sim FROM cs {best('sim', 20)})

@@ -98,12 +98,12 @@ def t28_caption_lines(t: Tables) -> DataFrame:
     return cleaning.caption_lines(pages_of(t.pages))
 
 
-@query(f"""WITH {PAGE} SELECT document_id, count(*) AS pages, coalesce(count_if(used_ocr), 0) AS ocr_pages, round(100.0 * coalesce(count_if(used_ocr), 0) / count(*), 2) AS ocr_percentage FROM page GROUP BY document_id""")
+@query(f"""WITH {PAGE} SELECT document_id, count(*) AS pages, CAST(coalesce(count_if(used_ocr), 0) AS BIGINT) AS ocr_pages, round(100.0 * coalesce(count_if(used_ocr), 0) / count(*), 2) AS ocr_percentage FROM page GROUP BY document_id""")
 def t29_ocr_stats(t: Tables) -> DataFrame:
     return cleaning.ocr_stats(pages_of(t.pages))
 
 
-@query(f"""WITH {PAGE}, {FILE} SELECT insurer, count(DISTINCT document_id) AS documents, count(page_id) AS pages, coalesce(count_if(table_text <> ''), 0) AS table_pages,
+@query(f"""WITH {PAGE}, {FILE} SELECT insurer, count(DISTINCT document_id) AS documents, count(page_id) AS pages, CAST(coalesce(count_if(table_text <> ''), 0) AS BIGINT) AS table_pages,
 CAST(sum(length(raw_text)) AS BIGINT) AS raw_chars, CAST(sum(length(cleaned_text)) AS BIGINT) AS clean_chars FROM file LEFT JOIN page USING (document_id) GROUP BY insurer""")
 def t32_dataset_summary(t: Tables) -> DataFrame:
     return cleaning.dataset_summary(files_of(t.source_files), pages_of(t.pages))
