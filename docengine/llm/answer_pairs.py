@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docengine.plans.staging import ship_with_tasks, small_side, stage
 
@@ -143,7 +144,7 @@ def _same_words(answer: list[str], query: list[str]) -> list[str]:
 _REFUSAL_TOKENS = [t.split() for t in REFUSALS]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _aligned(query: pd.Series, answer: pd.Series) -> pd.Series:
     """copied or refusal by the longest common subsequence of tokens, else null. Called for candidates only."""
 
