@@ -1,0 +1,29 @@
+"""Places where models plug in. Each is a function on columns; the defaults need no model."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from docengine.functions import text as tx
+
+
+def _jaccard_judge(question: Column, answer: Column) -> Column:
+    return tx.jaccard(tx.word_set(question), tx.word_set(answer))
+
+
+@dataclass(frozen=True)
+class Models:
+    """embed(text) -> array<double>; rerank(query, text) -> score; judge(question, answer) -> similarity; ocr(text) -> text."""
+
+    embed: Callable[[Column], Column] | None = None
+    rerank: Callable[[Column, Column], Column] | None = None
+    judge: Callable[[Column, Column], Column] = _jaccard_judge
+    ocr: Callable[[Column], Column] = lambda c: c
+
+
+def sigmoid(score: Column) -> Column:
+    return 1 / (1 + F.exp(-score))

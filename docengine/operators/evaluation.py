@@ -20,11 +20,11 @@ def strategy_scores(cases: DataFrame, docs: DataFrame) -> DataFrame:
         F.lower("text").contains("claim").alias("claims"), F.lower("text").contains("premium").alias("prem"), (F.lower("text").contains("cover") | F.lower("text").contains("benefit")).alias("covers"))
     want = cases.select("qid", F.coalesce("prefers_table", F.lit(False)).alias("prefers_table"), understanding.benchmark_intent(F.col("qtext")).alias("intent"))
     rows = pairs.join(want, "qid").join(kept, "chunk_id")
-    base = 0.7 * F.col("sim") + 0.3 * F.col("jac")
+    base = 0.7 * F.col("raw") + 0.3 * F.col("jac")
     bonus = F.when(F.col("prefers_table") & F.col("is_table"), 0.12 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), base) / 0.5)).otherwise(0.0)
     fits = lambda intent, flag, v: F.when((F.col("intent") == intent) & F.col(flag), v)
     boost = F.coalesce(fits("exclusion", "excl", 0.16), fits("waiting_period", "waits", 0.14), fits("claim", "claims", 0.14), fits("premium", "prem", 0.12), fits("coverage", "covers", 0.10), F.lit(0.0))
-    scores = {"naive": F.col("sim"), "hybrid": base, "table_aware": base + bonus, "full_agentic": base + bonus + boost}
+    scores = {"naive": F.col("raw"), "hybrid": base, "table_aware": base + bonus, "full_agentic": base + bonus + boost}
     return rows.select("qid", "chunk_id", F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.round(c, 4).alias("score")) for s, c in scores.items()])).alias("s")).select("qid", "chunk_id", "s.*")
 
 

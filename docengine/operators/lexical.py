@@ -43,7 +43,7 @@ def min_max(scores: DataFrame, n_docs: DataFrame, qid: str = "qid", score: str =
 
 
 def term_cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", key: str = "chunk_id") -> DataFrame:
-    """qid, key, sim, shared, jac: cosine of token counts and Jaccard of token sets, of pairs with a common token."""
+    """qid, key, sim (six places), raw, shared, jac: cosine of token counts and Jaccard of token sets, of pairs with a common token."""
     q = postings(queries, qid, tx.word_tokens(F.col("qtext"))).withColumnRenamed("tf", "qtf")
     d = postings(docs, key, tx.word_tokens(F.col("text")))
     qn = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qn"), F.count("*").alias("qs"))
@@ -51,5 +51,5 @@ def term_cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", key: str
     dots = d.join(q, "tok").groupBy(qid, key).agg(F.sum(F.col("qtf") * F.col("tf")).alias("dot"), F.count("*").alias("shared"))
     both = dots.join(qn, qid).join(dn, key)
     return both.select(
-        qid, key, F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 6).alias("sim"), "shared",
+        qid, key, F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 6).alias("sim"), (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("raw"), "shared",
         (F.col("shared") / (F.col("qs") + F.col("ds") - F.col("shared"))).alias("jac"))

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from docengine.functions import lexicon as lx
 from docengine.functions import text as tx
@@ -82,7 +83,7 @@ def rewrite(query: Column) -> Column:
     return out.when(bare == query, F.concat(query, F.lit(" policy details"))).otherwise(bare)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts, the drift check of a rewritten query."""
     return pd.Series([difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import lexicon as lx
 from docengine.functions import text as tx
+from docengine.plans.corrective import corrective_loop
 from docengine.operators import analysis, context, evaluation, lexical, retrieval
 from docengine.operators.records import chunks_of, requests_of, responses_of
 from docengine.queries.registry import Registry, Tables
@@ -99,10 +100,10 @@ _SCORES = f"""{CHUNK}, doc AS (SELECT chunk_id, text, chunk_type, table_id, row_
 kase AS (SELECT item_id AS qid, text AS qtext, case_type, expected_keywords, coalesce(prefers_table, false) AS prefers_table, {_CASE.replace('qtext', 'text')} AS intent FROM eval_items WHERE text IS NOT NULL), q AS (SELECT qid, qtext FROM kase), {COS},
 flag AS (SELECT chunk_id, coalesce(table_id, '') <> '' OR row_number IS NOT NULL OR chunk_type IN ('table_row', 'table_meta') AS is_table, chunk_type = 'exclusion' OR contains(lower(text), 'not covered') AS excl, contains(lower(text), 'waiting') AS waits,
   contains(lower(text), 'claim') AS claims, contains(lower(text), 'premium') AS prem, contains(lower(text), 'cover') OR contains(lower(text), 'benefit') AS covers FROM doc),
-b AS (SELECT qid, chunk_id, sim, 0.7e0 * sim + 0.3e0 * jac AS base, CASE WHEN prefers_table AND is_table THEN 0.12e0 * least(1e0, greatest(0e0, 0.7e0 * sim + 0.3e0 * jac) / 0.5e0) ELSE 0e0 END AS bonus,
+b AS (SELECT qid, chunk_id, raw, 0.7e0 * raw + 0.3e0 * jac AS base, CASE WHEN prefers_table AND is_table THEN 0.12e0 * least(1e0, greatest(0e0, 0.7e0 * raw + 0.3e0 * jac) / 0.5e0) ELSE 0e0 END AS bonus,
   CASE WHEN intent = 'exclusion' AND excl THEN 0.16e0 WHEN intent = 'waiting_period' AND waits THEN 0.14e0 WHEN intent = 'claim' AND claims THEN 0.14e0 WHEN intent = 'premium' AND prem THEN 0.12e0 WHEN intent = 'coverage' AND covers THEN 0.10e0 ELSE 0e0 END AS boost
   FROM cs JOIN kase USING (qid) JOIN flag USING (chunk_id)),
-sc AS (SELECT qid, chunk_id, 'naive' AS strategy, round(sim, 4) AS score FROM b UNION ALL SELECT qid, chunk_id, 'hybrid', round(base, 4) FROM b UNION ALL SELECT qid, chunk_id, 'table_aware', round(base + bonus, 4) FROM b UNION ALL SELECT qid, chunk_id, 'full_agentic', round(base + bonus + boost, 4) FROM b),
+sc AS (SELECT qid, chunk_id, 'naive' AS strategy, round(raw, 4) AS score FROM b UNION ALL SELECT qid, chunk_id, 'hybrid', round(base, 4) FROM b UNION ALL SELECT qid, chunk_id, 'table_aware', round(base + bonus, 4) FROM b UNION ALL SELECT qid, chunk_id, 'full_agentic', round(base + bonus + boost, 4) FROM b),
 hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid, strategy ORDER BY score DESC, chunk_id) AS INT) AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY qid, strategy ORDER BY score DESC, chunk_id) <= 5)"""
 _METRICS = f"""{_SCORES}, rows AS (SELECT h.*, qtext, case_type, coalesce(len(list_filter(expected_keywords, lambda w: contains(lower(text), lower(w)))) > 0, false) AS rel, list_distinct({_WTOK.format('qtext')}) AS qs, list_distinct({_WTOK.format('text')}) AS ts,
   list_distinct({_WTOK.format("'Relevant policy details: ' || substr(text, 1, 600)")}) AS ans FROM hits h JOIN doc USING (chunk_id) JOIN kase USING (qid)),
@@ -236,3 +237,17 @@ def m06_prompt_cache(t: Tables) -> DataFrame:
 def m08_json_extract(t: Tables) -> DataFrame:
     fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
     return t.events.select("event_id", F.to_json(analysis.json_part(fenced)).alias("body")).filter("body is not null")
+
+
+@query()
+def g18_corrective_loop(t: Tables) -> DataFrame:
+    """Overlap retrieval, judged by the mean share of query tokens that the hits hold."""
+    docs = docs_of(t)
+
+    def judge(hits: DataFrame) -> DataFrame:
+        own = F.size(tx.word_set(F.col("qtext")))
+        score = F.avg(F.col("shared") / F.greatest(own, F.lit(1)))
+        return hits.groupBy("qid").agg(F.round(score, 6).alias("score")).select("qid", (F.col("score") >= 0.6).alias("passed"), "score")
+
+    found = lambda q, k: retrieval.overlap_retriever(q, docs, k).join(q, "qid")
+    return corrective_loop(asked(t), found, judge)

@@ -41,7 +41,7 @@ nm AS (SELECT qid, chunk_id, bm25, round((bm25 - lo) / (hi - lo + 1e-6), 6) AS n
 COS = f"""wt AS (SELECT chunk_id, tok, count(*) AS tf FROM (SELECT chunk_id, unnest({_WTOK.format('text')}) AS tok FROM doc) GROUP BY chunk_id, tok),
 qw AS (SELECT qid, tok, count(*) AS qtf FROM (SELECT qid, unnest({_WTOK.format('qtext')}) AS tok FROM q) GROUP BY qid, tok),
 qn AS (SELECT qid, sqrt(sum(qtf * qtf)) AS qn, count(*) AS qs FROM qw GROUP BY qid), dn AS (SELECT chunk_id, sqrt(sum(tf * tf)) AS dn, count(*) AS ds FROM wt GROUP BY chunk_id),
-cs AS (SELECT qid, chunk_id, round(dot / (qn * dn), 6) AS sim, shared, shared / (qs + ds - shared) AS jac FROM (SELECT qid, chunk_id, sum(qtf * tf) AS dot, count(*) AS shared FROM wt JOIN qw USING (tok) GROUP BY qid, chunk_id) JOIN qn USING (qid) JOIN dn USING (chunk_id))"""
+cs AS (SELECT qid, chunk_id, round(dot / (qn * dn), 6) AS sim, dot / (qn * dn) AS raw, shared, shared / (qs + ds - shared) AS jac FROM (SELECT qid, chunk_id, sum(qtf * tf) AS dot, count(*) AS shared FROM wt JOIN qw USING (tok) GROUP BY qid, chunk_id) JOIN qn USING (qid) JOIN dn USING (chunk_id))"""
 _BOOST = "round(CASE chunk_type " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in lx.TYPE_BOOST.items()) + " ELSE 0e0 END + CASE WHEN coalesce(table_id, '') <> '' THEN 0.08e0 ELSE 0e0 END, 6)"
 
 
@@ -136,11 +136,11 @@ _UNIT = f"unit AS (SELECT chunk_id, {_ID} AS n, list_transform(e, lambda x: CAST
 
 
 @query(f"""WITH {_VEC}, {_UNIT}, s AS (SELECT q.chunk_id AS qid, d.chunk_id, round(list_cosine_similarity(q.e, d.e), 6) AS similarity FROM unit q, unit d WHERE q.n % 100 = 0)
-SELECT qid, chunk_id, round(similarity, 5) AS similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS INT) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) <= 10""")
+SELECT qid, chunk_id, similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS INT) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) <= 10""")
 def v02_vector_topk(t: Tables) -> DataFrame:
     unit = vectors.valid(t.chunk_vectors, 96).filter(F.exists("embedding", lambda x: x != 0))
     asked_here = unit.filter(tx.hex_to_id(F.col("chunk_id")) % 100 == 0).withColumnRenamed("chunk_id", "qid")
-    return vectors.nearest_by_blocks(asked_here, unit, 10).withColumn("similarity", F.round("similarity", 5))
+    return vectors.nearest_by_blocks(asked_here, unit, 10)
 
 
 @query(f"WITH {CHUNK} SELECT DISTINCT v.chunk_id, coalesce(text, '') AS text, coalesce(chunk_type, 'unknown') AS chunk_type, c.chunk_id IS NOT NULL AS known FROM chunk_vectors v LEFT JOIN chunk c ON v.chunk_id = c.chunk_id")
