@@ -3,7 +3,7 @@
 A record's fingerprint is SEGMENTS * WIDTH minimum-hash symbols of its word set. In each segment the Hamming ball of radius one
 is enumerated by leaving out one symbol at a time, so two records meet in a table if any segment differs in at most one symbol.
 A 128-bit parity sketch of the words bounds the complete distance from below inside the join, and the word sets decide.
-At similarity 0.7 a pair is missed with probability (1 - 5 * 0.7**4 * 0.3 - 0.7**5) ** 7 = 0.005, at 0.8 with 0.0001.
+At similarity 0.7 a pair is missed with probability (1 - 5 * 0.7**4 * 0.3 - 0.7**5) ** 9 = 0.0012, at 0.8 with 0.00001.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from docengine.plans.staging import ship_with_tasks, small_side, stage
 
 ship_with_tasks(__name__)
 
-SEGMENTS, WIDTH = 7, 5
+SEGMENTS, WIDTH = 9, 5
 #: Classes of identical word sets up to this size are written out pair by pair, larger ones as links to their first record.
 WRITTEN_OUT = 64
 
