@@ -76,6 +76,14 @@ def verdict(faithfulness: Column, relevance: Column, completeness: Column, cover
     return {"passed": F.size(failed) == 0, "reasons": F.concat(failed, F.array_compact(F.array(F.when(top_score < v["top_score"], F.lit("low_retrieval")))))}
 
 
+def retrieval_stats(hits: DataFrame) -> DataFrame:
+    """Per query the number of hits, their scores and the gap between the first two."""
+    n = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
+    place = lambda k: F.max(F.when(F.col("n") == k, F.col("score")))
+    return hits.withColumn("n", n).groupBy("qid").agg(
+        F.count("*").alias("hits"), F.max("score").alias("best"), F.round(F.avg("score"), 3).alias("mean"), F.min("score").alias("worst"), F.round(place(1) - place(2), 3).alias("gap"))
+
+
 def within_budget(rows: DataFrame, by: str, order: list, size: Column, budget: int, most: int) -> DataFrame:
     """The first rows per group until one would overflow the budget, at most `most`."""
     w = W.partitionBy(by).orderBy(*order)

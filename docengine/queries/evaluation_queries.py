@@ -251,3 +251,31 @@ def g18_corrective_loop(t: Tables) -> DataFrame:
 
     found = lambda q, k: retrieval.overlap_retriever(q, docs, k).join(q, "qid")
     return corrective_loop(asked(t), found, judge)
+
+
+@query(f"""WITH {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS n FROM hit)
+SELECT qid, count(*) AS hits, max(score) AS best, round(avg(score), 3) AS mean, min(score) AS worst, round(max(CASE WHEN n = 1 THEN score END) - max(CASE WHEN n = 2 THEN score END), 3) AS gap FROM r GROUP BY qid""")
+def g19_retrieval_stats(t: Tables) -> DataFrame:
+    return context.retrieval_stats(_hits(t))
+
+
+@query(f"WITH {_HITS} SELECT qid, chunk_id, score FROM hit WHERE score >= 0.35 {best('score', 10)}")
+def x04_relevance_cut(t: Tables) -> DataFrame:
+    return retrieval.top(_hits(t).filter("score >= 0.35"), 10, "score").select("qid", "chunk_id", "score")
+
+
+@query(rf"WITH {REQ} SELECT request_id, regexp_replace(coalesce(session_id, 'anonymous'), '[^A-Za-z0-9_.-]', '_', 'g') AS session FROM req")
+def l14_session_slug(t: Tables) -> DataFrame:
+    return requests_of(t.query_requests).select("request_id", F.regexp_replace(F.coalesce("session_id", F.lit("anonymous")), r"[^A-Za-z0-9_.-]", "_").alias("session"))
+
+
+@query(f"WITH {CHUNK} SELECT insurer, count(*) AS chunks, CAST(sum(greatest(1, CAST(floor(len({_BTOK.format('text')}) * 1.3) AS INT))) AS BIGINT) AS tokens FROM chunk WHERE text IS NOT NULL GROUP BY insurer")
+def e16_token_cost(t: Tables) -> DataFrame:
+    return chunks_of(t.chunks).filter("text is not null").groupBy("insurer").agg(F.count("*").alias("chunks"), F.sum(tx.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query(f"WITH {CHUNK}, {once('chunk_vectors', 'chunk_id', 'model_name', 'v')} SELECT insurer, chunk_type, count(*) AS chunks, count(v.chunk_id) AS indexed FROM chunk LEFT JOIN v ON v.chunk_id = chunk.chunk_id GROUP BY ROLLUP (insurer, chunk_type)")
+def c14_index_coverage(t: Tables) -> DataFrame:
+    """Chunks and indexed chunks by insurer and type, with subtotals."""
+    known = t.chunk_vectors.select("chunk_id").distinct().withColumn("has", F.lit(1))
+    return chunks_of(t.chunks).join(known, "chunk_id", "left").rollup("insurer", "chunk_type").agg(F.count("*").alias("chunks"), F.count("has").alias("indexed"))

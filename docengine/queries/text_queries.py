@@ -239,3 +239,10 @@ def t17_reading_order(t: Tables) -> DataFrame:
     words = chunks_of(t.chunks).filter("document_id is not null and page_number is not null").select(
         "document_id", "page_number", "chunk_id", (F.col("page_start") * 6.5 + F.coalesce("row_number", F.lit(0))).alias("y0"), (F.length(F.coalesce("text", F.lit(""))) % 600).alias("x0"))
     return cleaning.reading_order(words, ["document_id", "page_number"], "chunk_id", page_width=600.0).select("chunk_id", "reading_order", "side")
+
+
+@query(f"""WITH {CHUNK}, w AS (SELECT document_id, length(coalesce(text, '')) % 600 AS x0 FROM chunk WHERE document_id IS NOT NULL)
+SELECT document_id, count(*) >= 5 AND count_if(x0 - 300 BETWEEN -108 AND 108) / count(*) < 0.2 AS two_columns FROM w GROUP BY document_id""")
+def t15_two_columns(t: Tables) -> DataFrame:
+    words = chunks_of(t.chunks).filter("document_id is not null").select("document_id", (F.length(F.coalesce("text", F.lit(""))) % 600).alias("x0"), F.lit(600.0).alias("page_width"))
+    return cleaning.two_columns(words, ["document_id"], min_words=5, share=0.2)
