@@ -68,22 +68,23 @@ def valleys(text: str, cuts: list[int], block: int = 6) -> list[float]:
 
 def cut_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Start and end of each piece. A piece ends at the deepest valley among its window's paragraph ends, else sentence ends,
-    else at the last white space, else at the limit, and the next begins about overlap characters before, at a word."""
+    else at the last white space, else at the limit, and the next begins about overlap characters before, at a word.
+    The window is all that lies beyond the overlap; among ends of one level those in its upper half go first."""
     paragraphs = [m.end() for m in re.finditer(r"\n\s*\n", text)]
     sentences = [m.end() for m in re.finditer(r"(?<=[.!?])\s+", text)]
     depth = {c: d for cuts in (sentences, paragraphs) for c, d in zip(cuts, valleys(text, cuts))}
     pieces, start = [], 0
     while len(text) - start > limit:
-        low, high = start + max(limit // 2, overlap + 1), start + limit
+        low, half, high = start + overlap + 1, start + limit // 2, start + limit
         at = 0
         for cuts in (paragraphs, sentences):
             inside = [c for c in cuts if low <= c <= high]
             if inside:
-                at = max(inside, key=lambda c: (depth[c], c))
+                at = max(inside, key=lambda c: (c >= half, depth[c], c))
                 break
         if not at:
-            spaces = [m.end() for m in re.finditer(r"\s", text[start + overlap + 1 : high])]
-            at = start + overlap + 1 + spaces[-1] if spaces else high
+            spaces = [m.end() for m in re.finditer(r"\s", text[low:high])]
+            at = low + spaces[-1] if spaces else high
         pieces.append((start, at))
         back = at - overlap
         word = re.search(r"\s\S", text[back : back + overlap // 2 + 2])

@@ -43,6 +43,17 @@ def test_boundaries(spark):
         splitting.split_oversized(rows, 100, 50)
 
 
+def test_ends_in_the_first_half_of_the_window():
+    words = "word " * 60
+    for end in ("\n\n", ". "):
+        text = "a" * 49 + end + words
+        assert splitting.cut_text(text, 200, 20)[0] == (0, 49 + len(end))
+    text = "a" * 39 + "\n\n" + "b" * 100 + ". " + words  # the paragraph end goes before the later sentence end
+    assert splitting.cut_text(text, 200, 20)[0] == (0, 41)
+    text = "a" * 39 + "\n\n" + "b" * 100 + "\n\n" + words  # of two paragraph ends the one in the upper half goes first
+    assert splitting.cut_text(text, 200, 20)[0] == (0, 143)
+
+
 # --- repeated lines
 
 
