@@ -47,9 +47,10 @@ def rake(cells: DataFrame, plan: DataFrame, rounds: int = 8) -> DataFrame:
     """Fit cell weights to three marginals: planned tokens of each source, and each language's and topic's share of the corpus.
 
     Iterative proportional fitting over the cell table (one row per source, language and topic, never per document).
-    Language and topic are fitted first and the source last in each round, so source totals are exact.
+    Language and topic are fitted first and the source last in each round. The source step bounds each cell at max_repeats times
+    its tokens and gives the rest to the source's open cells, so that source totals are exact and no rate exceeds max_repeats.
     """
-    fit = cells.join(plan.select("source", F.least(F.col("copies") * F.col("tokens"), F.greatest(F.col("target_share") * F.col("total"), F.lit(0.0))).alias("source_goal")), "source")
+    fit = cells.join(plan.select("source", F.least(F.col("copies") * F.col("tokens"), F.greatest(F.col("target_share") * F.col("total"), F.lit(0.0))).alias("source_goal"), "max_repeats"), "source")
     sums = {k: W.partitionBy(k) for k in ("source", "lang", "topic")}
     every = F.sum("source_goal_part")
     fit = fit.withColumn("source_goal_part", F.col("source_goal") * F.col("tokens") / F.greatest(F.sum("tokens").over(sums["source"]), F.lit(1)))
@@ -57,10 +58,18 @@ def rake(cells: DataFrame, plan: DataFrame, rounds: int = 8) -> DataFrame:
     fit = fit.crossJoin(F.broadcast(shares)).withColumn("weight", F.col("source_goal_part"))
     for key in ("lang", "topic"):
         fit = fit.withColumn(f"{key}_goal", F.sum("tokens").over(sums[key]) / F.col("all_tokens") * F.col("goal"))
+    fit = fit.withColumn("most", (F.col("max_repeats") * F.col("tokens")).cast("double"))
+    # The cells that a common factor lifts to their bound first come first. The tokens that a factor gives are the least of the sums
+    # "cells before at their bound, the others times the factor", so the factor that gives the goal is the largest that any of them needs.
+    order = W.partitionBy("source").orderBy(F.col("most") / F.nullif("weight", F.lit(0.0)), "lang", "topic")
+    full = F.coalesce(F.sum("most").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    still = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
     for n in range(rounds):
-        for key in ("lang", "topic", "source"):
+        for key in ("lang", "topic"):
             now = F.sum("weight").over(sums[key])
             fit = fit.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"{key}_goal") / now).otherwise(F.lit(0.0)))
+        fit = fit.withColumn("factor", F.when(still > 0, (F.col("source_goal") - full) / still))
+        fit = fit.withColumn("weight", F.coalesce(F.least("most", F.col("weight") * F.max("factor").over(sums["source"])), F.lit(0.0))).drop("factor")
         if n % 2 == 1:
             fit = stage(fit)
     return fit.select("source", "lang", "topic", "docs", "tokens", "weight", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0)).alias("rate"))
@@ -69,7 +78,7 @@ def rake(cells: DataFrame, plan: DataFrame, rounds: int = 8) -> DataFrame:
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, source, tokens, repeats: how often each document goes into the mixture.
 
-    A document's expected repeats are its cell's calibrated rate, at most max_repeats; the fraction is settled by a hash of doc_id,
+    A document's expected repeats are its cell's calibrated rate, which is at most max_repeats; the fraction is settled by a hash of doc_id,
     so the draw is repeatable and needs no shuffle of texts. Documents without tokens or of other sources get no row.
     """
     plan = stage(source_plan(documents, targets))

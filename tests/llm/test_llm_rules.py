@@ -116,6 +116,18 @@ def test_rake_meets_marginals(spark):
     assert {r.source: round(r.w / total, 2) for r in fit} == {"x": 0.7, "y": 0.3}
 
 
+def test_short_source_draws_all_its_repeats(spark):
+    rows = [(i, "a " * (1 + i % 5), "short", ["en", "de"][i % 10 == 0], "tu"[i % 4 == 0]) for i in range(60)]
+    rows += [(i, "a " * 40, "rich", ["de", "en"][i % 10 == 0], "ut"[i % 4 == 0]) for i in range(60, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, document_type string")
+    targets = spark.createDataFrame([("short", 0.5, 3), ("rich", 0.5, 2)], "source string, target_share double, max_repeats int")
+    drawn = {r.doc_id: r.repeats for r in mixture.mix(docs, targets).filter("source = 'short'").collect()}
+    assert drawn == {i: 3 for i in range(60)}
+    fit = mixture.rake(mixture._cells(docs, targets), mixture.source_plan(docs, targets)).collect()
+    assert all(r.rate <= {"short": 3, "rich": 2}[r.source] for r in fit)
+    assert round(sum(r.weight for r in fit if r.source == "rich"), 6) == 0.5 * sum(len(t.split()) for _, t, *_ in rows)
+
+
 # --- template residue
 
 
