@@ -22,11 +22,13 @@ from docengine.plans.staging import ship_with_tasks, small_side, stage
 ship_with_tasks(__name__)
 
 SEGMENTS, WIDTH = 9, 5
-#: Classes of identical word sets up to this size are written out pair by pair, larger ones as links to their first record.
+#: Copies of one text are written out pair by pair up to this number, more of them as links to the first of them.
 WRITTEN_OUT = 64
+#: Records of a class of identical word sets that are paired in one slot, in expectation.
+SLOT = 256
 
 _WORD = re.compile(r"[a-z0-9]+")
-_SIGNED = "id string, set_id bigint, n int, sketch bigint, sketch2 bigint, symbols array<int>"
+_SIGNED = "id string, set_id bigint, text_id bigint, n int, sketch bigint, sketch2 bigint, symbols array<int>"
 
 
 def _hash_family(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,19 +37,20 @@ def _hash_family(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(records: DataFrame, min_words: int) -> DataFrame:
-    """id, set_id, n, sketch and symbols of every record with at least min_words different words."""
+    """id, set_id, text_id, n, sketch and symbols of every record with at least min_words different words."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factor, shift = _hash_family(SEGMENTS * WIDTH)
         known: dict[str, int] = {}
         for batch in batches:
-            ids, sets = [], []
+            ids, sets, texts = [], [], []
             for key, text in zip(batch["id"], batch["text"]):
                 words = set(_WORD.findall(text.lower()))
                 if len(words) >= min_words:
                     for w in words - known.keys():
                         known[w] = xxhash.xxh64_intdigest(w)
                     ids.append(key)
+                    texts.append(xxhash.xxh64_intdigest(text))
                     sets.append(np.sort(np.fromiter((known[w] for w in words), np.uint64, len(words))))
             if len(known) > 2_000_000:
                 known.clear()
@@ -64,7 +67,7 @@ def _signed(records: DataFrame, min_words: int) -> DataFrame:
             yield pd.DataFrame({
                 "id": ids,
                 "set_id": np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64),
-                "n": sizes.astype(np.int32), "sketch": sketch.view(np.int64), "sketch2": sketch2.view(np.int64), "symbols": list(symbols.view(np.int32)),
+                "text_id": np.array(texts, np.uint64).view(np.int64), "n": sizes.astype(np.int32), "sketch": sketch.view(np.int64), "sketch2": sketch2.view(np.int64), "symbols": list(symbols.view(np.int32)),
             })
 
     return records.filter("text <> ''").mapInPandas(sign, _SIGNED)
@@ -83,10 +86,10 @@ def _words(text: Column) -> Column:
 
 
 def similar_sets(records: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Members (id, set_id, first: the class's smallest id) and links (set_a, set_b, similarity) between different word sets."""
+    """Members (id, set_id, text_id, first: the class's smallest id) and links (set_a, set_b, similarity) between different word sets."""
     signed = stage(_signed(records, min_words))
     firsts = stage(signed.groupBy("set_id").agg(F.min("id").alias("first")))
-    members = signed.select("id", "set_id").distinct().join(firsts, "set_id")
+    members = signed.groupBy("set_id", "id").agg(F.min("text_id").alias("text_id")).join(firsts, "set_id")
     classes = signed.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "sketch2", "symbols")])  # alike in a class
     rows = classes.select("set_id", "n", "sketch", "sketch2", F.explode(F.array(*_tables())).alias("key"))
     a, b = rows.alias("a"), rows.alias("b")
@@ -115,21 +118,30 @@ def near_duplicate_pairs(table: DataFrame, key: str = "chunk_id", text: str = "t
     """a, b: the keys of every two records whose word sets have a Jaccard similarity of threshold or more, a < b.
 
     Records with fewer than min_words different words, null or empty text or a null key take no part; a redelivered record counts once.
-    Identical word sets are linked too: each with each up to WRITTEN_OUT records, beyond that each with its class's first record, and
-    links to other classes then go to the first record only.
+    Identical word sets are linked too, each with each; only of more than WRITTEN_OUT copies of one text, the first record stands for
+    all: its copies are linked to it, and links to other texts go to it alone.
     """
     members, links = similar_sets(_records(table, key, text), threshold, min_words)
     members = stage(members)
-    size = members.groupBy("set_id").agg(F.count("*").alias("size"))
-    spoken = members.join(size, "set_id").filter((F.col("size") <= WRITTEN_OUT) | (F.col("id") == F.col("first"))).select("set_id", "id")
-    x, y = spoken.select(F.col("set_id").alias("set_a"), F.col("id").alias("x")), spoken.select(F.col("set_id").alias("set_b"), F.col("id").alias("y"))
-    across = links.join(x, "set_a").join(y, "set_b").select("x", "y")
-    shared = members.join(size.filter("size > 1"), "set_id")
-    shared = stage(shared)
-    few = shared.filter(F.col("size") <= WRITTEN_OUT)
-    inside = few.alias("p").join(few.alias("q"), (F.col("p.set_id") == F.col("q.set_id")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("x"), F.col("q.id").alias("y"))
-    star = shared.filter((F.col("size") > WRITTEN_OUT) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
-    pairs = across.unionByName(inside).unionByName(star)
+    copies = members.groupBy("set_id", "text_id").agg(F.count("*").alias("size"), F.min("id").alias("head"))
+    many = small_side(copies.filter(F.col("size") > WRITTEN_OUT).select("set_id", "text_id", "head"))
+    known = members.join(many, ["set_id", "text_id"], "left")
+    star = known.filter(F.col("id") != F.col("head")).select(F.col("head").alias("x"), F.col("id").alias("y"))
+    spoken = known.filter(F.col("head").isNull() | (F.col("id") == F.col("head"))).select("set_id", "id")
+    size = stage(spoken.groupBy("set_id").agg(F.count("*").alias("size")).filter("size > 1"))
+    # A large class is dealt to slots by record, and what meets it is repeated for each slot.
+    slots = small_side(size.filter(F.col("size") > SLOT).select("set_id", F.ceil(F.col("size") / SLOT).cast("int").alias("slots")))
+    dealt = spoken.join(slots, "set_id", "left").withColumn("slot", F.coalesce(F.pmod(F.xxhash64("id"), "slots").cast("int"), F.lit(0)))
+    in_each = F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)).alias("slot")
+    across = links.select("set_a", "set_b")
+    for side, name in (("set_a", "x"), ("set_b", "y")):
+        asked = across.withColumnRenamed(side, "set_id").join(slots, "set_id", "left")
+        asked = asked.select("set_id", *[c for c in across.columns if c != side], in_each)
+        across = asked.join(dealt.select("set_id", "slot", F.col("id").alias(name)), ["set_id", "slot"]).drop("set_id", "slot")
+    shared = stage(dealt.join(size.select("set_id"), "set_id", "left_semi"))
+    p, q = shared.select("set_id", "slot", F.col("id").alias("x")), shared.select("set_id", F.col("id").alias("y"), in_each)
+    inside = p.join(q, ["set_id", "slot"]).filter(F.col("x") < F.col("y")).select("x", "y")
+    pairs = across.select("x", "y").unionByName(inside).unionByName(star)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -154,5 +166,5 @@ def near_duplicate_groups(table: DataFrame, key: str = "chunk_id", text: str = "
     roots = components(links, "set_a", "set_b")
     degree = links.select(F.col("set_a").alias("set_id")).union(links.select("set_b")).groupBy("set_id").agg(F.count("*").alias("links"))
     size = members.groupBy("set_id").agg(F.count("*").alias("copies"))
-    out = members.join(size, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(degree, "set_id", "left")
+    out = members.drop("text_id").join(size, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(degree, "set_id", "left")
     return out.select(F.col("id").alias(key), F.coalesce("root", "set_id").alias("group"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -45,6 +45,17 @@ def test_large_class_of_copies_is_linked_to_its_first(spark):
     assert len(pairs) == 199 and {r.a for r in pairs} == {"k000"}
 
 
+def test_large_class_of_different_texts_is_written_out(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SLOT", 16)
+    words = [f"w{i}" for i in range(30)]
+    order = lambda k: " ".join(words[k % 30 :] + words[: k % 30])
+    rows = [(f"k{i:03d}", order(i) + "." * (i // 30)) for i in range(90)] + [(f"c{i:03d}", order(0) + "!") for i in range(70)] + [(f"n{i}", " ".join(words[:28]) + "," * i) for i in range(3)]
+    got = near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "chunk_id string, text string")).collect()
+    spoken = sorted(k for k, _ in rows if k[0] != "c" or k == "c000")
+    want = {*itertools.combinations(spoken, 2)} | {("c000", f"c{i:03d}") for i in range(1, 70)}
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (12, 11)], "a long, b long")
     got = {r.node: r.root for r in near_duplicates.components(links, "a", "b").collect()}
