@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,32 +73,25 @@ FUNCTION_WORDS = (
     "le la les de du des et un une est dans pour que qui sur avec par au aux en ne pas se ce ou il elle vous votre "
     "el los las y en un una es por con para del al se su que no lo como si o usted"
 ).split()
-#: What a text must hold before a cue of the kind is looked for in its sentences.
-ERROR_WORDS = "error fehler erreur exception traceback found gefunden unavailable verfügbar denied gateway failed 404 403 500 502 503 request wrong refused timed trouv disponible located permission stack respond connect exist verweigert refus load pudo pu".split()
-SCRIPT_WORDS = "script js browser cookie navigateur navegador skript".split()
-FILLER_WORDS = "text copy content lorem texto relleno".split()
 
 
 def _any(patterns: tuple[str, ...]) -> str:
     return "(?iUm)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-def _holds(low: Column, words: list[str]) -> Column:
-    out = low.contains(words[0])
-    for w in words[1:]:
-        out = out | low.contains(w)
-    return out
+def _anywhere(pattern: str) -> str:
+    """The pattern for a whole text: it is met in every text that has a part in which the pattern is met. Parts begin and end at white space."""
+    return re.sub(r"(?<![\[\\])\^", r"(?:^|(?<=\\s))", pattern).replace("$", r"(?:$|(?=\s))")
 
 
 def _defect(text: Column) -> Column:
-    low = F.lower(text)
     told = r"(?iU)[^.!?\n]{0,300}?" + TUTORIAL.replace("(?iU)", "") + r"[^.!?\n]*"
     plain = F.regexp_replace(text, CODE, " ")
-    plain = F.when(_holds(low, ["place", "templat", "merge", "variab", "syntax", "replace", "render", "escaped", "platzh", "marcador", "ersetzt", "sustituye"]), F.regexp_replace(plain, told, " ")).otherwise(plain)
-    hole = text.rlike(r"[{}<>\[%@$#«&]|__|T[OB]D") & plain.rlike(PLACEHOLDER)
+    plain = F.when(plain.rlike(TUTORIAL), F.regexp_replace(plain, told, " ")).otherwise(plain)
+    hole = text.rlike(r"[{}<>\[%@$#«&]|__|(?iU:T[OB]D)") & plain.rlike(PLACEHOLDER)
     parts = F.filter(F.split(text, r"(?<=[.!?])\s+|\n"), lambda s: s.rlike(r"\S") & ~s.rlike(REPORTED))
-    hits = lambda words, pattern: F.when(_holds(low, words), F.size(F.filter(parts, lambda s: s.rlike(pattern)))).otherwise(0)
-    scripts, errors, phrases = hits(SCRIPT_WORDS, _any(SCRIPT_CUES)), hits(ERROR_WORDS, _any(ERROR_CUES)), hits(FILLER_WORDS, FILLER_PHRASES)
+    hits = lambda pattern: F.when(text.rlike(_anywhere(pattern)), F.size(F.filter(parts, lambda s: s.rlike(pattern)))).otherwise(0)
+    scripts, errors, phrases = hits(_any(SCRIPT_CUES)), hits(_any(ERROR_CUES)), hits(FILLER_PHRASES)
     # Full sentences of real content: a capital letter, six or more words, a full stop, and no cue. A report of a failure has one at most.
     prose = F.size(
         F.filter(F.split(text, r"(?<=[.!?])\s+|\n"), lambda s: s.rlike(r"(?U)^\W*\p{Lu}(?:\S*\s+){5,}\S*[.!?]\W*$") & (s.rlike(REPORTED) | ~(s.rlike(_any(ERROR_CUES)) | s.rlike(_any(SCRIPT_CUES)) | s.rlike(FILLER_PHRASES))))

@@ -146,6 +146,15 @@ def test_residue(spark):
     assert template_residue.without_residue(docs).select("doc_id").distinct().count() == len(cases) - len(got)
 
 
+def test_cues_are_reached_in_the_query(spark):
+    errors = ["401 Unauthorized", "410 Gone", "Acceso denegado", "Accès interdit", "Zugriff nicht gestattet", "Página no encontrada", "This page has been removed", "The page is no longer available", "Segmentation fault", "The document could not be displayed", "Home. 410 Gone", "Home | Plans\n410"]
+    told = "L'espace réservé {{ prénom }} est remplacé par le nom."
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*errors, told, "The desk keeps the form. todo: add the name of the member."])], "doc_id long, text string")
+    got = {r.doc_id: r.defect for r in template_residue.residue(docs).collect()}
+    assert got == {i: "error_page" for i in range(len(errors))} | {len(errors) + 1: "placeholder"}
+    assert template_residue._anywhere(r"^a[^b]\^|c$") == r"(?:^|(?<=\s))a[^b]\^|c(?:$|(?=\s))"
+
+
 # --- broken pairs
 
 
