@@ -1,8 +1,9 @@
-"""Most similar vectors for every vector (problem 2): learned partitions.
+"""Most similar vectors for every vector (problem 2): learned partitions in two levels.
 
 On a bounded sample, the neighbour graph is cut into balanced partitions and a small classifier learns to name a vector's
-partitions. Every vector is then indexed in its most probable partition, every query is sent to its most probable ones, and
-each partition is searched exactly, in blocks of bounded size.
+partition; inside each partition the same is done again on a sample of its own vectors, so that the number of partitions grows
+with the number of vectors. Every vector is indexed in its most probable partition, every query is sent to the same number of
+most probable ones at every size, and each partition is searched exactly, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docengine.plans.staging import ship_with_tasks, stage
+from docengine.plans.staging import ship_with_tasks, small_side, stage
 
 ship_with_tasks(__name__)
 
-FIT_ROWS = 8000  # vectors that graph and classifier are fitted on, at most
-PART_ROWS = 3000  # vectors of a partition, aimed at
-BLOCK = 4096  # members, and queries, of one search task at most (in expectation)
-PROBES = 0.35  # share of the partitions that a query is sent to, at least MIN_PROBES
-MIN_PROBES = 8
+FIT_ROWS = 8000  # vectors that the first graph and classifier are fitted on, at most
+PART_FIT_ROWS = 4000  # vectors that the graph and classifier inside a partition are fitted on, at most
+PART_ROWS = 384  # vectors of a partition of the second level, aimed at
+MAX_PARTS = 128  # partitions of the first level, and of the second inside one of the first, at most
+BLOCK = 1024  # members of one search task at most (in expectation); a partition with more is cut
+QUERY_BLOCK = 4096  # queries of one search task at most (in expectation)
+PROBES = 6  # partitions that a query is sent to
+ROUTES = 4  # partitions of the first level among which they are
 
 
 def usable(vectors: DataFrame, size: int) -> DataFrame:
@@ -110,80 +114,162 @@ def fit_router(x: np.ndarray, near: np.ndarray, label: np.ndarray, parts: int, e
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             weight -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             bias -= 0.5 * error.sum(0)
+    # the classifier places the rows, so its biases are shifted until no part takes much more than its share
+    for _ in range(40):
+        load = np.bincount((x @ weight + bias).argmax(1), minlength=parts) / (len(x) / parts)
+        if load.max() <= 1.25:
+            break
+        bias -= np.float32(0.3) * np.log(np.clip(load, 0.5, 4.0)).astype(np.float32)
     return weight, bias
 
 
-def _fit(units: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
-    sample = units.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(FIT_ROWS).select("vec").toPandas()
-    x = _matrix(sample["vec"])
-    parts = int(max(1, min(round(rows / PART_ROWS), len(x) // 32)))
+def fit_parts(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of the classifier over the balanced parts of the neighbour graph of x."""
+    parts = max(1, min(parts, len(x) // 4))
     if parts == 1:
-        return np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32), 1
+        return np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32)
     near = _neighbours(x, min(10, len(x) - 1))
-    weight, bias = fit_router(x, near, balanced_parts(x, near, parts), parts)
-    return weight, bias, parts
+    return fit_router(x, near, balanced_parts(x, near, parts), parts)
 
 
-def nearest(vectors: DataFrame, k: int = 5, size: int = 96) -> DataFrame:
-    """chunk_id, neighbour, similarity, rank: for each usable vector its k nearest others by cosine, as far as its partitions hold them.
+def _shares(x: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logarithms of the classifier's probabilities."""
+    score = x @ weight + bias
+    score -= score.max(1, keepdims=True)
+    return score - np.log(np.exp(score).sum(1, keepdims=True))
 
-    Null, wrongly sized, NaN, infinite and all-zero vectors take no part; a chunk_id that comes twice counts once. Ties go to
-    the smaller chunk_id. With one partition (small tables) the result is exact.
-    """
-    units = stage(usable(vectors, size))
-    rows = units.count()
-    if rows < 2:
-        return units.limit(0).select("chunk_id", F.col("chunk_id").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
-    weight, bias, parts = _fit(units, rows)
-    probes = min(parts, max(MIN_PROBES, int(np.ceil(PROBES * parts))))
-    shared = units.sparkSession.sparkContext.broadcast((weight, bias))
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, b = shared.value
+def _routes(x: np.ndarray, first: tuple[np.ndarray, np.ndarray], inner: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The PROBES most probable partitions of each row, most probable first; -1 where there are no more."""
+    starts = np.concatenate([[0], np.cumsum([len(b) for _, b in inner])])
+    top = _shares(x, *first)
+    best = np.argsort(-top, axis=1, kind="stable")[:, :ROUTES]
+    wide = max(len(b) for _, b in inner)
+    score = np.full((len(x), best.shape[1], wide), -np.inf, np.float32)
+    part = np.full(score.shape, -1, np.int32)
+    for p, (weight, bias) in enumerate(inner):
+        row, col = np.nonzero(best == p)
+        if len(row):
+            score[row, col, : len(bias)] = top[row, p][:, None] + _shares(x[row], weight, bias)
+            part[row, col, : len(bias)] = starts[p] + np.arange(len(bias))
+    score, part = score.reshape(len(x), -1), part.reshape(len(x), -1)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :PROBES]
+    return np.take_along_axis(part, order, 1)
+
+
+def _fit(units: DataFrame, rows: int) -> tuple[tuple[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """The classifier of the first level, fitted here on a bounded sample, and those inside its partitions, fitted in one task each."""
+    wanted = -(-rows // PART_ROWS)
+    sample = units.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(FIT_ROWS).select("vec").toPandas()
+    first = fit_parts(_matrix(sample["vec"]), min(MAX_PARTS, int(np.ceil(wanted**0.5))))
+    parts = len(first[1])
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                score = _matrix(batch["vec"]) @ w + b
-                top = np.argsort(-score, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pd.DataFrame({"chunk_id": batch["chunk_id"], "vec": batch["vec"], "parts": list(top)})
+                yield pd.DataFrame({"chunk_id": batch["chunk_id"], "vec": batch["vec"], "part": _shares(_matrix(batch["vec"]), *first).argmax(1).astype(np.int32)})
 
-    routed = stage(units.mapInPandas(route, "chunk_id string, vec binary, parts array<int>"))
-    held = routed.groupBy(F.col("parts")[0].alias("part")).agg(F.count("*").alias("n"))
-    asked = routed.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("q"))
-    # One row per partition: how many blocks its members and its queries are cut into.
-    blocks = held.join(asked, "part").select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"))
-    blocks = F.broadcast(stage(blocks))
-    slot = lambda n, seed: F.pmod(F.xxhash64("chunk_id", F.lit(seed)), n).cast("int")
-    member = routed.withColumn("part", F.col("parts")[0]).join(blocks, "part").select(
-        "part", slot(F.col("mb"), 1).alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "chunk_id", "vec", F.lit(True).alias("member"))
-    query = routed.select("chunk_id", "vec", F.explode("parts").alias("part")).join(blocks, "part").select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), slot(F.col("qb"), 2).alias("q"), "chunk_id", "vec", F.lit(False).alias("member"))
+    named = units.mapInPandas(name, "chunk_id string, vec binary, part int")
+    counts = {r["part"]: r["n"] for r in named.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most MAX_PARTS rows
+    some = W.partitionBy("part").orderBy(F.xxhash64("chunk_id"), "chunk_id")
+    drawn = named.withColumn("i", F.row_number().over(some)).filter(F.col("i") <= PART_FIT_ROWS)
 
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iloc[0])
+        weight, bias = fit_parts(_matrix(group.sort_values("chunk_id")["vec"]), min(MAX_PARTS, -(-counts[part] // PART_ROWS)))
+        return pd.DataFrame({"part": [part], "weight": [weight.astype(np.float32).tobytes()], "bias": [bias.astype(np.float32).tobytes()]})
+
+    # one bounded row per partition of the first level
+    fitted = {r["part"]: (np.frombuffer(r["weight"], np.float32), np.frombuffer(r["bias"], np.float32)) for r in drawn.groupBy("part").applyInPandas(fit, "part int, weight binary, bias binary").collect()}
+    size = first[0].shape[0]
+    none = (np.zeros(size, np.float32), np.zeros(1, np.float32))
+    return first, [(w.reshape(size, -1), b) for w, b in (fitted.get(p, none) for p in range(parts))]
+
+
+def _search(k: int):
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        own, ask = group[group["member"]].sort_values("chunk_id"), group[~group["member"]]
+        own = group[group["member"]].sort_values("chunk_id")
+        ask = pd.concat([group[~group["member"]], own[own["asks"]]])
         if not len(own) or not len(ask):
             return pd.DataFrame({"chunk_id": [], "neighbour": [], "similarity": []})
         names, x = own["chunk_id"].to_numpy(), _matrix(own["vec"])
         who, y = ask["chunk_id"].to_numpy(), _matrix(ask["vec"])
         at = {c: i for i, c in enumerate(names)}
-        take = min(len(names), k + 4)
+        self_at = np.fromiter((at.get(c, -1) for c in who), np.int64, len(who))
         found = []
         for a in range(0, len(who), 512):
-            sim = y[a : a + 512] @ x.T
-            for r, c in enumerate(who[a : a + 512]):
-                if c in at:
-                    sim[r, at[c]] = -3
-            top = np.argpartition(-sim, take - 1, axis=1)[:, :take] if take < len(names) else np.tile(np.arange(len(names)), (len(sim), 1))
-            top.sort(axis=1)
-            exact = np.einsum("qd,qkd->qk", y[a : a + 512].astype(np.float64), x[top].astype(np.float64))
-            exact[np.take_along_axis(sim, top, 1) < -2] = -3
-            order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-            found.append((np.repeat(who[a : a + 512], order.shape[1]), names[np.take_along_axis(top, order, 1)].ravel(), np.take_along_axis(exact, order, 1).ravel()))
-        out = pd.DataFrame({"chunk_id": np.concatenate([f[0] for f in found]), "neighbour": np.concatenate([f[1] for f in found]), "similarity": np.concatenate([f[2] for f in found])})
-        return out[out["similarity"] > -2]
-
-    hits = member.unionByName(query).groupBy("part", "m", "q").applyInPandas(search, "chunk_id string, neighbour string, similarity double")
+            sim, own_at = y[a : a + 512] @ x.T, self_at[a : a + 512]
+            inside = np.nonzero(own_at >= 0)[0]
+            sim[inside, own_at[inside]] = -3
+            # all that may be among the k nearest: a float32 margin below the k-th similarity, then exact in float64
+            least = np.partition(sim, len(names) - k, axis=1)[:, len(names) - k] - np.float32(1e-5) if len(names) > k else np.full(len(sim), -2, np.float32)
+            row, col = np.nonzero((sim >= least[:, None]) & (sim > -2))
+            exact = np.einsum("nd,nd->n", y[a + row].astype(np.float64), x[col].astype(np.float64))
+            order = np.lexsort((col, -exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = rank < k
+            found.append((who[a + row[keep]], names[col[keep]], exact[keep]))
+        return pd.DataFrame({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("chunk_id", "neighbour", "similarity"))})
+
+    return search
+
+
+def _partition_hits(units: DataFrame, rows: int, k: int) -> DataFrame:
+    """chunk_id, neighbour, similarity: the k nearest of each vector inside each partition that it is sent to."""
+    shared = units.sparkSession.sparkContext.broadcast(_fit(units, rows))  # at most MAX_PARTS ** 2 columns of weights
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, inner = shared.value
+        for batch in batches:
+            for a in range(0, len(batch), 4096):
+                b = batch[a : a + 4096]
+                yield pd.DataFrame({"chunk_id": b["chunk_id"], "vec": b["vec"], "parts": list(_routes(_matrix(b["vec"]), first, inner))})
+
+    routed = stage(units.mapInPandas(route, "chunk_id string, vec binary, parts array<int>"))
+    sent = F.explode(F.filter("parts", lambda p: p >= 0)).alias("part")
+    load = routed.select("parts", sent).groupBy("part").agg(F.count(F.when(F.col("part") == F.col("parts")[0], 1)).alias("n"), F.count("*").alias("q"))
+    # One row per partition: how many blocks its members and its queries are cut into.
+    blocks = small_side(load.filter("n > 0").select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("qb")))
+    slot = lambda n, seed: F.pmod(F.xxhash64("chunk_id", F.lit(seed)), n).cast("int")
+    first = F.col("parts")[0]
+    q = F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q")
+    member = routed.withColumn("part", first).join(blocks, "part").select("part", slot(F.col("mb"), 1).alias("m"), q, "chunk_id", "vec", F.lit(True).alias("member"), (F.col("mb") == 1).alias("alone"))
+    # a member of an uncut partition asks there itself
+    member = member.select("part", "m", "q", "chunk_id", "vec", "member", (F.col("alone") & (F.col("q") == 0)).alias("asks"))
+    query = routed.select("chunk_id", "vec", first.alias("home"), sent).join(blocks, "part").filter((F.col("mb") > 1) | (F.col("part") != F.col("home"))).select(
+        "part", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), slot(F.col("qb"), 2).alias("q"), "chunk_id", "vec", F.lit(False).alias("member"), F.lit(False).alias("asks"))
+    return member.unionByName(query).groupBy("part", "m", "q").applyInPandas(_search(k), "chunk_id string, neighbour string, similarity double")
+
+
+def nearest(vectors: DataFrame, k: int = 5, size: int = 96) -> DataFrame:
+    """chunk_id, neighbour, similarity, rank: for each usable vector its k nearest others by cosine, as far as its partitions hold them.
+
+    Null, wrongly sized, NaN, infinite and all-zero vectors take no part; a chunk_id that comes twice counts once. Equal vectors are
+    searched once and their copies named by chunk_id, so that ties go to the smaller chunk_id and copies of one vector may be any share
+    of the rows. Up to PART_ROWS different vectors there is one partition, and the result is exact.
+    """
+    units = stage(usable(vectors, size).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64("vec", F.lit(7))}))
+    alike = units.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("chunk_id").alias("head")).filter("copies > 1").drop("copies")
+    marked = units.join(small_side(alike), ["h1", "h2"], "left").select("chunk_id", "vec", "head")
+    single = stage(marked.filter("head is null or chunk_id = head").select("chunk_id", "vec"))
+    copies = stage(marked.filter("head is not null").select("chunk_id", "head"))
+    rows = single.count()
+    if rows == 0:
+        return units.select("chunk_id", F.col("chunk_id").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
     best = W.partitionBy("chunk_id").orderBy(F.desc("similarity"), "neighbour")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    first = lambda hits, n: hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+    hits = first(_partition_hits(single, rows, k), k).drop("rank")
+    # the k + 1 smallest chunk_ids of each class of equal vectors stand for it; its members share the class's neighbours
+    few = copies.withColumn("i", F.row_number().over(W.partitionBy("head").orderBy("chunk_id"))).filter(F.col("i") <= k + 1).select("head", F.col("chunk_id").alias("named"))
+    few = small_side(few)
+    named = hits.join(few.withColumnRenamed("head", "neighbour"), "neighbour", "left").select("chunk_id", F.coalesce("named", "neighbour").alias("neighbour"), "similarity")
+    own = few.select(F.col("head").alias("chunk_id"), F.col("named").alias("neighbour"), F.lit(1.0).alias("similarity"))
+    heads = small_side(few.select(F.col("head").alias("chunk_id")).distinct())
+    by_class = named.join(heads, "chunk_id", "left_semi").unionByName(own)
+    of_class = first(by_class, k + 1).drop("rank")
+    members = copies.join(of_class.withColumnRenamed("chunk_id", "head"), "head").filter("chunk_id <> neighbour").select("chunk_id", "neighbour", "similarity")
+    return first(named.join(heads, "chunk_id", "left_anti").unionByName(members), k)
 
 
 def neighbour_pairs(vectors: DataFrame, k: int = 5, size: int = 96) -> DataFrame:

@@ -83,6 +83,7 @@ def test_neighbours_exact_with_one_partition(spark):
 def test_neighbours_recall_with_learned_partitions(spark, monkeypatch):
     monkeypatch.setattr(vector_neighbours, "PART_ROWS", 100)
     monkeypatch.setattr(vector_neighbours, "BLOCK", 64)
+    monkeypatch.setattr(vector_neighbours, "QUERY_BLOCK", 100)
     rng = np.random.default_rng(2)
     x = (rng.normal(size=(40, 8))[rng.integers(0, 40, 1500)] + 0.3 * rng.normal(size=(1500, 8)))
     got = {(r.chunk_id, r.neighbour) for r in vector_neighbours.nearest(_vectors(spark, x), 5, 8).collect()}
@@ -92,6 +93,22 @@ def test_neighbours_recall_with_learned_partitions(spark, monkeypatch):
     assert len(got & want) / len(want) >= 0.95
 
 
+def test_copies_of_one_vector_are_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(vector_neighbours, "PART_ROWS", 20)
+    monkeypatch.setattr(vector_neighbours, "PROBES", 64)
+    monkeypatch.setattr(vector_neighbours, "ROUTES", 64)
+    x = np.random.default_rng(5).normal(size=(180, 8))
+    x[40:100] = x[40]
+    x[150:153] = x[150]
+    got = {}
+    for r in vector_neighbours.nearest(_vectors(spark, x), 5, 8).orderBy("chunk_id", "rank").collect():
+        got.setdefault(r.chunk_id, []).append(r.neighbour)
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).round(12)
+    sim = (unit @ unit.T).round(9) - 3 * np.eye(180)
+    want = {f"v{i:04d}": [f"v{j:04d}" for j in np.argsort(-sim[i], kind="stable")[:5]] for i in range(180)}
+    assert got == want
+
+
 PAGE = "page_id long, document_id string, page_number int, raw_text string, cleaned_text string, used_ocr boolean, extracted_at timestamp, form string"
 
 
