@@ -22,13 +22,15 @@ from docengine.plans.staging import ship_with_tasks, small_side, stage
 ship_with_tasks(__name__)
 
 SEGMENTS, WIDTH = 9, 5
-#: Copies of one text are written out pair by pair up to this number, more of them as links to the first of them.
-WRITTEN_OUT = 64
+#: Records with one key in one table up to which they are paired in one task; the rest are dealt to slots of this size.
+BUCKET = 1024
+#: Rows of the tables that one join task gets, in expectation.
+TASK_ROWS = 250_000
 #: Records of a class of identical word sets that are paired in one slot, in expectation.
 SLOT = 256
 
 _WORD = re.compile(r"[a-z0-9]+")
-_SIGNED = "id string, set_id bigint, text_id bigint, n int, sketch bigint, sketch2 bigint, symbols array<int>"
+_SIGNED = "id string, at double, text_id bigint, set_id bigint, n int, sketch bigint, sketch2 bigint, symbols array<int>"
 
 
 def _hash_family(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,40 +39,40 @@ def _hash_family(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(records: DataFrame, min_words: int) -> DataFrame:
-    """id, set_id, text_id, n, sketch and symbols of every record with at least min_words different words."""
+    """id, at, text_id, set_id, n, sketch and symbols of every record; n is 0 if it has fewer than min_words different words."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factor, shift = _hash_family(SEGMENTS * WIDTH)
         known: dict[str, int] = {}
         for batch in batches:
-            ids, sets, texts = [], [], []
-            for key, text in zip(batch["id"], batch["text"]):
-                words = set(_WORD.findall(text.lower()))
+            sets, signed = [], np.zeros(len(batch), bool)
+            for i, text in enumerate(batch["text"]):
+                words = set(_WORD.findall(text.lower())) if text else ()
                 if len(words) >= min_words:
                     for w in words - known.keys():
                         known[w] = xxhash.xxh64_intdigest(w)
-                    ids.append(key)
-                    texts.append(xxhash.xxh64_intdigest(text))
+                    signed[i] = True
                     sets.append(np.sort(np.fromiter((known[w] for w in words), np.uint64, len(words))))
             if len(known) > 2_000_000:
                 known.clear()
-            if not ids:
+            few = batch.loc[~signed, ["id", "at", "text_id"]]
+            if len(few):
+                yield few.assign(set_id=np.int64(0), n=np.int32(0), sketch=np.int64(0), sketch2=np.int64(0), symbols=[np.empty(0, np.int32)] * len(few))
+            if not sets:
                 continue
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            symbols = np.empty((len(ids), len(factor)), np.uint32)
+            symbols = np.empty((len(sets), len(factor)), np.uint32)
             for k in range(len(factor)):
                 symbols[:, k] = np.minimum.reduceat((flat * factor[k] + shift[k]) >> np.uint64(32), starts)
             # every word flips one of 128 bits: the sketches of two sets differ in at most as many bits as the sets in words
             bit, half = np.uint64(1) << (flat >> np.uint64(58)), (flat & np.uint64(1 << 20)) > 0
             sketch, sketch2 = (np.bitwise_xor.reduceat(np.where(h, bit, np.uint64(0)), starts) for h in (half, ~half))
-            yield pd.DataFrame({
-                "id": ids,
-                "set_id": np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64),
-                "text_id": np.array(texts, np.uint64).view(np.int64), "n": sizes.astype(np.int32), "sketch": sketch.view(np.int64), "sketch2": sketch2.view(np.int64), "symbols": list(symbols.view(np.int32)),
-            })
+            yield batch.loc[signed, ["id", "at", "text_id"]].assign(
+                set_id=np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64),
+                n=sizes.astype(np.int32), sketch=sketch.view(np.int64), sketch2=sketch2.view(np.int64), symbols=list(symbols.view(np.int32)))
 
-    return records.filter("text <> ''").mapInPandas(sign, _SIGNED)
+    return records.withColumn("text_id", F.xxhash64("text")).mapInPandas(sign, _SIGNED)
 
 
 def _tables() -> list[Column]:
@@ -85,24 +87,48 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1))
 
 
+def _met(classes: DataFrame, threshold: float) -> DataFrame:
+    """set_a, set_b: word sets with a table key in common whose sketches and sizes allow the similarity.
+
+    Keys of more than BUCKET sets are found in two steps (counts of coarse cells of keys first, then of the keys of full cells), and
+    their sets are dealt to slots, each slot meeting all sets of the key.
+    """
+    rows = classes.select("set_id", "n", "sketch", "sketch2", F.explode(F.array(*_tables())).alias("key"))
+    n_rows = classes.count() * SEGMENTS * WIDTH
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // TASK_ROWS)
+    keys = rows.select("key", F.pmod("key", F.lit(n_rows // 64 + 1)).alias("cell"))
+    full = keys.groupBy("cell").agg(F.count("*").alias("held")).filter(F.col("held") > BUCKET).select("cell")
+    hot = keys.join(small_side(full), "cell", "left_semi").groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > BUCKET)
+    hot = small_side(hot.select("key", F.ceil(F.col("held") / BUCKET).cast("int").alias("slots")))
+    most = (1 - threshold) / (1 + threshold)  # of the words of both, at this similarity, occur in one only
+
+    def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) + F.bit_count(F.col("a.sketch2").bitwiseXOR(F.col("b.sketch2")))
+        likely = (F.col("a.set_id") < F.col("b.set_id")) & (apart <= most * (F.col("a.n") + F.col("b.n")) + 1e-6) & (F.col("a.n") >= threshold * F.col("b.n") - 1e-6) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-6)
+        for c in on:
+            likely = likely & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+        return a.join(b, likely).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
+
+    cold = rows.join(hot, "key", "left_anti").repartition(tasks, "key")
+    dealt = rows.join(hot, "key")
+    one = dealt.withColumn("slot", F.pmod(F.xxhash64("set_id"), "slots").cast("int"))
+    every = dealt.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    return pairs(cold, cold, ["key"]).union(pairs(one, every, ["key", "slot"])).distinct()
+
+
 def similar_sets(records: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
     """Members (id, set_id, text_id, first: the class's smallest id) and links (set_a, set_b, similarity) between different word sets."""
     signed = stage(_signed(records, min_words))
-    firsts = stage(signed.groupBy("set_id").agg(F.min("id").alias("first")))
-    members = signed.groupBy("set_id", "id").agg(F.min("text_id").alias("text_id")).join(firsts, "set_id")
-    classes = signed.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "sketch2", "symbols")])  # alike in a class
-    rows = classes.select("set_id", "n", "sketch", "sketch2", F.explode(F.array(*_tables())).alias("key"))
-    a, b = rows.alias("a"), rows.alias("b")
-    apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) + F.bit_count(F.col("a.sketch2").bitwiseXOR(F.col("b.sketch2")))
-    most = (1 - threshold) / (1 + threshold)  # of the words of both, at this similarity, occur in one only
-    met = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.set_id") < F.col("b.set_id")) & (apart <= most * (F.col("a.n") + F.col("b.n")) + 1e-6)
-               & (F.col("a.n") >= threshold * F.col("b.n") - 1e-6) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-6))
-        .select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b")).distinct()
-    )
-    met = stage(met)
-    needed = met.select(F.col("set_a").alias("set_id")).union(met.select("set_b")).distinct().join(firsts.select("set_id", F.col("first").alias("id")), "set_id")
-    texts = records.join(small_side(needed), "id").groupBy("set_id").agg(F.max("text").alias("text"))
+    last = signed.groupBy("id").agg(F.max_by(F.struct("set_id", "text_id", "n"), F.struct("at", "text_id")).alias("r")).select("id", "r.*")
+    last = stage(last.filter(F.col("n") > 0).drop("n"))
+    firsts = stage(last.groupBy("set_id").agg(F.min(F.struct("id", "text_id")).alias("f")).select("set_id", F.col("f.id").alias("first"), F.col("f.text_id").alias("first_text")))
+    members = last.join(firsts.select("set_id", "first"), "set_id")
+    classes = stage(signed.filter(F.col("n") > 0).groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "sketch2", "symbols")]))  # alike in a class
+    met = stage(_met(classes, threshold))
+    needed = met.select(F.col("set_a").alias("set_id")).union(met.select("set_b")).distinct().join(firsts.select("set_id", F.col("first").alias("id"), F.col("first_text").alias("text_id")), "set_id")
+    # the word set is that of the text by which the record counts, even where its id came with other texts
+    texts = records.select("id", "text", F.xxhash64("text").alias("text_id")).join(small_side(needed), ["id", "text_id"]).groupBy("set_id").agg(F.max("text").alias("text"))
     words = stage(texts.select("set_id", _words(F.col("text")).alias("words")))
     both = met.join(words.select(F.col("set_id").alias("set_a"), F.col("words").alias("words_a")), "set_a").join(words.select(F.col("set_id").alias("set_b"), F.col("words").alias("words_b")), "set_b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
@@ -110,21 +136,24 @@ def similar_sets(records: DataFrame, threshold: float, min_words: int) -> tuple[
     return members, links
 
 
-def _records(table: DataFrame, key: str, text: str) -> DataFrame:
-    return table.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).filter("id is not null")
+def _records(table: DataFrame, key: str, text: str, latest_by: str | None) -> DataFrame:
+    at = F.col(latest_by) if latest_by else F.lit(None)
+    return table.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), at.cast("double").alias("at")).filter("id is not null")
 
 
-def near_duplicate_pairs(table: DataFrame, key: str = "chunk_id", text: str = "text", threshold: float = 0.7, min_words: int = 20) -> DataFrame:
+def near_duplicate_pairs(table: DataFrame, key: str = "chunk_id", text: str = "text", threshold: float = 0.7, min_words: int = 20, latest_by: str | None = None, copies_written_out: int = 64) -> DataFrame:
     """a, b: the keys of every two records whose word sets have a Jaccard similarity of threshold or more, a < b.
 
-    Records with fewer than min_words different words, null or empty text or a null key take no part; a redelivered record counts once.
-    Identical word sets are linked too, each with each; only of more than WRITTEN_OUT copies of one text, the first record stands for
-    all: its copies are linked to it, and links to other texts go to it alone.
+    Records with fewer than min_words different words, null or empty text or a null key take no part; a record that comes again counts
+    once, by its latest text in the order of latest_by. Identical word sets are linked too, each with each. copies_written_out bounds the
+    pairs among exact copies of one text only: up to so many copies are paired each with each; of more, the first record stands for all,
+    its copies are linked to it and links to other texts go to it alone. near_duplicate_groups names the copies of each
+    representative, so that a join of the two gives every pair.
     """
-    members, links = similar_sets(_records(table, key, text), threshold, min_words)
+    members, links = similar_sets(_records(table, key, text, latest_by), threshold, min_words)
     members = stage(members)
     copies = members.groupBy("set_id", "text_id").agg(F.count("*").alias("size"), F.min("id").alias("head"))
-    many = small_side(copies.filter(F.col("size") > WRITTEN_OUT).select("set_id", "text_id", "head"))
+    many = small_side(copies.filter(F.col("size") > copies_written_out).select("set_id", "text_id", "head"))
     known = members.join(many, ["set_id", "text_id"], "left")
     star = known.filter(F.col("id") != F.col("head")).select(F.col("head").alias("x"), F.col("id").alias("y"))
     spoken = known.filter(F.col("head").isNull() | (F.col("id") == F.col("head"))).select("set_id", "id")
@@ -159,12 +188,14 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
             return roots
 
 
-def near_duplicate_groups(table: DataFrame, key: str = "chunk_id", text: str = "text", threshold: float = 0.7, min_words: int = 20) -> DataFrame:
-    """One row per record that takes part: key, group (a class id), copies (records with the same words), links (to other word sets)."""
-    members, links = similar_sets(_records(table, key, text), threshold, min_words)
+def near_duplicate_groups(table: DataFrame, key: str = "chunk_id", text: str = "text", threshold: float = 0.7, min_words: int = 20, latest_by: str | None = None) -> DataFrame:
+    """One row per record that takes part: key, group (a class id), head (the first record with the very same text), first (the first
+    record with the same words), copies (records with the same words), links (to other word sets)."""
+    members, links = similar_sets(_records(table, key, text, latest_by), threshold, min_words)
     members, links = stage(members), stage(links)
     roots = components(links, "set_a", "set_b")
     degree = links.select(F.col("set_a").alias("set_id")).union(links.select("set_b")).groupBy("set_id").agg(F.count("*").alias("links"))
     size = members.groupBy("set_id").agg(F.count("*").alias("copies"))
-    out = members.drop("text_id").join(size, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(degree, "set_id", "left")
-    return out.select(F.col("id").alias(key), F.coalesce("root", "set_id").alias("group"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    heads = members.groupBy("set_id", "text_id").agg(F.min("id").alias("head"))
+    out = members.join(heads, ["set_id", "text_id"]).join(size, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(degree, "set_id", "left")
+    return out.select(F.col("id").alias(key), F.coalesce("root", "set_id").alias("group"), "head", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -53,12 +53,12 @@ def p5_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = near_duplicates.near_duplicate_pairs(read_table(spark, sf_dir, "chunks"))
+    pairs = near_duplicates.near_duplicate_pairs(read_table(spark, sf_dir, "chunks"), latest_by="indexed_at")
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicate_groups(read_table(spark, sf_dir, "chunks"))
+    return near_duplicates.near_duplicate_groups(read_table(spark, sf_dir, "chunks"), latest_by="indexed_at")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,19 @@ def test_large_class_of_different_texts_is_written_out(spark, monkeypatch):
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
 
 
+def test_latest_text_of_a_record_counts_and_hot_keys_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BUCKET", 4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"r{i:02d}", " ".join(words[:38] + [f"own{i}"]), 2.0) for i in range(30)]
+    rows += [("r00", " ".join(f"z{i}" for i in range(30)), 1.0), ("r01", "few words now", 3.0), ("aa", " ".join(f"other{i}" for i in range(50)), 1.0), ("aa", " ".join(words[:38]), 5.0)]
+    table = spark.createDataFrame(rows, "chunk_id string, text string, at double")
+    got = {(r.a, r.b) for r in near_duplicates.near_duplicate_pairs(table, latest_by="at").collect()}
+    ids = sorted({"aa", *(f"r{i:02d}" for i in range(30))} - {"r01"})
+    assert got == {*itertools.combinations(ids, 2)}
+    groups = near_duplicates.near_duplicate_groups(table, latest_by="at").collect()
+    assert {r.chunk_id for r in groups} == set(ids) and len({r.group for r in groups}) == 1 and all(r.head == r.chunk_id for r in groups)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (12, 11)], "a long, b long")
     got = {r.node: r.root for r in near_duplicates.components(links, "a", "b").collect()}
