@@ -1,6 +1,8 @@
 """Evaluation texts leaking into training text (problem 7): q-gram lemma filtering over diagonal bands.
 
-The held-out items are few and of fixed number, so their q-gram index goes to every task; the documents are scanned once.
+A passage of n characters that is met with at most k edits shares n + 1 - q * (k + 1) q-grams with the document inside a band of
+diagonals. Bands with fewer are dropped, the rest is verified by banded alignment of the passages, with k = 0 as one case of it.
+The q-gram index of few items goes to every task and the documents are scanned once; more items are met by a join on q-grams.
 """
 
 from __future__ import annotations
@@ -13,17 +15,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.plans.staging import ship_with_tasks
+from docengine.plans.staging import ship_with_tasks, stage
 
 ship_with_tasks(__name__)
 
-Q = 12  # characters of a q-gram
+Q = 12  # characters of a q-gram at most; less where the edit budget asks for it
+LEAST_Q = 4
 BAND = 64  # width of a diagonal band; bands overlap by half
-#: Bytes of item text up to which the index is sent to every task; more is processed in slices of this size.
-INDEX_BYTES = 8 * 1024 * 1024
+#: Characters of item text up to which the index (24 bytes a character) is sent to every task.
+INDEX_CHARS = 1024 * 1024
 
 _WORD = re.compile(r"[^\W_]+")
-_BASE, _MASK = np.uint64(1_000_003), np.uint64(0xFFFFFFFFFFFFFFFF)
+_BASE = np.uint64(1_000_003)
 
 
 def normal(text: str) -> str:
@@ -31,9 +34,13 @@ def normal(text: str) -> str:
     return " " + " ".join(_WORD.findall(text.casefold())) + " "
 
 
-def qgrams(text: str, q: int = Q) -> np.ndarray:
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
     """A hash of each window of q characters."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    codes = codes.astype(np.uint64)
     if len(codes) < q:
         return np.empty(0, np.uint64)
     out = np.zeros(len(codes) - q + 1, np.uint64)
@@ -42,120 +49,193 @@ def qgrams(text: str, q: int = Q) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def build_index(items: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted q-gram hashes of all items with the item's number and the position."""
-    grams = [qgrams(text) for _, text in items]
-    keys = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-    who = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-    at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], who[order], at[order]
-
-
-def banded_distance(a: str, b: str, budget: int) -> int:
-    """Edit distance of a and b if it is at most budget, else budget + 1; only the diagonals within budget are filled."""
-    if abs(len(a) - len(b)) > budget:
-        return budget + 1
-    row = {j: j for j in range(min(len(b), budget) + 1)}
-    for i in range(1, len(a) + 1):
-        new = {}
-        for j in range(max(0, i - budget), min(len(b), i + budget) + 1):
-            best = i if j == 0 else min(new.get(j - 1, budget) + 1, row.get(j, budget) + 1, row.get(j - 1, budget) + (a[i - 1] != b[j - 1]))
-            new[j] = best
-        row = new
-        if min(row.values()) > budget:
-            return budget + 1
-    return min(row.get(len(b), budget + 1), budget + 1)
-
-
-def _regions(doc: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> list[tuple[int, int, int, int]]:
-    """(item, first and last doc position, diagonal) of the bands that share at least `least` q-grams with an item."""
-    keys, who, at = index
-    left, right = np.searchsorted(keys, doc, "left"), np.searchsorted(keys, doc, "right")
-    hits = right - left
-    where = np.nonzero(hits)[0]
-    if len(where) < least:
-        return []
-    pos = np.repeat(where, hits[where])
-    slot = np.concatenate([np.arange(left[p], right[p]) for p in where])
-    diagonal = pos - at[slot]
+def _all_qgrams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, number of the text and position of every q-gram of the texts; none spans two texts."""
+    codes = [_codes(t) for t in texts]
+    sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+    if sizes.sum() < q:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    grams = qgrams(np.concatenate(codes), q)
+    who = np.repeat(np.arange(len(texts)), sizes)[: len(grams)]
+    at = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)[: len(grams)]
+    whole = at + q <= sizes[who]
+    return grams[whole], who[whole], at[whole]
+
+
+def passages(item: str, words: int) -> list[tuple[int, int]]:
+    """Start and end, in the normal text of the item, of each run of so many words with the blanks around it."""
+    blanks = [m.start() for m in re.finditer(" ", item)]
+    return [(a, b + 1) for a, b in zip(blanks, blanks[words:])]
+
+
+def aligned(item: str, runs: list[tuple[int, int]], doc: str, low: int, high: int, edits: int) -> bool:
+    """Whether one of the runs of the item aligns with a stretch of doc within the edit budget on diagonals low to high.
+
+    The diagonal of a cell is its position in doc less that in the item. Only these diagonals and as many as the budget beside them are
+    filled, for all runs at once; a run may begin and end on any of them.
+    """
+    if not runs:
+        return False
+    low, high = low - edits, high + edits
+    a, d = _codes(item), _codes(doc)
+    begins, lengths = np.array([r[0] for r in runs]), np.array([r[1] - r[0] for r in runs])
+    diagonals = np.arange(low, high + 1)
+    cost = np.zeros((len(runs), len(diagonals)), np.int32)
+    steps = np.arange(len(diagonals), dtype=np.int32)
+    for i in range(lengths.max()):
+        at = begins[:, None] + np.minimum(i, lengths - 1)[:, None] + diagonals[None, :]
+        inside = (at >= 0) & (at < len(d))
+        same = inside & (d[np.clip(at, 0, len(d) - 1)] == a[np.minimum(begins + i, len(a) - 1)][:, None])
+        step = cost + ~same
+        if edits:
+            # an item character left out moves one diagonal down, a doc character put in one up
+            left_out = np.full_like(cost, edits + 1)
+            left_out[:, :-1] = cost[:, 1:] + 1
+            step = np.minimum(step, left_out)
+            step = np.minimum.accumulate(step - steps, axis=1) + steps
+        step = np.minimum(step, edits + 1)
+        cost = np.where((i < lengths)[:, None], step, cost)
+        if (cost.min(axis=1) > edits).all():
+            return False
+    return bool((cost <= edits).any())
+
+
+def _bands(doc_no: np.ndarray, item_no: np.ndarray, at: np.ndarray, item_at: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """(doc, item, lowest and highest diagonal, first and last item position) of the bands that share enough q-grams of the item."""
     out = []
+    diagonal = at - item_at
     for shift in (0, BAND // 2):
         band = (diagonal + shift) // BAND
-        order = np.lexsort((pos, band, who[slot]))
-        w, d, p, diag = who[slot][order], band[order], pos[order], diagonal[order]
-        edge = np.nonzero((np.diff(w) != 0) | (np.diff(d) != 0))[0] + 1
-        for a, b in zip([0, *edge], [*edge, len(w)]):
-            # the lemma counts q-grams of the document, so one that meets several of the item counts once
-            if len(np.unique(p[a:b])) >= least:
-                out.append((int(w[a]), int(p[a]), int(p[b - 1]), int(np.median(diag[a:b]))))
-    return out
-
-
-def _shared_run(doc: str, item_words: list[str], grams: set[str], words: int) -> bool:
-    doc_words = doc.split()
-    return any(" ".join(doc_words[i : i + words]) in grams for i in range(len(doc_words) - words + 1))
+        order = np.lexsort((item_at, band, item_no, doc_no))
+        w, n, b, p, g = doc_no[order], item_no[order], band[order], item_at[order], diagonal[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (np.diff(w) != 0) | (np.diff(n) != 0) | (np.diff(b) != 0)
+        starts = np.nonzero(new)[0]
+        # the lemma counts q-grams of the passage, so one that is met several times counts once
+        fresh = new.copy()
+        fresh[1:] |= np.diff(p) != 0
+        count = np.add.reduceat(fresh.astype(np.int64), starts) if len(starts) else starts
+        ends = np.append(starts[1:], len(w))
+        lows, highs = (np.minimum.reduceat(g, starts), np.maximum.reduceat(g, starts)) if len(starts) else (starts, starts)
+        for k in np.nonzero(count >= least[n[starts]])[0]:
+            s, e = starts[k], ends[k] - 1
+            out.append((int(w[s]), int(n[s]), int(lows[k]), int(highs[k]), int(p[s]), int(p[e])))
+    return sorted(set(out))
+
+
+def _verified(item: str, doc: str, words: int, edits: int, q: int, low: int, high: int, first: int, last: int) -> bool:
+    # a run with too few of its q-grams among those met cannot lie in the band
+    runs = [r for r in passages(item, words) if min(last + q, r[1]) - max(first, r[0]) >= r[1] - r[0] - q * edits - edits]
+    return aligned(item, runs, doc, low, high, edits)
 
 
 def leaks(documents: DataFrame, items: DataFrame, words: int = 12, edits: int = 0) -> DataFrame:
-    """doc_id, item_id, first_char, last_char: the documents that hold a passage of an item.
+    """doc_id, item_id, first_char, last_char: the documents that hold a passage of an item, with offsets in their normal text.
 
-    A passage is words consecutive words of the item. With edits=0 it must occur word for word; with edits>0 a window of the item's
-    passage may differ by so many characters. A passage of n characters that is met with at most k edits shares n + 1 - q * (k + 1)
-    q-grams with the document inside a band of diagonals, so no band below that count for the item's shortest passage is looked at.
-    Null, empty and short texts give no rows; copies of a document are reported each under its own doc_id; rows repeated under one
-    doc_id give one row.
+    A passage is words consecutive words of the item. With edits=0 it must occur word for word; with edits>0 it may differ by so many
+    characters, which must be less than half a band and leave q-grams of at least LEAST_Q characters to count (else ValueError).
+    Null, empty and short texts give no rows; an item_id with several texts is held by each of them; copies of a document are reported
+    each under its own doc_id; rows repeated under one doc_id give one row.
     """
-    held = [(r["item_id"], normal(r["text"])) for r in items.filter("text is not null").select("item_id", "text").distinct().toLocalIterator()]
-    held = [(i, t) for i, t in held if len(t.split()) >= words]
-    slices, size = [[]], 0
-    for i, t in held:
-        if size + len(t) > INDEX_BYTES // 16 and slices[-1]:
-            slices.append([])
-            size = 0
-        slices[-1].append((i, t))
-        size += len(t)
-    out = None
-    for part in slices:
-        found = _scan(documents, part, words, edits)
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.min("first_char").alias("first_char"), F.max("last_char").alias("last_char"))
-
-
-def _scan(documents: DataFrame, items: list[tuple[int, str]], words: int, edits: int) -> DataFrame:
-    runs = {i: [" ".join(w[k : k + words]) for k in range(len(w) - words + 1)] for i, t in items for w in [t.split()]}
-    shortest = min((len(r) + 2 for rs in runs.values() for r in rs), default=10**6)
-    least = max(1, shortest + 1 - Q * (edits + 1))
-    shared = documents.sparkSession.sparkContext.broadcast((items, build_index(items), {i: set(r) for i, r in runs.items()}))
+    if not 0 <= edits < BAND // 2:
+        raise ValueError("edits must be less than half a band")
+
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [normal(t) for t in batch["text"]]
+            shortest = [min((b - a for a, b in passages(t, words)), default=0) for t in texts]
+            yield pd.DataFrame({"item_id": batch["item_id"], "text": texts, "shortest": np.array(shortest, np.int32)})
+
+    held = stage(items.filter("text is not null").select("item_id", "text").distinct().mapInPandas(prepare, "item_id bigint, text string, shortest int").filter("shortest > 0"))
+    size = held.agg(F.sum(F.length("text")).alias("chars"), F.min("shortest").alias("shortest")).first()
+    texts = documents.select("doc_id", "text").filter(F.length("text") > 0)
+    if size["chars"] is None:
+        return texts.limit(0).select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("first_char"), F.lit(0).alias("last_char"))
+    q = min(Q, size["shortest"] // (edits + 1))
+    if q < LEAST_Q:
+        raise ValueError("the edit budget is too large for passages of this length")
+    found = _by_index(texts, held, words, edits, q) if size["chars"] <= INDEX_CHARS else _by_join(texts, held, words, edits, q)
+    return found.groupBy("doc_id", "item_id").agg(F.min("first_char").alias("first_char"), F.max("last_char").alias("last_char"))
+
+
+_FOUND = "doc_id bigint, item_id bigint, first_char int, last_char int"
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["doc_id", "item_id", "first_char", "last_char"]).astype({"doc_id": "int64", "item_id": "int64", "first_char": "int32", "last_char": "int32"})
+
+
+def _by_index(texts: DataFrame, held: DataFrame, words: int, edits: int, q: int) -> DataFrame:
+    """One scan of the documents against the index of all items, which is at most INDEX_CHARS long."""
+    items = [(r["item_id"], r["text"], r["shortest"]) for r in held.orderBy("item_id", "text").toLocalIterator()]
+    keys, who, at = _all_qgrams([t for _, t, _ in items], q)
+    order = np.argsort(keys, kind="stable")
+    distinct, starts = np.unique(keys[order], return_index=True)
+    sizes = np.diff(np.append(starts, len(keys)))
+    least = np.maximum(1, np.array([n for _, _, n in items]) + 1 - q * (edits + 1))
+    # a first look at 16 bits of the hash leaves few q-grams to be searched
+    seen = np.zeros(1 << 16, bool)
+    seen[(distinct & np.uint64(0xFFFF)).astype(np.int64)] = True
+    shared = texts.sparkSession.sparkContext.broadcast((items, distinct, starts, sizes, who[order], at[order], least, seen))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, index, passages = shared.value
+        items, distinct, starts, sizes, who, at, least, seen = shared.value
+        for whole in batches:
+            for a in range(0, len(whole), 256):
+                batch, rows = whole[a : a + 256], []
+                docs = [normal(t) for t in batch["text"]]
+                grams, doc_no, doc_at = _all_qgrams(docs, q)
+                some = np.nonzero(seen[(grams & np.uint64(0xFFFF)).astype(np.int64)])[0]
+                slot = np.minimum(np.searchsorted(distinct, grams[some]), len(distinct) - 1)
+                met = distinct[slot] == grams[some]
+                some, slot = some[met], slot[met]
+                n = sizes[slot]
+                back = np.repeat(some, n)
+                entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[slot], n)
+                done = set()
+                for d, i, low, high, first, last in _bands(doc_no[back], who[entry], doc_at[back], at[entry], least):
+                    if (d, i) not in done and _verified(items[i][1], docs[d], words, edits, q, low, high, first, last):
+                        done.add((d, i))
+                        rows.append((batch["doc_id"].iloc[d], items[i][0], max(0, first + low), last + high + q))
+                yield _rows(rows)
+
+    return texts.mapInPandas(scan, _FOUND)
+
+
+def _by_join(texts: DataFrame, held: DataFrame, words: int, edits: int, q: int) -> DataFrame:
+    """Documents and items meet by q-gram in a shuffle; bands are counted before any text is fetched."""
+
+    def cut(table: DataFrame, key: str) -> DataFrame:
+        def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for a in range(0, len(whole), 256):
+                    batch = whole[a : a + 256]
+                    hashes, who, at = _all_qgrams(list(batch["text"]), q)
+                    yield pd.DataFrame({key: batch[key].to_numpy()[who], "gram": hashes.view(np.int64), f"{key}_at": at.astype(np.int32)})
+
+        return table.mapInPandas(grams, f"{key} bigint, gram bigint, {key}_at int")
+
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                doc = normal(text)
-                for n, first, last, diagonal in _regions(qgrams(doc), index, least):
-                    item_id, item = held[n]
-                    begin, end = max(0, first - BAND), min(len(doc), last + Q + BAND)
-                    begin, end = doc.rfind(" ", 0, begin + 1) if begin else 0, doc.find(" ", end) if end < len(doc) else len(doc)
-                    region = doc[max(begin, 0) : end if end >= 0 else len(doc)]
-                    if edits == 0:
-                        hit = _shared_run(region, item.split(), passages[item_id], words)
-                    else:
-                        hit = _near_run(region, passages[item_id], words, edits)
-                    if hit:
-                        rows.append((doc_id, item_id, first, last + Q))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_char", "last_char"]).astype({"doc_id": "int64", "item_id": "int64", "first_char": "int32", "last_char": "int32"})
-
-    return documents.select("doc_id", "text").filter(F.length("text") > 0).mapInPandas(scan, "doc_id bigint, item_id bigint, first_char int, last_char int")
-
-
-def _near_run(region: str, passages: set[str], words: int, edits: int) -> bool:
-    """Whether some passage aligns with a stretch of the region within the edit budget."""
-    got = region.split()
-    for p in passages:
-        for i in range(max(1, len(got) - words + 1)):
-            for n in range(max(1, words - 1), words + 2):
-                if banded_distance(p, " ".join(got[i : i + n]), edits) <= edits:
-                    return True
-    return False
+            yield batch.assign(text=[normal(t) for t in batch["text"]])
+
+    key = lambda t, c: t.withColumn(c, F.xxhash64("text"))
+    docs = stage(key(texts.mapInPandas(plain, "doc_id bigint, text string"), "doc"))
+    held = stage(key(held, "item"))
+    once = docs.groupBy("doc").agg(F.min("text").alias("text"))  # copies of a document are looked at once
+    met = cut(once, "doc").join(cut(held.select("item", "text").distinct(), "item"), "gram")
+    shift = F.explode(F.array(F.lit(0), F.lit(BAND // 2))).alias("shift")
+    banded = met.select("doc", "item", "item_at", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), shift).withColumn("band", F.floor((F.col("diagonal") + F.col("shift")) / BAND))
+    counted = banded.groupBy("doc", "item", "shift", "band", "item_at").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high")).groupBy("doc", "item", "shift", "band")
+    counted = counted.agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("item_at").alias("first"), F.max("item_at").alias("last"))
+    known = held.groupBy("item").agg(F.min("shortest").alias("shortest"), F.min("text").alias("item_text"))
+    likely = counted.join(known, "item").filter(F.col("shared") >= F.greatest(F.lit(1), F.col("shortest") + 1 - q * (edits + 1))).join(once, "doc")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = [_verified(r.item_text, r.text, words, edits, q, r.low, r.high, r.first, r.last) for r in batch.itertuples()]
+            kept = batch[np.array(good, bool)]
+            yield pd.DataFrame({"doc": kept["doc"], "item": kept["item"], "first_char": np.maximum(0, kept["first"] + kept["low"]).astype(np.int32), "last_char": (kept["last"] + kept["high"] + q).astype(np.int32)})
+
+    good = likely.select("doc", "item", "item_text", "text", "low", "high", "first", "last").mapInPandas(verify, "doc bigint, item bigint, first_char int, last_char int")
+    return good.join(docs.select("doc_id", "doc"), "doc").join(held.select("item_id", "item"), "item").select("doc_id", "item_id", "first_char", "last_char")

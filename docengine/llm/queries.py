@@ -65,6 +65,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of twelve words with up to two edited characters."""
+    return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), edits=2)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixture.source_plan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "source_targets"))
     return plan.select("source", "copies", "status")
@@ -87,7 +92,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_repaired, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p5_found, p5_stripped, p6_found, p6_groups, p7_found, p8_found, p8_mixture, p8_report, p9_found, p9_kept)
+    named = (p1_found, p1_repaired, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p5_found, p5_stripped, p6_found, p6_groups, p7_found, p7_near, p8_found, p8_mixture, p8_report, p9_found, p9_kept)
     return {f.__name__: f for f in named}
 
 

@@ -85,12 +85,35 @@ def test_leaks_match_brute_force(spark):
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
 
 
-def test_leaks_with_edits():
-    assert leakage.banded_distance("kitten", "sitting", 3) == 3
-    assert leakage.banded_distance("kitten", "sitting", 2) == 3
-    assert leakage.banded_distance("abc", "abcdefgh", 2) == 3
-    passage = " ".join(f"passage{i}" for i in range(12))
-    assert leakage._near_run(passage.replace("passage5", "pasage5"), {passage}, 12, 2)
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_leaks_with_edits(spark, monkeypatch):
+    words = [f"passage{i}" for i in range(14)]
+    whole = " ".join(words)
+    near = [whole.replace("passage5", "pasage5"), whole.replace("passage5", "pasage5").replace("passage9", "paassage9"), whole.replace("passage5", "psge5").replace("passage9", "paasssage9"), whole.replace(" passage6", ""), "other " * 20 + whole.replace("e7", "f7") + " end" * 9]
+    texts = [*near, " ".join(words[:12]), " ".join(words[:11]), None, "", near[0]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, whole), (1, "something else " * 9), (2, None)], "item_id long, text string")
+    norm = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t)) + " "
+    runs = [" " + " ".join(words[k : k + 12]) + " " for k in range(3)]
+    want = {i for i, t in enumerate(texts) if t and any(_edit_distance(r, norm(t)[a : a + n]) <= 2 for r in runs for a in range(len(norm(t))) for n in range(len(r) - 2, len(r) + 3) if norm(t)[a : a + 1] == " ")}
+    assert {0, 1, 4, 5, 9} <= want and not want & {2, 6}
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items, edits=2).collect()}
+    assert got == {(i, 1) for i in want}
+    monkeypatch.setattr(leakage, "INDEX_CHARS", 10)
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items, edits=2).collect()} == got
+    assert {r.doc_id for r in leakage.leaks(docs, items).collect()} == {5} | {i for i, t in enumerate(texts) if t and any(r in norm(t) for r in runs)}
+    with pytest.raises(ValueError):
+        leakage.leaks(docs, items, edits=leakage.BAND)
+    with pytest.raises(ValueError):
+        leakage.leaks(docs, items, edits=31)
 
 
 # --- mixture
