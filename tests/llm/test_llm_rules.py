@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -54,6 +55,31 @@ def test_ends_in_the_first_half_of_the_window():
     assert splitting.cut_text(text, 200, 20)[0] == (0, 143)
 
 
+def _boundary(text, limit):
+    paragraphs = re.split(r"\n\s*\n", text)
+    sentences = [s for p in paragraphs for s in re.split(r"(?<=[.!?])\s+", p)]
+    for name, units in (("paragraph", paragraphs), ("sentence", sentences), ("word", text.split())):
+        if max((len(u.strip()) for u in units), default=0) <= limit:
+            return name
+    return "none"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["w ", "word ", "End. ", "stop!\n", "\n\n", "  ", "\n \n", "long" * 5, "x" * 31, "x" * 40, " ", "\n", "?"]), max_size=60))
+def test_forced_cuts_tell_the_boundary(parts):
+    text = "".join(parts)
+    assert splitting.Segmentation(text).forced(40) == _boundary(text, 40)
+
+
+def test_deepest_valley_is_taken_and_long_texts_are_linear():
+    one, two = "The hospital admits insured patients daily. ", "Premium invoices arrive every quarter promptly. "
+    text = one * 12 + two * 30
+    assert splitting.cut_text(text, 1000, 50)[0] == (0, len(one) * 12)
+    began = time.process_time()
+    pieces = splitting.cut_text((one + two) * 20_000, 2000, 200)
+    assert len(pieces) > 800 and time.process_time() - began < 60
+
+
 # --- repeated lines
 
 
