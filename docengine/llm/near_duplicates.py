@@ -138,6 +138,8 @@ def similar_sets(records: DataFrame, threshold: float, min_words: int) -> tuple[
 
 def _records(table: DataFrame, key: str, text: str, latest_by: str | None) -> DataFrame:
     at = F.col(latest_by) if latest_by else F.lit(None)
+    if latest_by and dict(table.dtypes)[latest_by].startswith(("timestamp", "date")):
+        at = at.cast("timestamp")
     return table.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), at.cast("double").alias("at")).filter("id is not null")
 
 
