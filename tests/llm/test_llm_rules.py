@@ -159,10 +159,13 @@ def test_rake_meets_marginals(spark):
     rows = [(i, "a " * (1 + i % 5), "xy"[i % 2], ["en", "de"][i % 3 == 0], "t") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, document_type string")
     targets = spark.createDataFrame([("x", 0.7, 9), ("y", 0.3, 9)], "source string, target_share double, max_repeats int")
-    plan = mixture.source_plan(docs, targets)
-    fit = mixture.rake(mixture._cells(docs, targets), plan).groupBy("source").agg(F.sum("weight").alias("w")).collect()
+    fit = mixture.rake(docs, targets).groupBy("source").agg(F.sum("weight").alias("w")).collect()
     total = sum(r.w for r in fit)
-    assert {r.source: round(r.w / total, 2) for r in fit} == {"x": 0.7, "y": 0.3}
+    assert {r.source: round(r.w / total, 6) for r in fit} == {"x": 0.7, "y": 0.3}
+    wanted = spark.createDataFrame([("en", 1.0), ("de", 3.0), ("xx", 5.0)], "lang string, share double")
+    fit = mixture.rake(docs, targets, lang_shares=wanted).collect()
+    total = sum(r.weight for r in fit)
+    assert abs(sum(r.weight for r in fit if r.lang == "de") / total - 0.75) < 1e-4 and abs(sum(r.weight for r in fit if r.source == "x") / total - 0.7) < 1e-6
 
 
 def test_short_source_draws_all_its_repeats(spark):
@@ -172,7 +175,7 @@ def test_short_source_draws_all_its_repeats(spark):
     targets = spark.createDataFrame([("short", 0.5, 3), ("rich", 0.5, 2)], "source string, target_share double, max_repeats int")
     drawn = {r.doc_id: r.repeats for r in mixture.mix(docs, targets).filter("source = 'short'").collect()}
     assert drawn == {i: 3 for i in range(60)}
-    fit = mixture.rake(mixture._cells(docs, targets), mixture.source_plan(docs, targets)).collect()
+    fit = mixture.rake(docs, targets).collect()
     assert all(r.rate <= {"short": 3, "rich": 2}[r.source] for r in fit)
     assert round(sum(r.weight for r in fit if r.source == "rich"), 6) == 0.5 * sum(len(t.split()) for _, t, *_ in rows)
 
