@@ -25,7 +25,11 @@ SEGMENTS, WIDTH = 9, 5
 #: Records with one key in one table up to which they are paired in one task; the rest are dealt to slots of this size.
 BUCKET = 1024
 #: Rows of the tables that one join task gets, in expectation.
-TASK_ROWS = 250_000
+TASK_ROWS = 350_000
+#: One in so many word sets is looked at to find the keys that are dealt to slots; a key missed there is only dealt less evenly.
+SAMPLE = 16
+#: Records whose words are hashed at once, so that the arrays stay in a core's cache.
+AT_ONCE = 1024
 #: Records of a class of identical word sets that are paired in one slot, in expectation.
 SLOT = 256
 
@@ -35,7 +39,7 @@ _SIGNED = "id string, at double, text_id bigint, set_id bigint, n int, sketch bi
 
 def _hash_family(size: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240601)
-    return rng.integers(1, 2**63, size, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, size, dtype=np.uint64)
+    return rng.integers(1, 2**32, size, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, size, dtype=np.uint32)
 
 
 def _signed(records: DataFrame, min_words: int) -> DataFrame:
@@ -44,33 +48,41 @@ def _signed(records: DataFrame, min_words: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factor, shift = _hash_family(SEGMENTS * WIDTH)
         known: dict[str, int] = {}
-        for batch in batches:
-            sets, signed = [], np.zeros(len(batch), bool)
-            for i, text in enumerate(batch["text"]):
-                words = set(_WORD.findall(text.lower())) if text else ()
-                if len(words) >= min_words:
-                    for w in words - known.keys():
-                        known[w] = xxhash.xxh64_intdigest(w)
-                    signed[i] = True
-                    sets.append(np.sort(np.fromiter((known[w] for w in words), np.uint64, len(words))))
-            if len(known) > 2_000_000:
-                known.clear()
-            few = batch.loc[~signed, ["id", "at", "text_id"]]
-            if len(few):
-                yield few.assign(set_id=np.int64(0), n=np.int32(0), sketch=np.int64(0), sketch2=np.int64(0), symbols=[np.empty(0, np.int32)] * len(few))
-            if not sets:
-                continue
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            symbols = np.empty((len(sets), len(factor)), np.uint32)
-            for k in range(len(factor)):
-                symbols[:, k] = np.minimum.reduceat((flat * factor[k] + shift[k]) >> np.uint64(32), starts)
-            # every word flips one of 128 bits: the sketches of two sets differ in at most as many bits as the sets in words
-            bit, half = np.uint64(1) << (flat >> np.uint64(58)), (flat & np.uint64(1 << 20)) > 0
-            sketch, sketch2 = (np.bitwise_xor.reduceat(np.where(h, bit, np.uint64(0)), starts) for h in (half, ~half))
-            yield batch.loc[signed, ["id", "at", "text_id"]].assign(
-                set_id=np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64),
-                n=sizes.astype(np.int32), sketch=sketch.view(np.int64), sketch2=sketch2.view(np.int64), symbols=list(symbols.view(np.int32)))
+        for whole in batches:
+            for start in range(0, len(whole), AT_ONCE):
+                batch = whole.iloc[start : start + AT_ONCE]
+                flat, sizes = [], np.zeros(len(batch), np.int32)
+                for i, text in enumerate(batch["text"]):
+                    words = set(_WORD.findall(text.lower())) if text else ()
+                    if len(words) >= min_words:
+                        for w in words:
+                            if w not in known:
+                                known[w] = xxhash.xxh64_intdigest(w)
+                        sizes[i] = len(words)
+                        flat += [known[w] for w in words]
+                if len(known) > 2_000_000:
+                    known.clear()
+                signed = sizes > 0
+                few = batch.loc[~signed, ["id", "at", "text_id"]]
+                if len(few):
+                    yield few.assign(set_id=np.int64(0), n=np.int32(0), sketch=np.int64(0), sketch2=np.int64(0), symbols=[np.empty(0, np.int32)] * len(few))
+                if not flat:
+                    continue
+                sizes, flat = sizes[signed], np.array(flat, np.uint64)
+                starts = np.cumsum(sizes) - sizes
+                # the exclusive and the sum of well-mixed words name the set, whatever the order of its words
+                mixed = (flat ^ (flat >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                set_id = np.bitwise_xor.reduceat(mixed, starts) * np.uint64(0xBF58476D1CE4E5B9) + np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
+                short = (flat >> np.uint64(11)).astype(np.uint32)
+                hashed, symbols = np.empty_like(short), np.empty((len(sizes), len(factor)), np.uint32)
+                for k in range(len(factor)):
+                    np.multiply(short, factor[k], out=hashed)
+                    np.bitwise_xor(hashed, shift[k], out=hashed)
+                    symbols[:, k] = np.minimum.reduceat(hashed, starts)
+                # every word flips one of 128 bits: the sketches of two sets differ in at most as many bits as the sets in words
+                bit, half = np.uint64(1) << (flat >> np.uint64(58)), (flat & np.uint64(1 << 20)) > 0
+                sketch, sketch2 = (np.bitwise_xor.reduceat(np.where(h, bit, np.uint64(0)), starts) for h in (half, ~half))
+                yield batch.loc[signed, ["id", "at", "text_id"]].assign(set_id=set_id.view(np.int64), n=sizes, sketch=sketch.view(np.int64), sketch2=sketch2.view(np.int64), symbols=list(symbols.view(np.int32)))
 
     return records.withColumn("text_id", F.xxhash64("text")).mapInPandas(sign, _SIGNED)
 
@@ -90,16 +102,14 @@ def _words(text: Column) -> Column:
 def _met(classes: DataFrame, threshold: float) -> DataFrame:
     """set_a, set_b: word sets with a table key in common whose sketches and sizes allow the similarity.
 
-    Keys of more than BUCKET sets are found in two steps (counts of coarse cells of keys first, then of the keys of full cells), and
-    their sets are dealt to slots, each slot meeting all sets of the key.
+    The sets of a key of more than BUCKET sets are dealt to slots, each slot meeting all sets of the key.
     """
     rows = classes.select("set_id", "n", "sketch", "sketch2", F.explode(F.array(*_tables())).alias("key"))
     n_rows = classes.count() * SEGMENTS * WIDTH
     tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // TASK_ROWS)
-    keys = rows.select("key", F.pmod("key", F.lit(n_rows // 64 + 1)).alias("cell"))
-    full = keys.groupBy("cell").agg(F.count("*").alias("held")).filter(F.col("held") > BUCKET).select("cell")
-    hot = keys.join(small_side(full), "cell", "left_semi").groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > BUCKET)
-    hot = small_side(hot.select("key", F.ceil(F.col("held") / BUCKET).cast("int").alias("slots")))
+    some = classes.filter(F.pmod(F.xxhash64("set_id"), F.lit(SAMPLE)) == 0).select(F.explode(F.array(*_tables())).alias("key"))
+    hot = some.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") * SAMPLE * 2 > BUCKET)
+    hot = small_side(hot.select("key", F.ceil(F.col("held") * SAMPLE / BUCKET).cast("int").alias("slots")))
     most = (1 - threshold) / (1 + threshold)  # of the words of both, at this similarity, occur in one only
 
     def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -118,17 +128,20 @@ def _met(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_sets(records: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Members (id, set_id, text_id, first: the class's smallest id) and links (set_a, set_b, similarity) between different word sets."""
+    """Members (id, set_id, text_id) and links (set_a, set_b, similarity) between different word sets."""
     signed = stage(_signed(records, min_words))
-    last = signed.groupBy("id").agg(F.max_by(F.struct("set_id", "text_id", "n"), F.struct("at", "text_id")).alias("r")).select("id", "r.*")
-    last = stage(last.filter(F.col("n") > 0).drop("n"))
-    firsts = stage(last.groupBy("set_id").agg(F.min(F.struct("id", "text_id")).alias("f")).select("set_id", F.col("f.id").alias("first"), F.col("f.text_id").alias("first_text")))
-    members = last.join(firsts.select("set_id", "first"), "set_id")
-    classes = stage(signed.filter(F.col("n") > 0).groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "sketch2", "symbols")]))  # alike in a class
+    ends = lambda c: [F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high")]
+    per = stage(signed.groupBy("id").agg(*ends("text_id"), F.max("set_id").alias("set_id"), F.max("n").alias("n")))
+    # few records come with several texts; of these the latest counts
+    several = small_side(per.filter("text_id_low <> text_id_high").select("id"))
+    last = signed.join(several, "id").groupBy("id").agg(F.max_by(F.struct("set_id", "text_id", "n"), F.struct("at", "text_id")).alias("r")).select("id", "r.*")
+    one = per.filter("text_id_low = text_id_high").select("id", "set_id", F.col("text_id_low").alias("text_id"), "n")
+    members = one.unionByName(last).filter(F.col("n") > 0).drop("n")
+    classes = stage(signed.filter(F.col("n") > 0).groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("text_id", "n", "sketch", "sketch2", "symbols")]))  # alike in a class, but for the text
     met = stage(_met(classes, threshold))
-    needed = met.select(F.col("set_a").alias("set_id")).union(met.select("set_b")).distinct().join(firsts.select("set_id", F.col("first").alias("id"), F.col("first_text").alias("text_id")), "set_id")
-    # the word set is that of the text by which the record counts, even where its id came with other texts
-    texts = records.select("id", "text", F.xxhash64("text").alias("text_id")).join(small_side(needed), ["id", "text_id"]).groupBy("set_id").agg(F.max("text").alias("text"))
+    needed = met.select(F.col("set_a").alias("set_id")).union(met.select("set_b")).distinct().join(classes.select("set_id", "text_id"), "set_id")
+    # the words of a class are those of one of its texts, whatever records came with it
+    texts = records.select("text", F.xxhash64("text").alias("text_id")).join(small_side(needed), "text_id").groupBy("set_id").agg(F.first("text").alias("text"))
     words = stage(texts.select("set_id", _words(F.col("text")).alias("words")))
     both = met.join(words.select(F.col("set_id").alias("set_a"), F.col("words").alias("words_a")), "set_a").join(words.select(F.col("set_id").alias("set_b"), F.col("words").alias("words_b")), "set_b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
@@ -199,5 +212,6 @@ def near_duplicate_groups(table: DataFrame, key: str = "chunk_id", text: str = "
     degree = links.select(F.col("set_a").alias("set_id")).union(links.select("set_b")).groupBy("set_id").agg(F.count("*").alias("links"))
     size = members.groupBy("set_id").agg(F.count("*").alias("copies"))
     heads = members.groupBy("set_id", "text_id").agg(F.min("id").alias("head"))
-    out = members.join(heads, ["set_id", "text_id"]).join(size, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(degree, "set_id", "left")
+    firsts = heads.groupBy("set_id").agg(F.min("head").alias("first"))
+    out = members.join(heads, ["set_id", "text_id"]).join(firsts, "set_id").join(size, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(degree, "set_id", "left")
     return out.select(F.col("id").alias(key), F.coalesce("root", "set_id").alias("group"), "head", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"))
