@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,36 +33,42 @@ PLACEHOLDERS = (
 PLACEHOLDER = "(?U)" + "|".join(f"(?:{p % {'n': NAME}})" for p in PLACEHOLDERS)
 #: Code in fences, backticks or code tags, where a placeholder is quoted and not left over.
 CODE = r"(?s)```.*?```|~~~.*?~~~|`[^`\n]*`|<(code|pre)\b.*?</\1>"
-#: Words around a placeholder that explain it: a text about templates, not one.
-TUTORIAL = r"(?iU)\b(?:placeholders?|template (?:language|engine|syntax|variable)s?|merge fields?|variables? (?:such as|like|named|called)|syntax|is replaced (?:by|with)|gets replaced|renders? as|escaped as|platzhalter|espace réservé|marcador de posición|wird ersetzt|est remplacé|se sustituye)\b"
-
-#: Words of stand-in text, and its fixed phrases.
-FILLER_PHRASES = r"(?iU)(?:\b(?:lorem ipsum|(?:sample|dummy|filler|placeholder|example|your|blind|test) (?:text|copy|content)(?: goes)?(?: here)?|this is (?:placeholder|dummy|sample|filler) (?:copy|text|content)|(?:text|content|copy) (?:goes|to come) here|blindtext|platzhaltertext|texte? (?:d'exemple|factice|ici)|texto de (?:relleno|ejemplo|muestra)|faux texte|beispieltext|mustertext|hier steht (?:ihr|der|ein) text)\b)"
+#: Speech that shows a placeholder instead of leaving it unfilled: what stands right before it, and what right after.
+SHOWN_BEFORE = r"(?:placeholders?|merge fields?|template tags?|tags?|variables?|syntax|platzhalter|espaces? réservés?|marcador(?:es)? de posición|such as|for example|e\.g\.|written as|write|type|zum beispiel|par exemple|por ejemplo)(?: (?:is|like|called|named|as|wie|ist|comme|est|como|es))?\W{0,3}"
+SHOWN_AFTER = r"\W{0,3}(?:(?:is|are|gets?|will be|wird|werden|est|sont|sera|se|es)\s+(?:then\s+)?(?:replaced|filled|rendered|substituted|expanded|ersetzt|remplacée?s?|sustituye|reemplaza)|stands? for|renders? as|steht für)\b"
+
+#: Stand-in phrases: words that each needs one of, and the phrases, in lower case.
+FILLER_WORDS = ("lorem", "text", "copy", "content", "filler", "relleno", "factice")
+FILLER_PHRASES = (
+    r"lorem ipsum|(?:sample|dummy|filler|placeholder|example|your|blind|test) (?:text|copy|content)(?: goes)?(?: here)?|this is (?:placeholder|dummy|sample|filler) (?:copy|text|content)|(?:text|content|copy) (?:goes|to come) here"
+    r"|blindtext|platzhaltertext|texte? (?:d'exemple|factice|ici)|texto de (?:relleno|ejemplo|muestra)|faux texte|beispieltext|mustertext|hier (?:steht|folgt|kommt)(?: \p{L}+)? (?:ihr|der|ein|dein) text|ici (?:votre|le) texte|aquí (?:va|irá) (?:el|su) texto"
+)
 
-#: Sentences of failed requests.
+#: Sentences of failed requests: words of which each pattern's matches hold at least one, and the pattern, in lower case. An empty word: no gate.
 ERROR_CUES = (
-    r"^\W*(?:http(?:/\d\.\d)?[ :-]*)?(?:[45]\d\d)\b\s*[-:–.]?\s*(?:not found|forbidden|unauthori[sz]ed|bad (?:request|gateway)|internal server error|service|gateway|server|error|page|too many|request|gone|$)",
-    r"^\W*(?:http\s*)?(?:error|fehler|erreur|error code|código de error|statuscode)\s*(?:code|http|nr\.?|n[o°]\.?)?\s*[:#]?\s*[45]\d\d\b",
-    r"^\W*http(?:/\d\.\d)?\s+(?:error\s+|status\s+)?[45]\d\d\b",
-    r"\b(?:page|file|document|resource|url|seite|datei|página|page) (?:you (?:requested|are looking for) )?(?:(?:was|were|could|can|cannot|has|does|is|be|not|been|no longer|nicht|wurde|konnte|no|non|n'a pas été|introuvable)\s+){0,3}(?:not found|be found|gefunden|encontrada|trouvée|introuvable|exist\b|available|removed)",
-    r"\b(?:internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|temporarily unavailable|too many (?:requests|connections|clients)|access (?:to this resource )?(?:is )?denied|permission denied|403 forbidden|zugriff (?:verweigert|nicht gestattet)|accès (?:refusé|interdit)|acceso denegado|no autorizado)\b",
-    r"\b(?:something went wrong|went wrong on our (?:side|end)|an? (?:unexpected|internal|fatal|unknown) error (?:has )?(?:occurred|happened)|ein (?:unerwarteter |interner )?fehler ist aufgetreten|une erreur (?:inattendue |interne )?(?:est survenue|s'est produite)|(?:ha ocurrido|se ha producido|se produjo) un error|interner serverfehler|erreur interne du serveur|error interno del servidor|servicio no disponible|service indisponible|dienst nicht verfügbar)\b",
-    r"^traceback \(most recent call last\)|\b(?:[a-z]+\.)+[a-z]*(?:exception|error)\b|^(?:unhandled |uncaught )?[a-z]*(?:exception|error) in thread|^[a-z]*(?:key|value|type|index|runtime|name|import|attribute|io|os|timeout|connection)error\b|\bnullpointerexception\b|\bstack ?trace\b|^fatal error\b|^(?:php )?(?:fatal|parse|warning) error\b|segmentation fault",
-    r"\b(?:database|db|upstream|server|connection)(?: connection)? (?:failed|refused|reset|timed out|error)\b|\bcould not connect\b|\bconnection (?:refused|reset|timed out)\b|\bsql(?:state|exception)?\b.*\berror\b",
-    r"^\W*(?:error|fehler|erreur) (?:reference|id|code|nummer)\s*[:#]",
-    r"^(?:erreur|fehler|error)\s*(?:404|500)\b",
-    r"\b(?:failed to load|could not be (?:located|loaded|displayed|opened)|did not respond|timed out|try again (?:in \d+|later)|derzeit nicht verfügbar|konnte nicht (?:geladen|gefunden|angezeigt) werden|permission to (?:view|access)|n'a pas pu|no se pudo|no pudo completar|n'est pas disponible|no está disponible|not authori[sz]ed to)\b",
+    (("not found", "forbidden", "unauthori", "bad", "internal", "service", "gateway", "server", "error", "page", "too many", "request", "gone", "\n4", "\n5", ""), r"^\W*(?:http(?:/\d\.\d)?[ :-]*)?(?:[45]\d\d)\b\s*[-:–.]?\s*(?:not found|forbidden|unauthori[sz]ed|bad (?:request|gateway)|internal server error|service|gateway|server|error|page|too many|request|gone|$)"),
+    (("error", "fehler", "erreur", "statuscode"), r"^\W*(?:http\s*)?(?:error|fehler|erreur|error code|código de error|statuscode)\s*(?:code|http|nr\.?|n[o°]\.?)?\s*[:#]?\s*[45]\d\d\b|^\W*(?:error|fehler|erreur) (?:reference|id|code|nummer)\s*[:#]"),
+    (("http",), r"^\W*http(?:/\d\.\d)?\s+(?:error\s+|status\s+)?[45]\d\d\b"),
+    (("found", "gefunden", "encontrad", "trouvée", "introuvable", "exist", "available", "removed", "moved", "verfügbar"), r"\b(?:page|file|document|resource|url|seite|datei|página|archivo|fichier|recurso) (?:you (?:requested|are looking for|asked for|want) |requested |demandée? |solicitad[ao] )?(?:(?:was|were|could|can|cannot|has|does|is|be|not|been|or|moved|no longer|nicht|wurde|konnte|ist|no|non|n'a pas été|est|n'est|pas|fue|ha sido)\s+){0,6}(?:not found|be found|gefunden|encontrad[oa]|trouvée|introuvable|exists?\b|existe\b|existiert|available|verfügbar|removed|moved)"),
+    (("server error", "gateway", "forbidden", "unavailable", "too many", "access", "permission", "zugriff", "accès", "acceso", "autorizado", "serverfehler", "interne du serveur", "interno del servidor", "no disponible", "service indisponible", "nicht verfügbar"), r"\b(?:internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|temporarily unavailable|too many (?:requests|connections|clients)|access (?:to this resource )?(?:is )?denied|permission denied|403 forbidden|zugriff (?:verweigert|nicht gestattet)|accès (?:refusé|interdit)|acceso denegado|no autorizado|interner serverfehler|erreur interne du serveur|error interno del servidor|servicio no disponible|service indisponible|dienst (?:derzeit )?nicht verfügbar)\b"),
+    (("wrong", "error", "fehler", "erreur"), r"\b(?:something went wrong|went wrong on our (?:side|end)|an? (?:unexpected|internal|fatal|unknown) error (?:has )?(?:occurred|happened)|ein (?:unerwarteter |interner )?fehler ist aufgetreten|une erreur (?:inattendue |interne )?(?:est survenue|s'est produite)|(?:ha ocurrido|se ha producido|se produjo) un error)\b"),
+    (("traceback", "exception", "error", "stack", "fault"), r"^traceback \(most recent call last\)|\b(?:[a-z]+\.)+[a-z]*(?:exception|error)\b|^(?:unhandled |uncaught )?[a-z]*(?:exception|error) in thread|^[a-z]*(?:key|value|type|index|runtime|name|import|attribute|io|os|timeout|connection)error\b|\bnullpointerexception\b|\bstack ?trace\b|^fatal error\b|^(?:php )?(?:fatal|parse|warning) error\b|segmentation fault"),
+    (("failed", "refused", "reset", "timed out", "error", "connect"), r"\b(?:database|db|upstream|server|connection)(?: connection)? (?:failed|refused|reset|timed out|error)\b|\bcould not connect\b|\bconnection (?:refused|reset|timed out)\b|\bsql(?:state|exception)?\b.*\berror\b"),
+    (("erreur", "fehler", "error"), r"^(?:erreur|fehler|error)\s*(?:404|500)\b"),
+    (("session", "sitzung", "sesión"), r"\b(?:session|sitzung|sesión)\b[^.\n]{0,20}\b(?:expired|timed out|ended|abgelaufen|expirée?|expirad[oa]|caducad[oa])\b"),
+    (("failed to load", "could not be", "respond", "timed out", "try again", "verfügbar", "konnte nicht", "permission", "n'a pas pu", "no se pudo", "completar", "disponible", "authori"), r"\b(?:failed to load|could not be (?:located|loaded|displayed|opened)|did not respond|timed out|try again (?:in \d+|later)|derzeit nicht verfügbar|konnte nicht (?:geladen|gefunden|angezeigt) werden|permission to (?:view|access)|n'a pas pu|no se pudo|no pudo completar|n'est pas disponible|no está disponible|not authori[sz]ed to)\b"),
 )
-#: Demands for scripts, cookies or another browser.
+#: Demands for scripts, cookies or another browser, in the same form.
 SCRIPT_CUES = (
-    r"\b(?:javascript|java script|js|scripts?|scripting|cookies)\b[^.\n]{0,60}\b(?:is|are|be|been|must be|needs? to be|to be|has been|have been|ist|sind|est|está|seems)?\s*(?:disabled|turned (?:on|off)|switched (?:on|off)|blocked|enabled|required|allowed|deaktiviert|ausgeschaltet|aktiviert|blockiert|erforderlich|désactivé\w*|activé\w*|requis|necesario|desactivado|deshabilitado|habilitado|activado)\b",
-    r"\b(?:enable|activate|allow|turn on|switch on|disable|aktivieren|einschalten|zulassen|activer|autoriser|active|activa|activar|habilite|habilita|habilitar|permita)\b[^.\n]{0,40}\b(?:javascript|js|scripts?|scripting|cookies|script blocker|skripte)\b",
-    r"\b(?:requires?|needs?|benötigt|erfordert|nécessite|requiere|necesita|without|ohne|sans|sin)\b[^.\n]{0,40}\b(?:javascript|js|client-side script(?:s|ing)|scripts? to|a (?:newer|modern|supported|current) browser|skripte|cookies)\b",
-    r"\bbrowser\b[^.\n]{0,60}\b(?:not support|unsupported|outdated|too old|not supported|nicht unterstützt|veraltet)\b|\bbrowser does not\b|\b(?:update|upgrade|adjust|change|check) (?:your|ihren) browser\b|\bchecking your browser\b|\bnoscript\b|\b(?:navigateur|navegador)\b[^.\n]{0,50}\b(?:obsolète|pas compatible|pas pris en charge|no es compatible|obsoleto|no admite|ne prend pas)\b|\bihr browser\b[^.\n]{0,50}\b(?:unterstützt|veraltet)\b",
+    (("script", "js", "cookie"), r"\b(?:javascript|java script|js|scripts?|scripting|cookies)\b[^.\n]{0,60}\b(?:is|are|be|been|must be|needs? to be|to be|has been|have been|ist|sind|est|está|seems)?\s*(?:disabled|turned (?:on|off)|switched (?:on|off)|blocked|enabled|required|allowed|deaktiviert|ausgeschaltet|aktiviert|blockiert|erforderlich|désactivé\w*|activé\w*|requis|necesario|desactivado|deshabilitado|habilitado|activado)\b"),
+    (("script", "js", "cookie", "skripte"), r"\b(?:enable|activate|allow|turn on|switch on|disable|aktivieren|einschalten|zulassen|activer|autoriser|active|activa|activar|habilite|habilita|habilitar|permita)\b[^.\n]{0,40}\b(?:javascript|js|scripts?|scripting|cookies|script blocker|skripte)\b"),
+    (("script", "js", "browser", "cookie", "skripte"), r"\b(?:requires?|needs?|benötigt|erfordert|nécessite|requiere|necesita|without|ohne|sans|sin)\b[^.\n]{0,40}\b(?:javascript|js|client-side script(?:s|ing)|scripts? to|a (?:newer|modern|supported|current) browser|skripte|cookies)\b"),
+    (("browser", "noscript", "navigateur", "navegador"), r"\bbrowser\b[^.\n]{0,60}\b(?:not support|unsupported|outdated|too old|not supported|nicht unterstützt|unterstützt|veraltet)\b|\bbrowser does not\b|\b(?:update|upgrade|adjust|change|check) (?:your|ihren) browser\b|\bchecking your browser\b|\bnoscript\b|\b(?:navigateur|navegador)\b[^.\n]{0,50}\b(?:obsolète|pas compatible|pas pris en charge|no es compatible|obsoleto|no admite|ne prend pas)\b"),
 )
-#: Speech about scripts and errors in real content.
-REPORTED = r"(?i)\b(?:error rate|fehlerquote|taux d'erreur|tasa de error|paper form|works? without|margin of error|in error|clerical error|error of)\b"
-
+#: Speech about scripts and errors in real content: reports by somebody, and errors that are no failed requests.
+REPORTED = r"\b(?:reports?|reported|said|says|wrote|writes|noted|notes? (?:that|down)|explains?|explained|confirmed|confirms|complained|complains|told|mentions?|mentioned|means? that|berichtet|sagte?|schrieb|bestätigt|erklärt|bedeutet|signale|dit que|a écrit|confirme|signifie|informa|dijo|escribió|confirma|significa)\b|\berror rate|fehlerquote|taux d'erreur|tasa de error|paper form|works? without|margin of error|in error\b|clerical error|error of\b"
+#: Words of messages about sites, which say nothing of a subject.
+SITE_WORDS = "page pages site website server system request requested requests document file resource address url link browser member area features feature required continue reload retry again later please check adjust settings view viewer shown show opening open read display reference error code time sign log back home contact support administrator moved start message seite adresse bitte prüfen sie vorgang später erneut serveur adresse veuillez afficher réessayer plus tard servidor solicitud dirección por favor inténtelo intente".split()
 
 #: Function words of four languages: running text has one every few words, stand-in text has none.
 FUNCTION_WORDS = (
@@ -74,59 +78,92 @@ FUNCTION_WORDS = (
     "el los las y en un una es por con para del al se su que no lo como si o usted"
 ).split()
 
+#: Stand-in text has at least so many words, and no function word or at most this share of different words, or so many sentences that
+#: are each repeated as often.
+MIN_WORDS, MAX_DISTINCT, REPEATS = 8, 0.12, 3
+#: Cue text makes the body if it has at least this share of the words of cue and prose, and a sentence is a cue only if at most this
+#: share of its words speaks of anything else.
+CUE_SHARE, OTHER_SHARE = 0.3, 0.4
 
-def _any(patterns: tuple[str, ...]) -> str:
-    return "(?iUm)" + "|".join(f"(?:{p})" for p in patterns)
 
+def _let(value: Column, body) -> Column:
+    """body of the value, which is evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
-def _anywhere(pattern: str) -> str:
-    """The pattern for a whole text: it is met in every text that has a part in which the pattern is met. Parts begin and end at white space."""
-    return re.sub(r"(?<![\[\\])\^", r"(?:^|(?<=\\s))", pattern).replace("$", r"(?:$|(?=\s))")
 
+def _has(low: Column, words) -> Column:
+    out = F.lit(False)
+    for w in sorted(set(words)):
+        out = out | low.contains(w)
+    return out
 
-def _defect(text: Column) -> Column:
-    told = r"(?iU)[^.!?\n]{0,300}?" + TUTORIAL.replace("(?iU)", "") + r"[^.!?\n]*"
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"((?U)[\p{L}\p{N}']+)"), 1)
+
+
+def _cue_words(low: Column, parts: Column, cues: tuple[tuple[tuple[str, ...], str], ...]) -> Column:
+    """Words of the parts that are cues: a pattern is met, nobody reports it, and little else is spoken of."""
+    total = F.lit(0)
+    gate = _has(low, [w for words, _ in cues for w in words if w])
+    pattern = "(?U)" + "|".join(f"(?:{p})" for _, p in cues)
+    known = F.array(*[F.lit(w) for w in sorted({*FUNCTION_WORDS, *SITE_WORDS})])
+    other = lambda s: F.size(F.filter(_words(F.regexp_replace(s, pattern, " ")), lambda w: ~F.array_contains(known, w) & w.rlike(r"(?U)^\p{L}{2,}")))
+    is_cue = lambda s: s.rlike(pattern) & ~s.rlike("(?U)" + REPORTED) & (other(s) <= OTHER_SHARE * F.size(_words(s)))
+    met = F.filter(parts, is_cue)
+    ungated = [p for words, p in cues if "" in words]
+    if ungated:
+        gate = gate | low.rlike("(?Um)" + "|".join(f"(?:{p})" for p in ungated)) | low.rlike(r"[.!?]\s+[45]\d\d\b")
+    return F.when(gate, F.aggregate(met, total, lambda n, s: n + F.size(_words(s)))).otherwise(0)
+
+
+def _unfilled(text: Column, low: Column) -> Column:
+    """Whether a place of a template is left outside code and outside speech that shows it."""
     plain = F.regexp_replace(text, CODE, " ")
-    plain = F.when(plain.rlike(TUTORIAL), F.regexp_replace(plain, told, " ")).otherwise(plain)
-    hole = text.rlike(r"[{}<>\[%@$#«&]|__|(?iU:T[OB]D)") & plain.rlike(PLACEHOLDER)
-    parts = F.filter(F.split(text, r"(?<=[.!?])\s+|\n"), lambda s: s.rlike(r"\S") & ~s.rlike(REPORTED))
-    hits = lambda pattern: F.when(text.rlike(_anywhere(pattern)), F.size(F.filter(parts, lambda s: s.rlike(pattern)))).otherwise(0)
-    scripts, errors, phrases = hits(_any(SCRIPT_CUES)), hits(_any(ERROR_CUES)), hits(FILLER_PHRASES)
-    # Full sentences of real content: a capital letter, six or more words, a full stop, and no cue. A report of a failure has one at most.
-    prose = F.size(
-        F.filter(F.split(text, r"(?<=[.!?])\s+|\n"), lambda s: s.rlike(r"(?U)^\W*\p{Lu}(?:\S*\s+){5,}\S*[.!?]\W*$") & (s.rlike(REPORTED) | ~(s.rlike(_any(ERROR_CUES)) | s.rlike(_any(SCRIPT_CUES)) | s.rlike(FILLER_PHRASES))))
-    )
-    body = F.regexp_replace(text, r"(?m)^\W*\d+(?:\.\d+)+ .*$|^[^|\n]*\|.*$", " ")
-    words = F.regexp_extract_all(F.lower(body), F.lit(r"((?U)\p{L}+)"), 1)
-    meaning = body.rlike(r"(?iU)\b(?:" + "|".join(sorted(set(FUNCTION_WORDS))) + r")\b")
+    shown = "(?iU)" + f"(?:{SHOWN_BEFORE})(?:{PLACEHOLDER[4:]})|(?:{PLACEHOLDER[4:]})(?:{SHOWN_AFTER})"
+    gate = text.rlike(r"[{}<>\[%@$#«&]|__") | _has(low, ("todo", "tbda", "tbd", "tobd", "tobda", "toda"))
+    return gate & plain.rlike(PLACEHOLDER) & F.regexp_replace(plain, shown, " ").rlike(PLACEHOLDER)
+
+
+def _judge(text: Column, low: Column) -> Column:
+    parts = F.filter(F.split(low, r"(?<=[.!?])\s+|\n"), lambda s: s.rlike(r"\S"))
+    scripts, errors = _cue_words(low, parts, SCRIPT_CUES), _cue_words(low, parts, ERROR_CUES)
+    phrases = F.when(_has(low, FILLER_WORDS), F.aggregate(F.filter(parts, lambda s: s.rlike(rf"(?U)\b(?:{FILLER_PHRASES})\b")), F.lit(0), lambda n, s: n + F.size(_words(s)))).otherwise(0)
+    # Full sentences of real content: a capital letter, six or more words, a full stop, and neither cue nor stand-in phrase.
+    every = F.split(text, r"(?<=[.!?])\s+|\n")
+    quiet = "(?U)" + "|".join(f"(?:{p})" for _, p in (*SCRIPT_CUES, *ERROR_CUES)) + rf"|\b(?:{FILLER_PHRASES})\b"
+    real = lambda s: s.rlike(r"(?U)^\W*\p{Lu}(?:\S*\s+){5,}\S*[.!?]\W*$") & (~F.lower(s).rlike(quiet) | F.lower(s).rlike("(?U)" + REPORTED))
+    prose = F.aggregate(F.filter(every, real), F.lit(0), lambda n, s: n + F.size(_words(s)))
+    body = F.regexp_replace(low, r"(?m)^\W*\d+(?:\.\d+)+ .*$|^[^|\n]*\|.*$", " ")
+    sentences = F.filter(F.split(body, r"(?<=[.!?])\s+|\n"), lambda s: s.rlike(r"(?U)\p{L}\P{L}+\p{L}.*[.!?]\W*$"))
+    again = _let(sentences, lambda x: (F.size(x) >= REPEATS) & (F.size(F.array_distinct(x)) * REPEATS <= F.size(x)))
+    meaning = body.rlike(r"(?U)\b(?:" + "|".join(sorted(set(FUNCTION_WORDS))) + r")\b")
     full = text.rlike(r"(?U)\p{Lu}(?:[^\s.!?]+\s+){5,}[^\s.!?]+[.!?]")
-    salad = F.when(~meaning, F.size(words) >= MIN_WORDS).otherwise(~full & (F.size(words) >= MIN_WORDS) & (F.size(F.array_distinct(words)) <= MAX_DISTINCT * F.size(words)))
-    return (
-        F.when(hole, "placeholder")
-        .when(scripts > 0, F.when(prose <= 1, "script_notice"))
-        .when(errors > 0, F.when(prose <= 1, "error_page"))
-        .when(phrases > 0, F.when(prose <= phrases, "filler"))
-        .when(salad, "filler")
-    )
+    salad = _let(_words(body), lambda w: (F.size(w) >= MIN_WORDS) & F.when(~meaning, True).otherwise(~full & (F.size(F.array_distinct(w)) <= MAX_DISTINCT * F.size(w))))
+    kinds = F.struct(scripts.alias("scripts"), errors.alias("errors"), phrases.alias("phrases"))
+    makes_body = lambda n, p: (n > 0) & (n >= CUE_SHARE * (n + p))
+    dense = lambda k: F.when(k["scripts"] + k["errors"] + k["phrases"] > 0, _let(prose, lambda p: (
+        F.when(makes_body(k["scripts"], p), "script_notice").when(makes_body(k["errors"], p), "error_page").when(makes_body(k["phrases"], p), "filler"))))
+    named = F.coalesce(_let(kinds, dense), F.when(again | salad, "filler"))
+    return F.when(_unfilled(text, low), "placeholder").otherwise(named)
 
 
-#: Stand-in text has at least so many words, and no function word or at most this share of different words.
-MIN_WORDS, MAX_DISTINCT = 8, 0.12
+def _defect(text: Column) -> Column:
+    return F.when(text.rlike(r"\S"), _let(F.lower(text), lambda low: _judge(text, low)))
 
 
 def residue(documents: DataFrame) -> DataFrame:
     """doc_id, defect of every document that is left out.
 
-    placeholder: a place of a template that was not filled, outside code and outside sentences that explain templates.
-    script_notice, error_page: their cues with at most one sentence of prose beside them. filler: stand-in phrases that
-    outnumber the prose, or words without any function word, or a few words over and over. Null, empty and blank texts
-    have no defect; a doc_id that comes twice with the same text gives one row.
+    placeholder: a place of a template that was not filled, outside code and unless the words right beside it show it as an example.
+    script_notice, error_page: their cues have at least CUE_SHARE of the words of cues and prose together. filler: stand-in phrases have
+    that share, or a few sentences are said over and over, or words come without any function word, or a few words again and again. Null,
+    empty and blank texts have no defect; a doc_id that comes twice with the same text gives one row.
     """
-    seen = documents.select("doc_id", "text").filter(r"text rlike '\\S'")
     # exploding the one-element array evaluates the defect once; a filter on it would be pushed down and evaluate it again
-    return seen.select("doc_id", F.explode(F.filter(F.array(_defect(F.col("text"))), lambda x: x.isNotNull())).alias("defect")).distinct()
+    return documents.select("doc_id", F.explode(F.filter(F.array(_defect(F.col("text"))), lambda x: x.isNotNull())).alias("defect")).distinct()
 
 
 def without_residue(documents: DataFrame) -> DataFrame:
-    """The documents without a defect, with all their columns."""
-    return documents.join(residue(documents).select("doc_id"), "doc_id", "left_anti")
+    """The documents without a defect, with all their columns and rows; a filter, no join."""
+    return documents.filter(_defect(F.col("text")).isNull())
