@@ -248,7 +248,7 @@ def test_residue_is_judged_by_density_and_passage(spark):
         "Dear {{ name }}, the syntax of your claim {{ claim_no }} is not what the desk expects.": "placeholder",
         "In a letter the tag {{ name }} is replaced by the name of the member.": None,
         "In a letter the tag {{ name }} is replaced by the name of the member. Dear {{ name }}, we thank you.": "placeholder",
-        "Error 503: service unavailable.\n" + "The desk pays the bill within nine days of the discharge. " * 9: None,
+        "Error 503: service unavailable.\n" + " ".join(f"The desk pays bill {n} within {n} days of the {w} discharge." for n, w in enumerate("first second third fourth".split())): None,
         "Nothing to see yet. Nothing to see yet. Nothing to see yet. Nothing to see yet.": "filler",
     }
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
