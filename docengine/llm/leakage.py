@@ -19,14 +19,14 @@ from docengine.plans.staging import ship_with_tasks, stage
 
 ship_with_tasks(__name__)
 
-Q = 12  # characters of a q-gram at most; less where the edit budget asks for it
+Q = 32  # characters of a q-gram at most; less where passages are short or the edit budget asks for it
 LEAST_Q = 4
 BAND = 64  # width of a diagonal band; bands overlap by half
 #: Characters of item text up to which the index (24 bytes a character) is sent to every task.
 INDEX_CHARS = 1024 * 1024
 
 _WORD = re.compile(r"[^\W_]+")
-_BASE = np.uint64(1_000_003)
+_BASE = 1_000_003
 
 
 def normal(text: str) -> str:
@@ -39,13 +39,21 @@ def _codes(text: str) -> np.ndarray:
 
 
 def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
-    """A hash of each window of q characters."""
-    codes = codes.astype(np.uint64)
-    if len(codes) < q:
+    """A hash of each window of q characters: windows of one, two, four ... characters put together."""
+    block, size, power = codes.astype(np.uint64), 1, _BASE
+    out, length, n = np.zeros(len(codes), np.uint64), 0, len(codes) - q + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(codes) - q + 1, np.uint64)
-    for k in range(q):
-        out = out * _BASE + codes[k : k + len(out)]
+    while size <= q:
+        if q & size:
+            m = len(block) - length
+            out = out[:m] * np.uint64(power) + block[length:]
+            length += size
+        if 2 * size <= q:
+            block = block[:-size] * np.uint64(power) + block[size:]
+        power = power * power % 2**64
+        size *= 2
+    out = out[:n]
     return out ^ (out >> np.uint64(29))
 
 
@@ -79,29 +87,26 @@ def aligned(item: str, runs: list[tuple[int, int]], doc: str, low: int, high: in
     low, high = low - edits, high + edits
     a, d = _codes(item), _codes(doc)
     begins, lengths = np.array([r[0] for r in runs]), np.array([r[1] - r[0] for r in runs])
-    diagonals = np.arange(low, high + 1)
+    diagonals, steps = np.arange(low, high + 1), np.arange(lengths.max())
+    at_item = np.minimum(begins[:, None] + steps, len(a) - 1)
+    at_doc = at_item[:, :, None] + diagonals
+    differs = (at_doc < 0) | (at_doc >= len(d)) | (d[np.clip(at_doc, 0, len(d) - 1)] != a[at_item][:, :, None])
+    differs &= (steps < lengths[:, None])[:, :, None]
+    if edits == 0:  # no step leaves its diagonal
+        return bool((~differs.any(axis=1)).any())
     cost = np.zeros((len(runs), len(diagonals)), np.int32)
-    steps = np.arange(len(diagonals), dtype=np.int32)
+    slope, left_out = np.arange(len(diagonals), dtype=np.int32), np.full_like(cost, edits + 1)
     for i in range(lengths.max()):
-        at = begins[:, None] + np.minimum(i, lengths - 1)[:, None] + diagonals[None, :]
-        inside = (at >= 0) & (at < len(d))
-        same = inside & (d[np.clip(at, 0, len(d) - 1)] == a[np.minimum(begins + i, len(a) - 1)][:, None])
-        step = cost + ~same
-        if edits:
-            # an item character left out moves one diagonal down, a doc character put in one up
-            left_out = np.full_like(cost, edits + 1)
-            left_out[:, :-1] = cost[:, 1:] + 1
-            step = np.minimum(step, left_out)
-            step = np.minimum.accumulate(step - steps, axis=1) + steps
-        step = np.minimum(step, edits + 1)
+        # an item character left out moves one diagonal down, a doc character put in one up
+        left_out[:, :-1] = cost[:, 1:] + 1
+        step = np.minimum(cost + differs[:, i], left_out) - slope
+        step = np.minimum(np.minimum.accumulate(step, axis=1) + slope, edits + 1)
         cost = np.where((i < lengths)[:, None], step, cost)
-        if (cost.min(axis=1) > edits).all():
-            return False
     return bool((cost <= edits).any())
 
 
-def _bands(doc_no: np.ndarray, item_no: np.ndarray, at: np.ndarray, item_at: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """(doc, item, lowest and highest diagonal, first and last item position) of the bands that share enough q-grams of the item."""
+def _bands(doc_no: np.ndarray, item_no: np.ndarray, at: np.ndarray, item_at: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int, int, np.ndarray]]:
+    """(doc, item, lowest and highest diagonal, item positions) of the bands that share enough q-grams of the item."""
     out = []
     diagonal = at - item_at
     for shift in (0, BAND // 2):
@@ -118,15 +123,20 @@ def _bands(doc_no: np.ndarray, item_no: np.ndarray, at: np.ndarray, item_at: np.
         ends = np.append(starts[1:], len(w))
         lows, highs = (np.minimum.reduceat(g, starts), np.maximum.reduceat(g, starts)) if len(starts) else (starts, starts)
         for k in np.nonzero(count >= least[n[starts]])[0]:
-            s, e = starts[k], ends[k] - 1
-            out.append((int(w[s]), int(n[s]), int(lows[k]), int(highs[k]), int(p[s]), int(p[e])))
-    return sorted(set(out))
+            s, e = starts[k], ends[k]
+            out.append((int(w[s]), int(n[s]), int(lows[k]), int(highs[k]), p[s:e][fresh[s:e]]))
+    return out
 
 
-def _verified(item: str, doc: str, words: int, edits: int, q: int, low: int, high: int, first: int, last: int) -> bool:
-    # a run with too few of its q-grams among those met cannot lie in the band
-    runs = [r for r in passages(item, words) if min(last + q, r[1]) - max(first, r[0]) >= r[1] - r[0] - q * edits - edits]
-    return aligned(item, runs, doc, low, high, edits)
+def _verified(item: str, doc: str, words: int, edits: int, q: int, low: int, high: int, met: np.ndarray) -> bool:
+    """Whether a run of the item with enough of its q-grams among those met (sorted positions) is aligned in the band."""
+    runs = np.array(passages(item, words))
+    held = np.searchsorted(met, runs[:, 1] - q, "right") - np.searchsorted(met, runs[:, 0], "left")
+    spare = held - np.maximum(1, runs[:, 1] - runs[:, 0] + 1 - q * (edits + 1))
+    order = np.argsort(-spare, kind="stable")
+    order = order[spare[order] >= 0].tolist()
+    # the likeliest run first: where it is aligned, the others need not be
+    return any(aligned(item, [tuple(runs[k]) for k in some], doc, low, high, edits) for some in (order[:1], order[1:]))
 
 
 def leaks(documents: DataFrame, items: DataFrame, words: int = 12, edits: int = 0) -> DataFrame:
@@ -151,7 +161,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = 12, edits: int =
     texts = documents.select("doc_id", "text").filter(F.length("text") > 0)
     if size["chars"] is None:
         return texts.limit(0).select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("first_char"), F.lit(0).alias("last_char"))
-    q = min(Q, size["shortest"] // (edits + 1))
+    q = min(Q, size["shortest"] * 3 // (4 * (edits + 1)))  # so that a fair share of a passage's q-grams must be met
     if q < LEAST_Q:
         raise ValueError("the edit budget is too large for passages of this length")
     found = _by_index(texts, held, words, edits, q) if size["chars"] <= INDEX_CHARS else _by_join(texts, held, words, edits, q)
@@ -173,9 +183,9 @@ def _by_index(texts: DataFrame, held: DataFrame, words: int, edits: int, q: int)
     distinct, starts = np.unique(keys[order], return_index=True)
     sizes = np.diff(np.append(starts, len(keys)))
     least = np.maximum(1, np.array([n for _, _, n in items]) + 1 - q * (edits + 1))
-    # a first look at 16 bits of the hash leaves few q-grams to be searched
-    seen = np.zeros(1 << 16, bool)
-    seen[(distinct & np.uint64(0xFFFF)).astype(np.int64)] = True
+    # a first look at 22 bits of the hash leaves few q-grams to be searched
+    seen = np.zeros(1 << 22, bool)
+    seen[(distinct & np.uint64(0x3FFFFF)).astype(np.int64)] = True
     shared = texts.sparkSession.sparkContext.broadcast((items, distinct, starts, sizes, who[order], at[order], least, seen))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +195,7 @@ def _by_index(texts: DataFrame, held: DataFrame, words: int, edits: int, q: int)
                 batch, rows = whole[a : a + 256], []
                 docs = [normal(t) for t in batch["text"]]
                 grams, doc_no, doc_at = _all_qgrams(docs, q)
-                some = np.nonzero(seen[(grams & np.uint64(0xFFFF)).astype(np.int64)])[0]
+                some = np.nonzero(seen[(grams & np.uint64(0x3FFFFF)).astype(np.int64)])[0]
                 slot = np.minimum(np.searchsorted(distinct, grams[some]), len(distinct) - 1)
                 met = distinct[slot] == grams[some]
                 some, slot = some[met], slot[met]
@@ -193,10 +203,10 @@ def _by_index(texts: DataFrame, held: DataFrame, words: int, edits: int, q: int)
                 back = np.repeat(some, n)
                 entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[slot], n)
                 done = set()
-                for d, i, low, high, first, last in _bands(doc_no[back], who[entry], doc_at[back], at[entry], least):
-                    if (d, i) not in done and _verified(items[i][1], docs[d], words, edits, q, low, high, first, last):
+                for d, i, low, high, met in _bands(doc_no[back], who[entry], doc_at[back], at[entry], least):
+                    if (d, i) not in done and _verified(items[i][1], docs[d], words, edits, q, low, high, met):
                         done.add((d, i))
-                        rows.append((batch["doc_id"].iloc[d], items[i][0], max(0, first + low), last + high + q))
+                        rows.append((batch["doc_id"].iloc[d], items[i][0], max(0, met[0] + low), met[-1] + high + q))
                 yield _rows(rows)
 
     return texts.mapInPandas(scan, _FOUND)
@@ -227,15 +237,16 @@ def _by_join(texts: DataFrame, held: DataFrame, words: int, edits: int, q: int)
     shift = F.explode(F.array(F.lit(0), F.lit(BAND // 2))).alias("shift")
     banded = met.select("doc", "item", "item_at", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), shift).withColumn("band", F.floor((F.col("diagonal") + F.col("shift")) / BAND))
     counted = banded.groupBy("doc", "item", "shift", "band", "item_at").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high")).groupBy("doc", "item", "shift", "band")
-    counted = counted.agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("item_at").alias("first"), F.max("item_at").alias("last"))
+    counted = counted.agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.sort_array(F.collect_list("item_at")).alias("met"))  # at most an item's length
     known = held.groupBy("item").agg(F.min("shortest").alias("shortest"), F.min("text").alias("item_text"))
     likely = counted.join(known, "item").filter(F.col("shared") >= F.greatest(F.lit(1), F.col("shortest") + 1 - q * (edits + 1))).join(once, "doc")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = [_verified(r.item_text, r.text, words, edits, q, r.low, r.high, r.first, r.last) for r in batch.itertuples()]
+            good = [_verified(r.item_text, r.text, words, edits, q, r.low, r.high, np.asarray(r.met)) for r in batch.itertuples()]
             kept = batch[np.array(good, bool)]
-            yield pd.DataFrame({"doc": kept["doc"], "item": kept["item"], "first_char": np.maximum(0, kept["first"] + kept["low"]).astype(np.int32), "last_char": (kept["last"] + kept["high"] + q).astype(np.int32)})
+            first, last = (np.array([m[k] for m in kept["met"]], np.int64) for k in (0, -1))
+            yield pd.DataFrame({"doc": kept["doc"], "item": kept["item"], "first_char": np.maximum(0, first + kept["low"]).astype(np.int32), "last_char": (last + kept["high"] + q).astype(np.int32)})
 
-    good = likely.select("doc", "item", "item_text", "text", "low", "high", "first", "last").mapInPandas(verify, "doc bigint, item bigint, first_char int, last_char int")
+    good = likely.select("doc", "item", "item_text", "text", "low", "high", "met").mapInPandas(verify, "doc bigint, item bigint, first_char int, last_char int")
     return good.join(docs.select("doc_id", "doc"), "doc").join(held.select("item_id", "item"), "item").select("doc_id", "item_id", "first_char", "last_char")
