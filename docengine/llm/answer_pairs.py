@@ -76,7 +76,17 @@ REFUSALS = (
     "no estoy en condiciones de responder a esta pregunta",
     "prefiero no responder a esa pregunta",
     "lamentablemente no puedo ayudarle con eso",
+    "no me está permitido contestar esta pregunta",
 )
+#: A refusal in words of its own: a sentence with a word for the one who answers, one for denying and one for answering, by language.
+SPEAKER = "i me my we our us assistant ai bot ich wir mir uns mein meine unser je j nous moi mes nos yo nosotros me nos mi mis asistente assistent".split()
+DENIAL = "not cannot unable decline declining declined refuse refusing refrain rather prefer avoid off pass no nicht kein keine keinen ablehnen nichts unmöglich verboten ne impossible refuser refuse interdit négarme negarme imposible prohibido prefiero préfère leider comment".split()
+ANSWERING = (
+    "help assist answer answering respond responding reply comment discuss discussing provide share say tell advise advising speak talk view opinion request question topic beantworten antworten helfen auskunft sagen äußern mitteilen bearbeiten anfrage "
+    "frage antwort répondre aider dire traiter commenter réponse demande question aborder responder contestar ayudar ayudarle decir comentar tratar respuesta petición pregunta hablar"
+).split()
+#: Words of courtesy beside a refusal, which are no answer either.
+COURTESY = "thank thanks sorry please contact ask person human colleague else instead regret understand hope apologise apologize apologies danke bitte leider wenden verständnis bedaure merci désolé veuillez contacter adressez regrette gracias siento favor contacte lamento perdone disculpe".split()
 #: Lead-ins that belong neither to a question nor to an answer.
 LEADS = {"note", "you", "asked", "q", "a", "question", "answer", "query", "frage", "antwort", "sie", "fragten", "pregunta", "respuesta", "réponse", "vous", "demandiez", "usted", "preguntó", "your", "was", "the", "is", "user", "assistant", "response"}
 
@@ -92,6 +102,8 @@ _TERMINAL = r"[.!?。]['\"”’»)\]*_]*$"
 _CITATION = r"\[[A-Za-z]?_?[0-9A-Za-z_, -]{1,40}\]|\((?:ref|see|source|siehe|vgl|voir|véase)\.?[^()]{0,30}\)"
 _ITEM = r"^\s*(?:[-*•–]|\d{1,2}[.)])\s+"
 _TOKEN = re.compile(r"[^\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n")
+_MARKS = {k: re.compile(v) for k, v in {"de": "[ßäöü]", "fr": "[çèêëîïôùûœ]|à", "es": "[ñ¿¡íóú]"}.items()}
 
 
 def latest_pairs(requests: DataFrame, responses: DataFrame) -> DataFrame:
@@ -107,26 +119,28 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(clean, _CITATION, " "), r"(?U)^\s+|\s+$", "")
 
 
-def is_empty(text: Column) -> Column:
-    core = F.regexp_replace(F.lower(_plain(text)), r"(?U)^[\W_]+|[\W_]+$", "")
-    return (core == "") | F.regexp_replace(core, r"(?U)\s+", " ").isin(NO_ANSWER)
+def is_empty(plain: Column) -> Column:
+    core = F.regexp_replace(F.lower(plain), r"(?U)^[\W_]+|[\W_]+$", "")
+    return F.regexp_replace(core, r"(?U)\s+", " ").isin("", *NO_ANSWER)
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence; a row of the table is the bits of one number."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for y in b:
+        met = row & at.get(y, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
 
 
 def _tokens(text: str) -> list[str]:
     t = text.lower().replace("’", "'")
-    t = re.sub(r"\bcan't\b|\bcannot\b", "can not", t)
-    t = re.sub(r"n't\b", " not", t)
-    t = t.replace("i'm", "i am").replace("i'd", "i would").replace("i'll", "i will").replace("i've", "i have")
-    return _TOKEN.findall(t)
+    if "'" in t:
+        t = t.replace("can't", "can not").replace("won't", "will not").replace("n't", " not").replace("i'm", "i am").replace("i'd", "i would").replace("i'll", "i will").replace("i've", "i have")
+    return ["can", "not"] if t == "cannot" else _TOKEN.findall(t.replace("cannot", "can not"))
 
 
 def _same_words(answer: list[str], query: list[str]) -> list[str]:
@@ -141,66 +155,93 @@ def _same_words(answer: list[str], query: list[str]) -> list[str]:
     return [near.get(w, w) for w in answer]
 
 
-_REFUSAL_TOKENS = [t.split() for t in REFUSALS]
+def _copied(asked: list[str], said: list[str]) -> bool:
+    """Whether the answer is the question again, once or several times: few shingles of its own, then nearly all of it aligned."""
+    if not asked or not said:
+        return False
+    own, given = set(zip(said, said[1:])) or {(said[0],)}, set(zip(asked, asked[1:])) | {(w,) for w in asked}
+    if len(own & given) < 0.3 * len(own):
+        return False
+    while said and said[0] in LEADS and said[: len(asked)] != asked and said[0] != asked[0]:
+        said = said[1:]
+    known = set(asked)
+    body = _same_words([w for w in said if w not in LEADS or w in known], asked)
+    return len(body) >= 0.5 * len(asked) and _lcs(asked * max(1, round(len(body) / len(asked))), body) >= 0.85 * len(body) > 0
+
+
+_TEMPLATES = [t.split() for t in REFUSALS]
+_LABELS = frozenset(("note", "hinweis", "nota", "remarque", "ref", "end"))
+_SPEAKER, _DENIAL, _ANSWERING, _COURTESY = (frozenset(x) for x in (SPEAKER, DENIAL, ANSWERING, COURTESY))
+
+
+def _fits_template(words: list[str]) -> bool:
+    """Whether the words are aligned with a refusal template, or begin with a long one."""
+    known = set(words)
+    for t in _TEMPLATES:
+        if len(known.intersection(t)) >= 0.6 * len(set(t)):
+            if min(len(t), len(words)) >= 0.6 * max(len(t), len(words)) and _lcs(t, words) >= 0.75 * max(len(t), len(words)):
+                return True
+            if len(t) >= 6 and _lcs(t, words[: len(t) + 1]) >= 0.88 * len(t):
+                return True
+    return False
+
+
+def _own_refusal(words: list[str]) -> bool:
+    """Whether the one who answers denies answering: a word for each of the three close together."""
+    for i, w in enumerate(words):
+        if w in _DENIAL and not _SPEAKER.isdisjoint(words[max(0, i - 5) : i + 6]) and not _ANSWERING.isdisjoint(words[max(0, i - 4) : i] + words[i + 1 : i + 9]):
+            return True
+    return False
+
+
+def _refused(said: list[str], answer: str) -> bool:
+    """Whether the sentences that decline outweigh those that answer; sentences of courtesy count for neither."""
+    if _DENIAL.isdisjoint(said):
+        return False
+    refusing = answering = 0
+    for sentence in _SENTENCE.split(answer):
+        words = [w for w in _tokens(sentence) if w not in _LABELS and not w.isdigit()]
+        if len(words) > 2 and not _DENIAL.isdisjoint(words) and (_own_refusal(words) or _fits_template(words)):
+            refusing += len(words)
+        elif _COURTESY.isdisjoint(words):
+            answering += len(words)
+    if not refusing:  # the whole may be one refusal over several marks
+        words = [w for w in said if w not in _LABELS and not w.isdigit()]
+        return _fits_template(words)
+    return refusing >= answering
+
+
+_KNOWN = {k: frozenset(v) for k, v in LANGUAGES.items()}
+
+
+def _language(words: list[str], text: str) -> dict[str, int]:
+    """Function words, and letters with the language's marks."""
+    return {k: sum(map(known.__contains__, words)) + (len(_MARKS[k].findall(text)) if k in _MARKS else 0) for k, known in _KNOWN.items()}
+
+
+def _other_language(asked: list[str], query: str, said: list[str], answer: str) -> bool:
+    q = _language(asked, query)
+    own = max(q, key=q.get)
+    if sum(n == q[own] for n in q.values()) > 1:
+        return False
+    a = _language(said, answer)
+    best = max(n for k, n in a.items() if k != own)
+    return best >= 3 and best >= 1.5 * a[own] + 1
 
 
 @F.pandas_udf(StringType())
-def _aligned(query: pd.Series, answer: pd.Series) -> pd.Series:
-    """copied or refusal by the longest common subsequence of tokens, else null. Called for candidates only."""
+def _aligned(query: pd.Series, plain: pd.Series) -> pd.Series:
+    """copied, refusal or other_language by the tokens of the two texts, else null."""
 
     def judge(q: str, a: str) -> str | None:
         asked, said = _tokens(q), _tokens(a)
-        while said and said[0] in LEADS and said[: len(asked)] != asked and said[0] != (asked[0] if asked else None):
-            said = said[1:]
-        if asked and said and len(said) <= 4 * len(asked) + 8:
-            body = _same_words([w for w in said if w not in LEADS or w in asked], asked)
-            times = max(1, round(len(body) / len(asked)))
-            shared = _lcs(asked * times, body)
-            if len(body) >= 0.5 * len(asked) and shared >= 0.85 * len(body):
-                return "copied"
-        sentences = [_tokens(s) for s in re.split(r"(?<=[.!?;])\s+|\n", a)]
-        whole = [w for w in said if w not in ("ref",) and not w.isdigit()]
-        for said_here in [whole, *sentences]:
-            words = [w for w in said_here if w not in ("note", "hinweis", "nota", "remarque")]
-            if 3 <= len(words) <= 40:
-                for t in _REFUSAL_TOKENS:
-                    near = min(len(t), len(words)) >= 0.6 * max(len(t), len(words)) and _lcs(t, words) >= 0.75 * max(len(t), len(words))
-                    # or the template and then what it declines to speak of
-                    near = near or (len(t) >= 6 and len(words) <= len(t) + 9 and _lcs(t, words[: len(t) + 1]) >= 0.88 * len(t))
-                    if near and len(whole) - len(words) <= max(10, len(t)):
-                        return "refusal"
-        return None
-
-    return pd.Series([judge(q, a) for q, a in zip(query, answer)])
-
-
-def _shingles(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"((?U)[\p{L}\p{N}]+)"), 1)
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, 2), " ")))
-
-
-#: A word that nearly every refusal holds, of the template list above: those without one are not aligned.
-_DECLINES = r"(?iU)\b(?:not|cannot|can.?t|unable|decline|refuse|rather|prefer|sorry|off limits|pass on|comment|nicht|keine?|ablehnen|nichts|leider|ne|impossible|refuser|négarme|negarme|no|prefiero|désolé)\b"
-
-
-def _language(text: Column) -> dict[str, Column]:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"((?U)\p{L}+)"), 1)
-    marks = {"en": None, "de": "[ßäöü]", "fr": "[çèêëîïôùûœ]|à", "es": "[ñ¿¡íóú]"}
-    count = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
-    return {k: count(v) + (F.regexp_count(F.lower(text), F.lit(marks[k])) if marks[k] else F.lit(0)) for k, v in LANGUAGES.items()}
-
-
-def _other_language(query: Column, answer: Column) -> Column:
-    q, a = _language(query), _language(answer)
-    out = F.lit(False)
-    for k in LANGUAGES:
-        asks = F.lit(True)
-        for other in LANGUAGES:
-            if other != k:
-                asks = asks & (q[k] > q[other])
-        best = F.greatest(*[a[o] for o in LANGUAGES if o != k])
-        out = out | (asks & (best >= 3) & (best >= 1.5 * a[k] + 1))
-    return out
+        if _copied(asked, said):
+            return "copied"
+        if _refused(said, a):
+            return "refusal"
+        return "other_language" if _other_language(asked, q.lower(), said, a.lower()) else None
+
+    return pd.Series([judge(q, a) for q, a in zip(query, plain)])
 
 
 def _masked(text: Column) -> Column:
@@ -235,27 +276,23 @@ def defects(requests: DataFrame, responses: DataFrame, min_rate: float = 0.05) -
     a full stop in prose of more than a few words; or its last list item ends with two words that seldom (min_rate) end one.
     A null answer is empty, a null query is an empty question, redelivered rows count once, empty tables give no rows.
     """
-    pairs = latest_pairs(requests, responses)
-    empty = stage(pairs.filter(is_empty(F.col("answer"))).select("request_id"))
     query, answer, plain = F.col("query"), F.col("answer"), F.col("plain")
-    given = stage(pairs.filter(~is_empty(answer)).withColumn("plain", F.regexp_replace(_plain(answer), r"[\s*_]+$", "")).withColumn("parts", _parts(plain)))
-    own = _shingles(plain)
-    candidate = (F.size(F.array_intersect(_shingles(query), own)) >= 0.3 * F.size(own)) | (answer.rlike(_DECLINES) & (F.length(answer) <= 400))
+    pairs = stage(latest_pairs(requests, responses).withColumn("plain", F.regexp_replace(_plain(answer), r"[\s*_]+$", "")))
+    empty = pairs.filter(is_empty(plain)).select("request_id", F.lit("empty").alias("defect"))
     last = F.element_at(F.split(plain, r"\n"), -1)
     raw_last = F.regexp_replace(answer, r"(?U)[\s\u200b]+$", "")
-    read = given.select(
-        "request_id", "query", "answer", candidate.alias("candidate"), _other_language(query, plain).alias("foreign"),
+    read = pairs.filter(~is_empty(plain)).select(
+        "request_id", _aligned(query, plain).alias("aligned"), _parts(plain).alias("parts"),
         plain.rlike(_TERMINAL).alias("closed"), last.rlike(_ITEM).alias("item"),
         (plain.rlike(r"(?:\.\.\.|…)$") | raw_last.rlike(r"\[[^\]\s]{0,12}$|\([^)]{0,30}$") | plain.rlike(r"[,;:(\[{&/–-]$") | plain.rlike(r"(?U)(?:^|\s)\p{Lu}\.$") | (F.regexp_count(answer, F.lit("```")) % 2 == 1)).alias("open"),
         (plain.rlike(r"(?U)^\W*[\d]") & ~plain.rlike(r"\d$") | plain.rlike(r"(?U)^(?:\p{Lu}[\p{L}'’-]*\s*){1,3}$")).alias("label"),
-        F.size(F.split(plain, r"(?U)\s+")).alias("n_words"), F.expr("concat_ws(' ', get(get(parts, size(parts) - 1), size(get(parts, size(parts) - 1)) - 2), get(get(parts, size(parts) - 1), size(get(parts, size(parts) - 1)) - 1))").alias("tail"),
-        (plain != F.regexp_replace(answer, r"(?U)^\s+|\s+$", "")).alias("cited"),
+        F.size(F.split(plain, r"(?U)\s+")).alias("n_words"), (plain != F.regexp_replace(answer, r"(?U)^\s+|\s+$", "")).alias("cited"),
     )
     read = stage(read)
-    aligned = read.filter("candidate").select("request_id", _aligned(query, answer).alias("aligned")).filter("aligned is not null")
-    rates = small_side(closing_rates(given))
-    judged = read.drop("query", "answer").join(aligned, "request_id", "left").join(rates, "tail", "left")
+    end = F.element_at("parts", -1)
+    tail = F.when(F.size("parts") > 0, F.concat_ws(" ", F.get(end, F.size(end) - 2), F.get(end, F.size(end) - 1)))
+    judged = read.withColumn("tail", tail).join(small_side(closing_rates(read)), "tail", "left")
     rare = F.coalesce("rate", F.lit(0.0)) < min_rate
     broken = F.col("open") | (~F.col("closed") & F.when(F.col("item") | F.col("cited"), rare).otherwise(~(F.col("label") & (F.col("n_words") <= 3))))
-    found = judged.select("request_id", F.coalesce("aligned", F.when(F.col("foreign"), "other_language"), F.when(broken, "truncated")).alias("defect"))
-    return found.filter("defect is not null").unionByName(empty.select("request_id", F.lit("empty").alias("defect")))
+    found = judged.select("request_id", F.coalesce("aligned", F.when(broken, "truncated")).alias("defect"))
+    return found.filter("defect is not null").unionByName(empty)

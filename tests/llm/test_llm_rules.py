@@ -275,6 +275,34 @@ def test_broken_pairs(spark):
     assert answer_pairs.defects(asked.limit(0), answers).count() == 0
 
 
+def test_refusals_of_any_length_and_wording(spark):
+    good = "The desk pays the bill within nine days of discharge. The broker signs the form for the member."
+    pairs = {
+        "Thank you for your question about the ward.\nI'm sorry, but I can't help with that request.\nPlease contact a person at the desk for more.": "refusal",
+        "We have looked at this with care. " * 12 + "\nOur assistant is not permitted to say anything on the matter, and we regret that. " + "Please ask a human colleague instead. " * 9: None,
+        "Please understand that this has been looked at. " * 12 + "\nOur assistant is not permitted to respond to questions of this kind.": "refusal",
+        "That is a matter on which I would much rather not offer an opinion.": "refusal",
+        "My rules keep me from that, so I will not be answering the question.": "refusal",
+        "Leider darf ich dazu keine Auskunft geben. Bitte wenden Sie sich an eine Kollegin.": "refusal",
+        "No. " + good + " I can help with the form if needed.": None,
+        "I can not say which ward it was. " + good: None,
+        "The no-claim bonus is lost if our member does not answer the letter in nine days. " + good: None,
+    } | {t: "refusal" for t in answer_pairs.REFUSALS}
+    asked = spark.createDataFrame([(i, "Who pays the bill of the ward in spring?", None) for i in range(len(pairs))], "request_id long, query string, logged_at timestamp")
+    answers = spark.createDataFrame([(i, a) for i, a in enumerate(pairs)], "request_id long, synthesized_answer string").withColumn("responded_at", F.lit("2024-01-01").cast("timestamp"))
+    got = {r.request_id: r.defect for r in answer_pairs.defects(asked, answers).filter("defect in ('refusal', 'copied', 'other_language')").collect()}
+    wrong = {a: got.get(i) for i, (a, d) in enumerate(pairs.items()) if got.get(i) != d}
+    assert not wrong
+    assert all(not answer_pairs._DENIAL.isdisjoint(t) for t in answer_pairs._TEMPLATES)
+
+
+def test_copies_of_any_length():
+    asked = answer_pairs._tokens("Who pays the bill of the ward in spring?")
+    assert answer_pairs._copied(asked, asked * 300) and not answer_pairs._copied(asked, asked + "the desk pays it within nine days and the member keeps a copy".split())
+    a, b = "a b c d e f g".split(), "x b d c f g a".split()
+    assert answer_pairs._lcs(a, b) == 4 and answer_pairs._lcs([], b) == 0
+
+
 def test_counts_of_tokens(spark):
     texts = ["a b", "", None, "x-y z!", "é 12", "a_b"]
     got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixture.token_count(F.col("t")).alias("n")).collect()]
