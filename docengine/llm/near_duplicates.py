@@ -25,7 +25,7 @@ SEGMENTS, WIDTH = 9, 5
 #: Records with one key in one table up to which they are paired in one task; the rest are dealt to slots of this size.
 BUCKET = 1024
 #: Rows of the tables that one join task gets, in expectation.
-TASK_ROWS = 350_000
+TASK_ROWS = 250_000
 #: One in so many word sets is looked at to find the keys that are dealt to slots; a key missed there is only dealt less evenly.
 SAMPLE = 16
 #: Records whose words are hashed at once, so that the arrays stay in a core's cache.
