@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from docengine.plans.staging import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 #: A field name inside a placeholder: up to five words of letters, joined by blank, dot, underscore or hyphen.
 NAME = r"[\p{L}][\p{L}\p{Nd}]*(?:[ ._-][\p{L}\p{Nd}]+){0,4}"
@@ -44,16 +52,19 @@ FILLER_PHRASES = (
     r"|blindtext|platzhaltertext|texte? (?:d'exemple|factice|ici)|texto de (?:relleno|ejemplo|muestra)|faux texte|beispieltext|mustertext|hier (?:steht|folgt|kommt)(?: \p{L}+)? (?:ihr|der|ein|dein) text|ici (?:votre|le) texte|aquí (?:va|irá) (?:el|su) texto"
 )
 
-#: Sentences of failed requests: words of which each pattern's matches hold at least one, and the pattern, in lower case. An empty word: no gate.
+#: A status code where a sentence or line begins.
+CODE_FIRST = r"(?m)(?:^|[.!?]\s)\W*(?:http(?:/\d\.\d)?[ :-]*)?[45]\d\d\b"
+#: Sentences of failed requests: words of which each pattern's matches hold at least one, and the pattern, in lower case. No words: CODE_FIRST.
 ERROR_CUES = (
-    (("not found", "forbidden", "unauthori", "bad", "internal", "service", "gateway", "server", "error", "page", "too many", "request", "gone", "\n4", "\n5", ""), r"^\W*(?:http(?:/\d\.\d)?[ :-]*)?(?:[45]\d\d)\b\s*[-:–.]?\s*(?:not found|forbidden|unauthori[sz]ed|bad (?:request|gateway)|internal server error|service|gateway|server|error|page|too many|request|gone|$)"),
+    ((), r"^\W*(?:http(?:/\d\.\d)?[ :-]*)?(?:[45]\d\d)\b\s*[-:–.]?\s*(?:not found|forbidden|unauthori[sz]ed|bad (?:request|gateway)|internal server error|service|gateway|server|error|page|too many|request|gone|$)"),
     (("error", "fehler", "erreur", "statuscode"), r"^\W*(?:http\s*)?(?:error|fehler|erreur|error code|código de error|statuscode)\s*(?:code|http|nr\.?|n[o°]\.?)?\s*[:#]?\s*[45]\d\d\b|^\W*(?:error|fehler|erreur) (?:reference|id|code|nummer)\s*[:#]"),
     (("http",), r"^\W*http(?:/\d\.\d)?\s+(?:error\s+|status\s+)?[45]\d\d\b"),
     (("found", "gefunden", "encontrad", "trouvée", "introuvable", "exist", "available", "removed", "moved", "verfügbar"), r"\b(?:page|file|document|resource|url|seite|datei|página|archivo|fichier|recurso) (?:you (?:requested|are looking for|asked for|want) |requested |demandée? |solicitad[ao] )?(?:(?:was|were|could|can|cannot|has|does|is|be|not|been|or|moved|no longer|nicht|wurde|konnte|ist|no|non|n'a pas été|est|n'est|pas|fue|ha sido)\s+){0,6}(?:not found|be found|gefunden|encontrad[oa]|trouvée|introuvable|exists?\b|existe\b|existiert|available|verfügbar|removed|moved)"),
     (("server error", "gateway", "forbidden", "unavailable", "too many", "access", "permission", "zugriff", "accès", "acceso", "autorizado", "serverfehler", "interne du serveur", "interno del servidor", "no disponible", "service indisponible", "nicht verfügbar"), r"\b(?:internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|temporarily unavailable|too many (?:requests|connections|clients)|access (?:to this resource )?(?:is )?denied|permission denied|403 forbidden|zugriff (?:verweigert|nicht gestattet)|accès (?:refusé|interdit)|acceso denegado|no autorizado|interner serverfehler|erreur interne du serveur|error interno del servidor|servicio no disponible|service indisponible|dienst (?:derzeit )?nicht verfügbar)\b"),
     (("wrong", "error", "fehler", "erreur"), r"\b(?:something went wrong|went wrong on our (?:side|end)|an? (?:unexpected|internal|fatal|unknown) error (?:has )?(?:occurred|happened)|ein (?:unerwarteter |interner )?fehler ist aufgetreten|une erreur (?:inattendue |interne )?(?:est survenue|s'est produite)|(?:ha ocurrido|se ha producido|se produjo) un error)\b"),
-    (("traceback", "exception", "error", "stack", "fault"), r"^traceback \(most recent call last\)|\b(?:[a-z]+\.)+[a-z]*(?:exception|error)\b|^(?:unhandled |uncaught )?[a-z]*(?:exception|error) in thread|^[a-z]*(?:key|value|type|index|runtime|name|import|attribute|io|os|timeout|connection)error\b|\bnullpointerexception\b|\bstack ?trace\b|^fatal error\b|^(?:php )?(?:fatal|parse|warning) error\b|segmentation fault"),
-    (("failed", "refused", "reset", "timed out", "error", "connect"), r"\b(?:database|db|upstream|server|connection)(?: connection)? (?:failed|refused|reset|timed out|error)\b|\bcould not connect\b|\bconnection (?:refused|reset|timed out)\b|\bsql(?:state|exception)?\b.*\berror\b"),
+    (("exception", "error", "stack", "fault"), r"\b(?:[a-z]+\.)+[a-z]*(?:exception|error)\b|\bnullpointerexception\b|\bstack ?trace\b|segmentation fault"),
+    (("traceback", "exception", "error"), r"^traceback \(most recent call last\)|^(?:unhandled |uncaught )?[a-z]*(?:exception|error) in thread|^[a-z]*(?:key|value|type|index|runtime|name|import|attribute|io|os|timeout|connection)error\b|^fatal error\b|^(?:php )?(?:fatal|parse|warning) error\b"),
+    (("failed", "refused", "reset", "timed out", "error", "could not connect"), r"\b(?:database|db|upstream|server|connection)(?: connection)? (?:failed|refused|reset|timed out|error)\b|\bcould not connect\b|\bconnection (?:refused|reset|timed out)\b|\bsql(?:state|exception)?\b.*\berror\b"),
     (("erreur", "fehler", "error"), r"^(?:erreur|fehler|error)\s*(?:404|500)\b"),
     (("session", "sitzung", "sesión"), r"\b(?:session|sitzung|sesión)\b[^.\n]{0,20}\b(?:expired|timed out|ended|abgelaufen|expirée?|expirad[oa]|caducad[oa])\b"),
     (("failed to load", "could not be", "respond", "timed out", "try again", "verfügbar", "konnte nicht", "permission", "n'a pas pu", "no se pudo", "completar", "disponible", "authori"), r"\b(?:failed to load|could not be (?:located|loaded|displayed|opened)|did not respond|timed out|try again (?:in \d+|later)|derzeit nicht verfügbar|konnte nicht (?:geladen|gefunden|angezeigt) werden|permission to (?:view|access)|n'a pas pu|no se pudo|no pudo completar|n'est pas disponible|no está disponible|not authori[sz]ed to)\b"),
@@ -91,65 +102,85 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _has(low: Column, words) -> Column:
-    out = F.lit(False)
-    for w in sorted(set(words)):
-        out = out | low.contains(w)
-    return out
+_GATES = (*[words for words, _ in ERROR_CUES], *[words for words, _ in SCRIPT_CUES], FILLER_WORDS)
+_CODE = re.compile(r"[45]\d\d(?!\d)")
+_HOLE = re.compile(r"[{}<>\[%@$#«&]|__|tod|tbd")
+
+
+@F.pandas_udf(IntegerType())
+def _gates(text: pd.Series) -> pd.Series:
+    """A bit for each cue (and the stand-in phrases, and placeholders) of which the lower-case text holds a word."""
+
+    def bits(t: str | None) -> int:
+        low, out = (t or "").lower(), 0
+        for i, words in enumerate(_GATES):
+            if any(w in low for w in words) if words else _CODE.search(low):
+                out |= 1 << i
+        return out | (1 << len(_GATES) if _HOLE.search(low) else 0)
+
+    return pd.Series([bits(t) for t in text], dtype="int32")
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"((?U)[\p{L}\p{N}']+)"), 1)
 
 
-def _cue_words(low: Column, parts: Column, cues: tuple[tuple[tuple[str, ...], str], ...]) -> Column:
+def _possible(low: Column, bits: Column, words: tuple[str, ...], pattern: str) -> Column:
+    """Whether a part of the text can match: by its words, then, unless the pattern asks where a part begins, by the whole text."""
+    gate = bits.bitwiseAND(F.lit(1 << _GATES.index(words))) != 0
+    if not words:
+        return gate & low.rlike(CODE_FIRST)
+    # without word boundaries the pattern is met in all the more texts, and faster
+    return gate if "^" in pattern.replace("[^", "") else gate & low.rlike(pattern.replace(r"\b", ""))
+
+
+def _cue_words(low: Column, bits: Column, parts: Column, cues: tuple[tuple[tuple[str, ...], str], ...]) -> Column:
     """Words of the parts that are cues: a pattern is met, nobody reports it, and little else is spoken of."""
-    total = F.lit(0)
-    gate = _has(low, [w for words, _ in cues for w in words if w])
+    gate = F.lit(False)
+    for words, p in cues:
+        gate = gate | _possible(low, bits, words, p)
     pattern = "(?U)" + "|".join(f"(?:{p})" for _, p in cues)
     known = F.array(*[F.lit(w) for w in sorted({*FUNCTION_WORDS, *SITE_WORDS})])
     other = lambda s: F.size(F.filter(_words(F.regexp_replace(s, pattern, " ")), lambda w: ~F.array_contains(known, w) & w.rlike(r"(?U)^\p{L}{2,}")))
     is_cue = lambda s: s.rlike(pattern) & ~s.rlike("(?U)" + REPORTED) & (other(s) <= OTHER_SHARE * F.size(_words(s)))
-    met = F.filter(parts, is_cue)
-    ungated = [p for words, p in cues if "" in words]
-    if ungated:
-        gate = gate | low.rlike("(?Um)" + "|".join(f"(?:{p})" for p in ungated)) | low.rlike(r"[.!?]\s+[45]\d\d\b")
-    return F.when(gate, F.aggregate(met, total, lambda n, s: n + F.size(_words(s)))).otherwise(0)
+    return F.when(gate, F.aggregate(F.filter(parts, is_cue), F.lit(0), lambda n, s: n + F.size(_words(s)))).otherwise(0)
 
 
-def _unfilled(text: Column, low: Column) -> Column:
+def _unfilled(text: Column, bits: Column) -> Column:
     """Whether a place of a template is left outside code and outside speech that shows it."""
     plain = F.regexp_replace(text, CODE, " ")
     shown = "(?iU)" + f"(?:{SHOWN_BEFORE})(?:{PLACEHOLDER[4:]})|(?:{PLACEHOLDER[4:]})(?:{SHOWN_AFTER})"
-    gate = text.rlike(r"[{}<>\[%@$#«&]|__") | _has(low, ("todo", "tbda", "tbd", "tobd", "tobda", "toda"))
+    gate = bits.bitwiseAND(F.lit(1 << len(_GATES))) != 0
     return gate & plain.rlike(PLACEHOLDER) & F.regexp_replace(plain, shown, " ").rlike(PLACEHOLDER)
 
 
-def _judge(text: Column, low: Column) -> Column:
+def _judge(text: Column, low: Column, bits: Column) -> Column:
     parts = F.filter(F.split(low, r"(?<=[.!?])\s+|\n"), lambda s: s.rlike(r"\S"))
-    scripts, errors = _cue_words(low, parts, SCRIPT_CUES), _cue_words(low, parts, ERROR_CUES)
-    phrases = F.when(_has(low, FILLER_WORDS), F.aggregate(F.filter(parts, lambda s: s.rlike(rf"(?U)\b(?:{FILLER_PHRASES})\b")), F.lit(0), lambda n, s: n + F.size(_words(s)))).otherwise(0)
+    scripts, errors = _cue_words(low, bits, parts, SCRIPT_CUES), _cue_words(low, bits, parts, ERROR_CUES)
+    stand_in = rf"(?U)\b(?:{FILLER_PHRASES})\b"
+    phrases = F.when(_possible(low, bits, FILLER_WORDS, FILLER_PHRASES), F.aggregate(F.filter(parts, lambda s: s.rlike(stand_in)), F.lit(0), lambda n, s: n + F.size(_words(s)))).otherwise(0)
     # Full sentences of real content: a capital letter, six or more words, a full stop, and neither cue nor stand-in phrase.
     every = F.split(text, r"(?<=[.!?])\s+|\n")
     quiet = "(?U)" + "|".join(f"(?:{p})" for _, p in (*SCRIPT_CUES, *ERROR_CUES)) + rf"|\b(?:{FILLER_PHRASES})\b"
     real = lambda s: s.rlike(r"(?U)^\W*\p{Lu}(?:\S*\s+){5,}\S*[.!?]\W*$") & (~F.lower(s).rlike(quiet) | F.lower(s).rlike("(?U)" + REPORTED))
     prose = F.aggregate(F.filter(every, real), F.lit(0), lambda n, s: n + F.size(_words(s)))
-    body = F.regexp_replace(low, r"(?m)^\W*\d+(?:\.\d+)+ .*$|^[^|\n]*\|.*$", " ")
-    sentences = F.filter(F.split(body, r"(?<=[.!?])\s+|\n"), lambda s: s.rlike(r"(?U)\p{L}\P{L}+\p{L}.*[.!?]\W*$"))
-    again = _let(sentences, lambda x: (F.size(x) >= REPEATS) & (F.size(F.array_distinct(x)) * REPEATS <= F.size(x)))
-    meaning = body.rlike(r"(?U)\b(?:" + "|".join(sorted(set(FUNCTION_WORDS))) + r")\b")
+    body = F.regexp_replace(low, r"(?m)^\W*\d+(?:\.\d+)+ .*$|^[^|\n]*+\|.*$", " ")
+    sentences = lambda t: F.filter(F.split(t, r"(?<=[.!?])\s+|\n"), lambda s: s.contains(" ") & s.rlike(r"[.!?]$"))
+    again = lambda t: _let(sentences(t), lambda x: (F.size(x) >= REPEATS) & (F.size(F.array_distinct(x)) * REPEATS <= F.size(x)))
+    meaning = lambda t: t.rlike(r"(?U)\b(?:" + "|".join(sorted(set(FUNCTION_WORDS))) + r")\b")
     full = text.rlike(r"(?U)\p{Lu}(?:[^\s.!?]+\s+){5,}[^\s.!?]+[.!?]")
-    salad = _let(_words(body), lambda w: (F.size(w) >= MIN_WORDS) & F.when(~meaning, True).otherwise(~full & (F.size(F.array_distinct(w)) <= MAX_DISTINCT * F.size(w))))
+    few = lambda t: _let(_words(t), lambda w: (F.size(w) >= MIN_WORDS) & (~meaning(t) | (F.size(F.array_distinct(w)) <= MAX_DISTINCT * F.size(w))))
+    salad = lambda t: F.when(meaning(t) & full, False).otherwise(few(t))
     kinds = F.struct(scripts.alias("scripts"), errors.alias("errors"), phrases.alias("phrases"))
     makes_body = lambda n, p: (n > 0) & (n >= CUE_SHARE * (n + p))
     dense = lambda k: F.when(k["scripts"] + k["errors"] + k["phrases"] > 0, _let(prose, lambda p: (
         F.when(makes_body(k["scripts"], p), "script_notice").when(makes_body(k["errors"], p), "error_page").when(makes_body(k["phrases"], p), "filler"))))
-    named = F.coalesce(_let(kinds, dense), F.when(again | salad, "filler"))
-    return F.when(_unfilled(text, low), "placeholder").otherwise(named)
+    named = F.coalesce(_let(kinds, dense), _let(body, lambda t: F.when(again(t) | salad(t), "filler")))
+    return F.when(_unfilled(text, bits), "placeholder").otherwise(named)
 
 
-def _defect(text: Column) -> Column:
-    return F.when(text.rlike(r"\S"), _let(F.lower(text), lambda low: _judge(text, low)))
+def _defect(text: Column, bits: Column) -> Column:
+    return F.when(text.rlike(r"\S"), _let(F.lower(text), lambda low: _judge(text, low, bits)))
 
 
 def residue(documents: DataFrame) -> DataFrame:
@@ -161,9 +192,11 @@ def residue(documents: DataFrame) -> DataFrame:
     empty and blank texts have no defect; a doc_id that comes twice with the same text gives one row.
     """
     # exploding the one-element array evaluates the defect once; a filter on it would be pushed down and evaluate it again
-    return documents.select("doc_id", F.explode(F.filter(F.array(_defect(F.col("text"))), lambda x: x.isNotNull())).alias("defect")).distinct()
+    gated = documents.select("doc_id", "text", _gates("text").alias("bits"))
+    return gated.select("doc_id", F.explode(F.filter(F.array(_defect(F.col("text"), F.col("bits"))), lambda x: x.isNotNull())).alias("defect")).distinct()
 
 
 def without_residue(documents: DataFrame) -> DataFrame:
     """The documents without a defect, with all their columns and rows; a filter, no join."""
-    return documents.filter(_defect(F.col("text")).isNull())
+    gated = documents.select("*", _gates("text").alias("_residue_gates"))
+    return gated.filter(_defect(F.col("text"), F.col("_residue_gates")).isNull()).drop("_residue_gates")
