@@ -49,7 +49,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.strip_repeated(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "source_files"))
+    """Pages without the lines of clusters of alike lines."""
+    return boilerplate.strip_repeated(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "source_files"), near=True)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

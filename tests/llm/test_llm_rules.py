@@ -1,3 +1,4 @@
+import random
 import re
 import time
 from collections import Counter
@@ -95,6 +96,43 @@ def test_repeated_lines(spark):
     assert near.count() == 3
 
 
+def test_alike_clusters_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "BUCKET", 8)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}x" for i in range(300)]
+    lines = []
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(40)]
+        lines.append(base)
+        for change in (1, 1, 2):
+            other = base[:]
+            for k in rng.sample(range(1, 40), change):
+                other[k] = rng.choice(vocabulary)
+            lines.append(other)
+    lines += [[*lines[0][:39], f"end{i}"] for i in range(30)] + [["short", "line"], ["short", "lines"]]
+    masked = [" ".join(x) for x in lines]
+    shingles = [{tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} for x in lines]
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    root = list(range(len(lines)))
+    for _ in lines:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    forms = spark.createDataFrame([("s", i, m) for i, m in enumerate(masked)] + [("t", 1000 + i, masked[i]) for i in range(3)], "source string, form_id long, masked string")
+    got = {r.form_id: r.cluster for r in boilerplate.alike_clusters(forms).collect()}
+    found = sum(got[i] == got[j] for i, j in near)
+    assert len(got) == len(lines) + 3 and found >= 0.98 * len(near) and len(near) > 400
+    assert all(root[i] == root[j] for i in range(len(lines)) for j in range(i) if got[i] == got[j])
+    assert not {got[1000 + i] for i in range(3)} & {got[i] for i in range(len(lines))}
+
+
+def test_clusters_come_from_the_buckets(spark, monkeypatch):
+    rows = pages(spark, *[(i, f"d{i}", "The same line stands here.") for i in range(3)])
+    source = files(spark, *[(f"d{i}", "A") for i in range(3)])
+    assert boilerplate.repeated_lines(rows, source).count() == 3
+    monkeypatch.setattr(boilerplate, "BANDS", 0)
+    assert boilerplate.repeated_lines(rows, source).count() == 0
+
+
 # --- leakage
 
 
