@@ -24,6 +24,11 @@ DIVIDES = "-¬‐\u00ad–"
 #: Digits and what they are misread as.
 DIGITS_READ, DIGITS_MEANT = "OoQlIi|!SsBZzbgq", "0001111155822699"
 
+#: Different edge lines of a document that are compared with its running lines in one task, in expectation.
+SLOT = 2000
+#: Roman signs and their values.
+ROMAN = (("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100), ("d", 500), ("m", 1000))
+
 _DIVIDED = rf"[{DIVIDES}]\s*$"
 _CODE = r"\b\p{Lu}{1,4}-\s*\d+\b"
 _GLYPH = r"\p{L}0-9@!+$£€¢"
@@ -51,7 +56,8 @@ def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, document_id, page_number, scanned, text: each page once, raw text where it was scanned and clean text elsewhere."""
     scanned = F.coalesce("used_ocr", F.lit(False))
     text = F.regexp_replace(F.when(scanned, F.col("raw_text")).otherwise(F.coalesce("cleaned_text", "raw_text")), r"\r", "")
-    once = pages.filter("page_id is not null").groupBy("page_id").agg(F.max_by(F.struct("document_id", "page_number", scanned.alias("scanned"), text.alias("text")), F.struct("extracted_at", scanned, text)).alias("p"))
+    document = F.coalesce("document_id", F.concat(F.lit("page "), F.col("page_id").cast("string"))).alias("document_id")
+    once = pages.filter("page_id is not null").groupBy("page_id").agg(F.max_by(F.struct(document, "page_number", scanned.alias("scanned"), text.alias("text")), F.struct("extracted_at", scanned, text)).alias("p"))
     return once.select("page_id", "p.*").filter("text <> ''")
 
 
@@ -60,11 +66,10 @@ def _numbered(text: Column) -> Column:
     return F.filter(lines, lambda x: x["line"].rlike(r"(?U)\S"))
 
 
-def _roman(n: int) -> str:
-    out = ""
-    for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
-        out, n = out + sign * (n // value), n % value
-    return out
+def _roman_value(numeral: Column) -> Column:
+    """Value of a lower-case Roman numeral: each sign counts, less if a greater one follows."""
+    signs = F.transform(F.split(numeral, ""), lambda c: F.create_map(*[F.lit(x) for pair in ROMAN for x in pair])[c])
+    return F.aggregate(F.transform(signs, lambda v, i: F.when(v < F.coalesce(F.get(signs, i + 1), F.lit(0)), -v).otherwise(v)), F.lit(0), lambda n, v: n + v)
 
 
 def running_lines(scans: DataFrame, files: DataFrame, edge: int = 3) -> DataFrame:
@@ -79,8 +84,8 @@ def running_lines(scans: DataFrame, files: DataFrame, edge: int = 3) -> DataFram
     edges = edges.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).withColumn("key", _line_key(F.col("line"))).withColumn("digits", F.regexp_extract("line", _NUMBER, 1))
     value = F.translate("digits", DIGITS_READ, DIGITS_MEANT).try_cast("int")
     number = (F.col("digits") != "") & (F.col("digits").rlike(r"\d") | F.col("line").rlike(_DRESSED))
-    roman = F.lower(F.regexp_extract("line", r"(?i)^\W*((?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\W*$", 1))
-    numeral = F.create_map(*[F.lit(x) for n in range(1, 400) for x in (_roman(n), n)])[roman]
+    roman = F.lower(F.regexp_extract("line", r"(?i)^\W*(m*(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\W*$", 1))
+    numeral = F.when(roman != "", _roman_value(roman))
     edges = stage(edges.withColumn("offsets", F.array_compact(F.array(F.when(number, value - F.col("page_number")), F.when(roman != "", numeral - F.col("page_number"))))))
 
     counted = edges.select("page_id", "document_id", "line_no", "line", F.explode("offsets").alias("offset"))
@@ -93,28 +98,41 @@ def running_lines(scans: DataFrame, files: DataFrame, edge: int = 3) -> DataFram
     again = titled.groupBy("document_id", "key").agg(F.count_distinct("page_id").alias("pages")).filter("pages >= 2").select("document_id", F.col("key").alias("known"))
     insurers = scans.select("document_id").distinct().join(names, "document_id").select("document_id", _line_key(F.col("insurer")).alias("known")).filter("length(known) >= 4")
     known = again.union(insurers).distinct()
-    near = (F.col("key") == F.col("known")) | (F.levenshtein("key", "known") * 4 <= F.length("known"))
-    headers = edges.filter(F.length("key") >= 4).join(known, "document_id").filter(near & ~F.col("line").rlike(r"^\d+(?:\.\d+)+ ")).select("page_id", "line_no", F.lit("header").alias("defect")).distinct()
+    # each key of a document is compared once; the keys of a long document are dealt to slots, and its known keys meet each slot
+    keys = edges.filter((F.length("key") >= 4) & ~F.col("line").rlike(r"^\d+(?:\.\d+)+ ")).select("document_id", "key", "page_id", "line_no")
+    distinct = stage(keys.select("document_id", "key").distinct())
+    same = distinct.join(known.withColumnRenamed("known", "key"), ["document_id", "key"])
+    slots = distinct.groupBy("document_id").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("slots"))
+    dealt = distinct.join(known.withColumnRenamed("known", "key"), ["document_id", "key"], "left_anti").join(slots, "document_id").withColumn("slot", F.pmod(F.xxhash64("key"), "slots").cast("int")).drop("slots")
+    every = known.join(slots, "document_id").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+    near = (F.abs(F.length("key") - F.length("known")) * 4 <= F.length("known")) & (F.levenshtein("key", "known") * 4 <= F.length("known"))
+    close = dealt.join(every, ["document_id", "slot"]).filter(near).select("document_id", "key").distinct()
+    headers = keys.join(same.union(close), ["document_id", "key"]).select("page_id", "line_no", F.lit("header").alias("defect")).distinct()
     return headers.union(numbers).groupBy("page_id", "line_no").agg(F.min("defect").alias("defect"))
 
 
 def content_lines(scans: DataFrame, running: DataFrame) -> DataFrame:
-    """page_id, line_no, line, following (the next line of text, on the next page too), led (the line before was divided)."""
+    """page_id, line_no, line, following (the next line of text, on the next page too) with its page_id and line_no, led (the line
+    before was divided), prior (the last word of the line before)."""
     gone = running.groupBy("page_id").agg(F.collect_list("line_no").alias("gone"))  # at most the edge lines of a page
     page = scans.join(gone, "page_id", "left").select(
         "page_id", "document_id", "page_number",
         F.filter(_numbered(F.col("text")), lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), x["line_no"])).alias("c"))
     page = page.filter("size(c) > 0")
     order = W.partitionBy("document_id").orderBy("page_number", "page_id")
-    ends = page.select("page_id", "document_id", "page_number", F.get("c", F.lit(0))["line"].alias("first"), F.element_at("c", -1)["line"].alias("last"))
-    ends = ends.select("page_id", F.lead("first").over(order).alias("next_first"), F.lag("last").over(order).alias("prev_last"))
+    ends = page.select("page_id", "document_id", "page_number", F.get("c", F.lit(0)).alias("first"), F.element_at("c", -1)["line"].alias("last"))
+    ends = ends.select("page_id", F.lead(F.struct("page_id", "first.line_no", "first.line")).over(order).alias("next_first"), F.lag("last").over(order).alias("prev_last"))
     lines = page.join(ends, "page_id").select(
         "page_id",
         F.explode(F.transform("c", lambda x, i: F.struct(
             x["line_no"].alias("line_no"), x["line"].alias("line"),
-            F.when(i + 1 < F.size("c"), F.get("c", i + 1)["line"]).otherwise(F.col("next_first")).alias("following"),
+            F.when(i + 1 < F.size("c"), F.struct(F.col("page_id"), F.get("c", i + 1)["line_no"].alias("line_no"), F.get("c", i + 1)["line"].alias("line"))).otherwise(F.col("next_first")).alias("following"),
             F.when(i > 0, F.get("c", i - 1)["line"]).otherwise(F.col("prev_last")).alias("before")))).alias("x"))
-    return lines.select("page_id", "x.line_no", "x.line", "x.following", F.coalesce(F.col("x.before").rlike(_DIVIDED), F.lit(False)).alias("led"))
+    led = F.coalesce(F.col("x.before").rlike(_DIVIDED), F.lit(False))
+    prior = F.coalesce(F.try_element_at(F.filter(_tokens(F.regexp_extract("x.before", r"(\S*)\s*$", 1)), lambda t: t != ""), F.lit(-1)), F.lit(""))
+    return lines.select(
+        "page_id", "x.line_no", "x.line", F.col("x.following.line").alias("following"), F.col("x.following.page_id").alias("following_page"), F.col("x.following.line_no").alias("following_no"),
+        led.alias("led"), F.when(led, F.lit("")).otherwise(prior).alias("prior"))
 
 
 def _tokens(text: Column) -> Column:
@@ -128,12 +146,12 @@ def _is_word(token: Column) -> Column:
 
 
 def divided_words(lines: DataFrame) -> DataFrame:
-    """page_id, line_no, mark, head, tail: a line's last word part before a dividing mark, and the next line's first."""
+    """page_id, line_no, mark, head, tail, following_page, following_no: a line's last word part before a dividing mark, and the next line's first."""
     cut = lines.filter(F.col("line").rlike(rf"(?U)\p{{L}}{_DIVIDED}") & F.col("following").isNotNull())
     mark = F.regexp_extract("line", rf"([{DIVIDES}])\s*$", 1)
     head = F.regexp_extract("line", rf"(?U)([{_GLYPH}ﬁﬂ\-]*[{_GLYPH}ﬁﬂ])[{DIVIDES}]\s*$", 1)
     tail = F.regexp_extract("following", rf"(?U)^\s*([{_GLYPH}ﬁﬂ]+(?:-[{_GLYPH}ﬁﬂ]+)*)", 1)
-    return cut.select("page_id", "line_no", mark.alias("mark"), head.alias("head"), tail.alias("tail")).filter("head <> ''")
+    return cut.select("page_id", "line_no", mark.alias("mark"), head.alias("head"), tail.alias("tail"), "following_page", "following_no").filter("head <> ''")
 
 
 def word_forms(texts: DataFrame, divided: DataFrame) -> DataFrame:
@@ -147,7 +165,7 @@ def word_forms(texts: DataFrame, divided: DataFrame) -> DataFrame:
 
 
 def misread_forms(pairs: DataFrame, ratio: int = 4) -> DataFrame:
-    """prev, form, meant: forms that stand for a more frequent form of the same skeleton, '' as prev where the context does not tell.
+    """prev, form, meant, default: forms that stand for a more frequent form of the same skeleton, and what they mean after prev and in general.
 
     A form of letters only is misread if no clean page has it and a form of its skeleton is ratio times as frequent, or twice as
     frequent and seen after the same word. A form with digits or signs among its letters is misread if its skeleton has a form of letters,
@@ -168,22 +186,59 @@ def misread_forms(pairs: DataFrame, ratio: int = 4) -> DataFrame:
     there = single.filter("letters and prev <> ''").join(doubt.select("form"), "form", "left_anti").groupBy("prev", "skel").agg(F.max(F.struct("n", "form")).alias("c")).select("prev", "skel", F.col("c.form").alias("in_context"))
     told = here.join(there, ["prev", "skel"], "left")
     sure = ~F.col("letters") | (F.col("all_n") * ratio <= F.col("best_n")) | F.col("in_context").isNotNull()
-    return told.filter(sure).select("prev", "form", F.coalesce("in_context", "best").alias("meant")).distinct()
+    return told.filter(sure).select("prev", "form", F.coalesce("in_context", "best").alias("meant"), F.col("best").alias("default")).distinct()
 
 
 def _bad_words(lines: DataFrame, divided: DataFrame, misread: DataFrame) -> DataFrame:
-    """page_id, line_no, form, meant: each misread word with the line that holds it."""
+    """page_id, line_no, place, prev, form, meant: each misread word with the line that holds it and the word before it.
+
+    A word means what its skeleton means after the same word, else in general. place is 'in' for whole words, 'first' for one that
+    begins its line, 'head' and 'tail' for the parts of a divided word; a part is listed on its own line if it differs from the word meant.
+    """
     text = F.regexp_replace("line", rf"(?U)\S+{_DIVIDED}", " ")
     text = F.when(F.col("led"), F.regexp_replace(text, r"(?U)^\s*\S+", " ")).otherwise(text)
-    said = lines.select("page_id", "line_no", F.explode(F.array_distinct(F.flatten(F.transform(_tokens(text), lambda t: F.split(t, "-"))))).alias("form")).filter(_is_word(F.col("form")))
-    meant = misread.groupBy("form").agg(F.max_by("meant", F.struct(F.col("prev") != "", "meant")).alias("meant"))
-    meant = small_side(meant)  # the measured table of misread forms; beyond the limit the join shuffles
-    plain = said.join(meant, "form").select("page_id", "line_no", "form", "meant")
-    cut = divided.filter("tail <> ''").withColumn("form", F.lower(F.concat(F.element_at(F.split("head", "-"), -1), F.get(F.split("tail", "-"), F.lit(0)))))
-    cut = cut.join(meant, "form").withColumn("own", F.lower(F.element_at(F.split("head", "-"), -1)))
-    # the wrong glyph is in the first part unless the meant word begins with it
-    first = cut.filter(F.col("meant").isNull() | ~F.col("meant").startswith(F.col("own"))).select("page_id", "line_no", "form", "meant")
-    return plain.unionByName(first)
+    words = F.filter(_tokens(text), lambda t: t != "")
+    seen = lines.select("page_id", "line_no", "led", "prior", words.alias("w")).select("page_id", "line_no", F.explode(F.transform("w", lambda t, i: F.struct(
+        F.when(i > 0, F.get("w", i - 1)).otherwise(F.col("prior")).alias("prev"), t.alias("token"), F.when((i == 0) & ~F.col("led"), "first").otherwise("in").alias("place")))).alias("x")).select("page_id", "line_no", "x.*")
+    whole = F.col("token").contains("-")
+    said = seen.select("page_id", "line_no", F.when(whole, "in").otherwise(F.col("place")).alias("place"), F.when(whole, "").otherwise(F.col("prev")).alias("prev"), F.explode(F.split("token", "-")).alias("form"))
+    said = said.filter(_is_word(F.col("form"))).distinct()
+    general = misread.groupBy("form").agg(F.coalesce(F.max("default"), F.max_by("meant", F.struct(F.col("prev") != "", "meant"))).alias("default"))
+    general = small_side(general)  # the measured table of misread forms; beyond the limit the join shuffles
+    special = small_side(misread.filter("meant <> default and prev <> ''").groupBy("prev", "form").agg(F.max("meant").alias("meant")))
+    plain = said.join(general, "form").join(special, ["prev", "form"], "left").select("page_id", "line_no", "place", "prev", "form", F.coalesce("meant", "default").alias("meant"))
+    cut = divided.filter("tail <> ''").withColumn("own", F.element_at(F.split("head", "-"), -1)).withColumn("rest", F.get(F.split("tail", "-"), F.lit(0)))
+    cut = cut.withColumn("form", F.lower(F.concat("own", "rest"))).join(general, "form").withColumn("meant", F.col("default"))
+    own, rest, meant = F.lower("own"), F.lower("rest"), F.col("meant")
+    # the part that the meant word agrees with is right; if neither is, the word is cut where the first part ends
+    at = F.when(meant.endswith(rest), F.length(meant) - F.length(rest)).otherwise(F.length(own))
+    parts = cut.withColumn("head_meant", F.substring(meant, F.lit(1), at)).withColumn("tail_meant", F.substring(meant, at + 1, F.length(meant)))
+    head = parts.filter(meant.isNull() | (F.col("head_meant") != own)).select("page_id", "line_no", F.lit("head").alias("place"), F.lit("").alias("prev"), own.alias("form"), F.col("head_meant").alias("meant"))
+    tail = parts.filter(F.col("tail_meant") != rest).select(F.col("following_page").alias("page_id"), F.col("following_no").alias("line_no"), F.lit("tail").alias("place"), F.lit("").alias("prev"), rest.alias("form"), F.col("tail_meant").alias("meant"))
+    return plain.unionByName(head).unionByName(tail)
+
+
+def _mended(line: Column, fixes: Column) -> Column:
+    """The line with each misread word replaced where it stands: whole words only, after the word before it, in small letters, with a
+    capital, and in capitals."""
+    glyph = rf"[{_GLYPH}ﬁﬂ]"
+    quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+
+    def replace(text: Column, x: Column) -> Column:
+        before = (
+            F.when(x["place"] == "first", F.lit(rf"(?U)(?<=^[^{_GLYPH}]{{0,9}})"))
+            .when(x["place"] == "tail", F.lit(r"(?U)(?<=^\s{0,20})"))
+            .when(x["prev"] != "", F.concat(F.lit(r"(?U)(?<=(?iu:"), quoted(x["prev"]), F.lit(rf")[^{_GLYPH}]{{1,5}})")))
+            .otherwise(F.lit(rf"(?U)(?<!{glyph})"))
+        )
+        after = F.when(x["place"] == "head", F.lit(rf"(?=[{DIVIDES}]\s*$)")).otherwise(F.lit(rf"(?!{glyph})"))
+        # case by case, whatever glyph was misread: the letters around it tell the case
+        out = text
+        for style in (lambda c: c, F.initcap, F.upper):
+            out = F.regexp_replace(out, F.concat(before, quoted(style(x["form"])), after), F.regexp_replace(style(x["meant"]), r"([\\$])", r"\\$1"))
+        return out
+
+    return F.aggregate(fixes, line, replace)
 
 
 def _divisions(divided: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -229,11 +284,15 @@ def repaired_pages(pages: DataFrame, files: DataFrame) -> DataFrame:
     misread words restored. A paragraph that goes on overleaf stands whole on the page where it begins."""
     scans, running, lines, divided, pairs = _parts(pages, files)
     joins = _divisions(divided, pairs).withColumn("glue", F.lit(True))
-    bad = _bad_words(lines, divided, misread_forms(pairs)).filter("meant is not null").groupBy("page_id", "line_no").agg(F.collect_list(F.struct("form", "meant")).alias("fixes"))
+    bad = _bad_words(lines, divided, misread_forms(pairs)).filter("meant is not null")
+    # the word before it matters only where one line holds the form with two meanings
+    fixes = F.collect_set(F.struct("place", "prev", "form", "meant"))
+    bad = bad.withColumn("part", F.when(F.col("place").isin("head", "tail"), F.col("place")).otherwise("in")).groupBy("page_id", "line_no", "part", "form").agg(F.count_distinct("meant").alias("meanings"), F.min("meant").alias("meant"), fixes.alias("fixes"))
+    bad = bad.withColumn("fixes", F.when(F.col("meanings") > 1, F.col("fixes")).otherwise(F.array(F.struct(F.col("part").alias("place"), F.lit("").alias("prev"), "form", "meant"))))
+    bad = bad.groupBy("page_id", "line_no").agg(F.sort_array(F.flatten(F.collect_list("fixes"))).alias("fixes"))
     blank = scans.select("page_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).filter(~F.col("t").rlike(r"(?U)\S")).select("page_id", (F.col("i") + 2).alias("line_no"), F.lit(True).alias("after_blank"))
     one = lines.join(joins, ["page_id", "line_no"], "left").join(bad, ["page_id", "line_no"], "left").join(blank, ["page_id", "line_no"], "left")
-    fixed = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<form:string,meant:string>>")), F.col("line"),
-        lambda acc, x: F.replace(F.replace(acc, x["form"], x["meant"]), F.initcap(x["form"]), F.initcap(x["meant"])))
+    fixed = F.when(F.col("fixes").isNull(), F.col("line")).otherwise(_mended(F.col("line"), F.col("fixes")))
     clean = F.regexp_replace(F.regexp_replace(fixed, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
     clean = F.when(F.col("glue"), F.regexp_replace(clean, _DIVIDED, "")).otherwise(F.concat(clean, F.when(F.col("line").rlike(_DIVIDED), F.lit("")).otherwise(F.lit(" "))))
     heading = F.col("line").rlike(r"^\s*\d+(?:\.\d+)+ \S")

@@ -1,3 +1,4 @@
+import difflib
 import itertools
 import random
 import re
@@ -138,4 +139,29 @@ def test_scanned_pages(spark):
     fixed = {r.page_id: r.cleaned_text for r in ocr_repair.repaired_pages(pages, files).collect()}
     assert "hospital office returns the form within nine days" in fixed[1] and "pre-existing list stays with the hospital office." in fixed[1]
     assert ocr_repair.line_defects(pages.limit(0), files).count() == 0
+    assert ocr_repair.repaired_pages(pages.limit(0), files).count() == 0
     assert ocr_repair.line_defects(pages.filter("used_ocr = false"), files).count() == 0
+
+
+def test_repair_of_words_in_context(spark):
+    """Whole words only, in their case, by the word before, over line and page ends; the text comes close to the clean one."""
+    body = "All hospitals of the city return the form. The ward is open and the list is kept. We burn the old paper and the bum sleeps near the barn, as is known."
+    clean = [(100 + i, f"clean{i}", i, body, body, False, None, "x") for i in range(8)]
+    said = "The clause ls valid for all hospitals of the city.\nALL HOSPlTALS return the form. We bum the old paper but the bum sleeps.\nThe ward ls open and the l1st is kept in the hos-\np1tals of the city."
+    want = "The clause is valid for all hospitals of the city. ALL HOSPITALS return the form. We burn the old paper but the bum sleeps. The ward is open and the list is kept in the hospitals of the city."
+    scans = [(1, None, 1, said, None, True, None, "x"), (2, None, 1, "lone page with a l1st", None, True, None, "x")]
+    pages = spark.createDataFrame(clean + scans, PAGE)
+    files = spark.createDataFrame([("d", "Acme", None)], "document_id string, insurer string, ingested_at timestamp")
+    fixed = {r.page_id: r.cleaned_text for r in ocr_repair.repaired_pages(pages, files).collect()}
+    assert "for all hospitals of" in fixed[1] and fixed[2] == "lone page with a list"
+    assert difflib.SequenceMatcher(None, fixed[1], want, autojunk=False).ratio() > 0.98
+    assert ocr_repair.line_defects(pages, files).filter("page_id = 1 and line_no = 4 and defect = 'ocr'").count() == 1
+
+
+def test_one_form_with_two_meanings_on_a_line(spark):
+    rows = [(1, "We bum the paper and the bum sleeps, BUM it.", [("in", "we", "bum", "burn"), ("in", "the", "bum", "bun")])]
+    line = spark.createDataFrame(rows, "id long, line string, fixes array<struct<place:string,prev:string,form:string,meant:string>>")
+    assert line.select(ocr_repair._mended(F.col("line"), F.col("fixes"))).first()[0] == "We burn the paper and the bun sleeps, BUM it."
+    numerals = {"i": 1, "iv": 4, "xc": 90, "cdxliv": 444, "mcmxcix": 1999, "mmmmcm": 4900}
+    got = spark.createDataFrame([(k,) for k in numerals], "r string").select("r", ocr_repair._roman_value(F.col("r")).alias("n")).collect()
+    assert {r.r: r.n for r in got} == numerals
