@@ -28,6 +28,8 @@ BUCKET = 1024
 TASK_ROWS = 250_000
 #: One in so many word sets is looked at to find the keys that are dealt to slots; a key missed there is only dealt less evenly.
 SAMPLE = 16
+#: Bits of a set_id that give the set's size, at most this; larger sets count as this large until their words are compared.
+SIZES = 0xFFF
 #: Records whose words are hashed at once, so that the arrays stay in a core's cache.
 AT_ONCE = 1024
 #: Records of a class of identical word sets that are paired in one slot, in expectation.
@@ -73,6 +75,7 @@ def _signed(records: DataFrame, min_words: int) -> DataFrame:
                 # the exclusive and the sum of well-mixed words name the set, whatever the order of its words
                 mixed = (flat ^ (flat >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 set_id = np.bitwise_xor.reduceat(mixed, starts) * np.uint64(0xBF58476D1CE4E5B9) + np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
+                set_id = (set_id & ~np.uint64(SIZES)) | np.minimum(sizes, SIZES).astype(np.uint64)
                 short = (flat >> np.uint64(11)).astype(np.uint32)
                 hashed, symbols = np.empty_like(short), np.empty((len(sizes), len(factor)), np.uint32)
                 for k in range(len(factor)):
@@ -104,7 +107,7 @@ def _met(classes: DataFrame, threshold: float) -> DataFrame:
 
     The sets of a key of more than BUCKET sets are dealt to slots, each slot meeting all sets of the key.
     """
-    rows = classes.select("set_id", "n", "sketch", "sketch2", F.explode(F.array(*_tables())).alias("key"))
+    rows = classes.select("set_id", "sketch", "sketch2", F.explode(F.array(*_tables())).alias("key"))
     n_rows = classes.count() * SEGMENTS * WIDTH
     tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // TASK_ROWS)
     some = classes.filter(F.pmod(F.xxhash64("set_id"), F.lit(SAMPLE)) == 0).select(F.explode(F.array(*_tables())).alias("key"))
@@ -115,7 +118,8 @@ def _met(classes: DataFrame, threshold: float) -> DataFrame:
     def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         a, b = left.alias("a"), right.alias("b")
         apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) + F.bit_count(F.col("a.sketch2").bitwiseXOR(F.col("b.sketch2")))
-        likely = (F.col("a.set_id") < F.col("b.set_id")) & (apart <= most * (F.col("a.n") + F.col("b.n")) + 1e-6) & (F.col("a.n") >= threshold * F.col("b.n") - 1e-6) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-6)
+        n_a, n_b = (F.col(f"{t}.set_id").bitwiseAND(F.lit(SIZES)) for t in "ab")
+        likely = (F.col("a.set_id") < F.col("b.set_id")) & (apart <= most * (n_a + n_b) + 1e-6) & (n_a >= threshold * n_b - 1e-6) & (n_b >= threshold * n_a - 1e-6)
         for c in on:
             likely = likely & (F.col(f"a.{c}") == F.col(f"b.{c}"))
         return a.join(b, likely).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
@@ -137,7 +141,7 @@ def similar_sets(records: DataFrame, threshold: float, min_words: int) -> tuple[
     last = signed.join(several, "id").groupBy("id").agg(F.max_by(F.struct("set_id", "text_id", "n"), F.struct("at", "text_id")).alias("r")).select("id", "r.*")
     one = per.filter("text_id_low = text_id_high").select("id", "set_id", F.col("text_id_low").alias("text_id"), "n")
     members = one.unionByName(last).filter(F.col("n") > 0).drop("n")
-    classes = stage(signed.filter(F.col("n") > 0).groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("text_id", "n", "sketch", "sketch2", "symbols")]))  # alike in a class, but for the text
+    classes = stage(signed.filter(F.col("n") > 0).groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("text_id", "sketch", "sketch2", "symbols")]))  # alike in a class, but for the text
     met = stage(_met(classes, threshold))
     needed = met.select(F.col("set_a").alias("set_id")).union(met.select("set_b")).distinct().join(classes.select("set_id", "text_id"), "set_id")
     # the words of a class are those of one of its texts, whatever records came with it
