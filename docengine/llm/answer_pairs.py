@@ -248,7 +248,7 @@ def _masked(text: Column) -> Column:
     t = F.regexp_replace(text, _CITATION, " ")
     t = F.regexp_replace(t, r"(?U)\b\p{Lu}+-\d+", "Nn")
     t = F.regexp_replace(t, r"\d+(?:[.,]\d+)*", "0")
-    return F.regexp_replace(t, r"(?U)(?<=[\p{Ll}\d,'’] |['’])\p{Lu}(?:[\p{L}'’-]|\. \p{Lu})*(?:\.? \p{Lu}[\p{L}'’-]*)*", "nn")
+    return F.regexp_replace(t, r"(?U)(?=\p{Lu})(?<=[\p{Ll}\d,'’] |['’])\p{Lu}(?:[\p{L}'’-]|\. \p{Lu})*(?:\.? \p{Lu}[\p{L}'’-]*)*", "nn")
 
 
 def _parts(text: Column) -> Column:
