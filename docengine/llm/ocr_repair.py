@@ -113,7 +113,7 @@ def running_lines(scans: DataFrame, files: DataFrame, edge: int = 3) -> DataFram
 
 def content_lines(scans: DataFrame, running: DataFrame) -> DataFrame:
     """page_id, line_no, line, following (the next line of text, on the next page too) with its page_id and line_no, led (the line
-    before was divided), prior (the last word of the line before)."""
+    before was divided), prior (the end of the line before, from its last blank on)."""
     gone = running.groupBy("page_id").agg(F.collect_list("line_no").alias("gone"))  # at most the edge lines of a page
     page = scans.join(gone, "page_id", "left").select(
         "page_id", "document_id", "page_number",
@@ -129,7 +129,7 @@ def content_lines(scans: DataFrame, running: DataFrame) -> DataFrame:
             F.when(i + 1 < F.size("c"), F.struct(F.col("page_id"), F.get("c", i + 1)["line_no"].alias("line_no"), F.get("c", i + 1)["line"].alias("line"))).otherwise(F.col("next_first")).alias("following"),
             F.when(i > 0, F.get("c", i - 1)["line"]).otherwise(F.col("prev_last")).alias("before")))).alias("x"))
     led = F.coalesce(F.col("x.before").rlike(_DIVIDED), F.lit(False))
-    prior = F.coalesce(F.try_element_at(F.filter(_tokens(F.regexp_extract("x.before", r"(\S*)\s*$", 1)), lambda t: t != ""), F.lit(-1)), F.lit(""))
+    prior = F.coalesce(F.substring_index(F.rtrim("x.before"), " ", -1), F.lit(""))
     return lines.select(
         "page_id", "x.line_no", "x.line", F.col("x.following.line").alias("following"), F.col("x.following.page_id").alias("following_page"), F.col("x.following.line_no").alias("following_no"),
         led.alias("led"), F.when(led, F.lit("")).otherwise(prior).alias("prior"))
@@ -189,33 +189,53 @@ def misread_forms(pairs: DataFrame, ratio: int = 4) -> DataFrame:
     return told.filter(sure).select("prev", "form", F.coalesce("in_context", "best").alias("meant"), F.col("best").alias("default")).distinct()
 
 
+def _misread_lines(lines: DataFrame, divided: DataFrame, misread: DataFrame) -> DataFrame:
+    """page_id, line_no of the lines that hold a misread word; what it means in its context is not asked."""
+    forms = small_side(misread.groupBy("form").agg(F.max("default").alias("default")))
+    words = F.array_distinct(F.flatten(F.transform(_tokens(_own_text()), lambda t: F.split(t, "-"))))
+    said = lines.select("page_id", "line_no", F.explode(words).alias("form")).filter(_is_word(F.col("form"))).join(forms.select("form"), "form").select("page_id", "line_no")
+    return said.unionByName(_divided_misread(divided, forms).select("page_id", "line_no")).distinct()
+
+
+def _own_text() -> Column:
+    """A line without the parts of words that are divided at its ends."""
+    text = F.regexp_replace("line", rf"(?U)\S+{_DIVIDED}", " ")
+    return F.when(F.col("led"), F.regexp_replace(text, r"(?U)^\s*\S+", " ")).otherwise(text)
+
+
+def _divided_misread(divided: DataFrame, general: DataFrame) -> DataFrame:
+    """page_id, line_no, place, prev, form, meant of the parts of divided words that differ from the word meant.
+
+    The part that the meant word agrees with is right; if neither is, the word is cut where the first part ends; if the meaning is not
+    known, the first part is listed.
+    """
+    cut = divided.filter("tail <> ''").withColumn("own", F.element_at(F.split("head", "-"), -1)).withColumn("rest", F.get(F.split("tail", "-"), F.lit(0)))
+    cut = cut.withColumn("form", F.lower(F.concat("own", "rest"))).join(general, "form").withColumnRenamed("default", "meant")
+    own, rest, meant = F.lower("own"), F.lower("rest"), F.col("meant")
+    at = F.when(meant.endswith(rest), F.length(meant) - F.length(rest)).otherwise(F.length(own))
+    parts = cut.withColumn("head_meant", F.substring(meant, F.lit(1), at)).withColumn("tail_meant", F.substring(meant, at + 1, F.length(meant)))
+    head = parts.filter(meant.isNull() | (F.col("head_meant") != own)).select("page_id", "line_no", F.lit("head").alias("place"), F.lit("").alias("prev"), own.alias("form"), F.col("head_meant").alias("meant"))
+    tail = parts.filter(F.col("tail_meant") != rest).select(F.col("following_page").alias("page_id"), F.col("following_no").alias("line_no"), F.lit("tail").alias("place"), F.lit("").alias("prev"), rest.alias("form"), F.col("tail_meant").alias("meant"))
+    return head.unionByName(tail)
+
+
 def _bad_words(lines: DataFrame, divided: DataFrame, misread: DataFrame) -> DataFrame:
     """page_id, line_no, place, prev, form, meant: each misread word with the line that holds it and the word before it.
 
     A word means what its skeleton means after the same word, else in general. place is 'in' for whole words, 'first' for one that
     begins its line, 'head' and 'tail' for the parts of a divided word; a part is listed on its own line if it differs from the word meant.
     """
-    text = F.regexp_replace("line", rf"(?U)\S+{_DIVIDED}", " ")
-    text = F.when(F.col("led"), F.regexp_replace(text, r"(?U)^\s*\S+", " ")).otherwise(text)
-    words = F.filter(_tokens(text), lambda t: t != "")
+    words = F.filter(_tokens(_own_text()), lambda t: t != "")
     seen = lines.select("page_id", "line_no", "led", "prior", words.alias("w")).select("page_id", "line_no", F.explode(F.transform("w", lambda t, i: F.struct(
-        F.when(i > 0, F.get("w", i - 1)).otherwise(F.col("prior")).alias("prev"), t.alias("token"), F.when((i == 0) & ~F.col("led"), "first").otherwise("in").alias("place")))).alias("x")).select("page_id", "line_no", "x.*")
+        F.when(i > 0, F.get("w", i - 1)).otherwise(F.coalesce(F.try_element_at(F.filter(_tokens(F.col("prior")), lambda p: p != ""), F.lit(-1)), F.lit(""))).alias("prev"), t.alias("token"), F.when((i == 0) & ~F.col("led"), "first").otherwise("in").alias("place")))).alias("x")).select("page_id", "line_no", "x.*")
     whole = F.col("token").contains("-")
     said = seen.select("page_id", "line_no", F.when(whole, "in").otherwise(F.col("place")).alias("place"), F.when(whole, "").otherwise(F.col("prev")).alias("prev"), F.explode(F.split("token", "-")).alias("form"))
-    said = said.filter(_is_word(F.col("form"))).distinct()
+    said = said.filter(_is_word(F.col("form")))
     general = misread.groupBy("form").agg(F.coalesce(F.max("default"), F.max_by("meant", F.struct(F.col("prev") != "", "meant"))).alias("default"))
     general = small_side(general)  # the measured table of misread forms; beyond the limit the join shuffles
     special = small_side(misread.filter("meant <> default and prev <> ''").groupBy("prev", "form").agg(F.max("meant").alias("meant")))
-    plain = said.join(general, "form").join(special, ["prev", "form"], "left").select("page_id", "line_no", "place", "prev", "form", F.coalesce("meant", "default").alias("meant"))
-    cut = divided.filter("tail <> ''").withColumn("own", F.element_at(F.split("head", "-"), -1)).withColumn("rest", F.get(F.split("tail", "-"), F.lit(0)))
-    cut = cut.withColumn("form", F.lower(F.concat("own", "rest"))).join(general, "form").withColumn("meant", F.col("default"))
-    own, rest, meant = F.lower("own"), F.lower("rest"), F.col("meant")
-    # the part that the meant word agrees with is right; if neither is, the word is cut where the first part ends
-    at = F.when(meant.endswith(rest), F.length(meant) - F.length(rest)).otherwise(F.length(own))
-    parts = cut.withColumn("head_meant", F.substring(meant, F.lit(1), at)).withColumn("tail_meant", F.substring(meant, at + 1, F.length(meant)))
-    head = parts.filter(meant.isNull() | (F.col("head_meant") != own)).select("page_id", "line_no", F.lit("head").alias("place"), F.lit("").alias("prev"), own.alias("form"), F.col("head_meant").alias("meant"))
-    tail = parts.filter(F.col("tail_meant") != rest).select(F.col("following_page").alias("page_id"), F.col("following_no").alias("line_no"), F.lit("tail").alias("place"), F.lit("").alias("prev"), rest.alias("form"), F.col("tail_meant").alias("meant"))
-    return plain.unionByName(head).unionByName(tail)
+    plain = said.join(general, "form").join(special, ["prev", "form"], "left").select("page_id", "line_no", "place", "prev", "form", F.coalesce("meant", "default").alias("meant")).distinct()
+    return plain.unionByName(_divided_misread(divided, general))
 
 
 def _mended(line: Column, fixes: Column) -> Column:
@@ -275,7 +295,7 @@ def line_defects(pages: DataFrame, files: DataFrame) -> DataFrame:
     """
     _, running, lines, divided, pairs = _parts(pages, files)
     hyphen = _divisions(divided, pairs).withColumn("defect", F.lit("hyphen"))
-    ocr = _bad_words(lines, divided, misread_forms(pairs)).select("page_id", "line_no").distinct().withColumn("defect", F.lit("ocr"))
+    ocr = _misread_lines(lines, divided, misread_forms(pairs)).withColumn("defect", F.lit("ocr"))
     return running.unionByName(hyphen).unionByName(ocr)
 
 
