@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docengine.queries import evaluation_queries, retrieval_queries, text_queries
+from docengine.queries import evaluation_queries, pipeline_queries, retrieval_queries, text_queries
 from docengine.queries.registry import Query
 
-_MODULES = (text_queries, retrieval_queries, evaluation_queries)
+_MODULES = (text_queries, retrieval_queries, evaluation_queries, pipeline_queries)
 FLAGSHIP = "e14_strategy_report"
 
 

@@ -43,6 +43,7 @@ FIRST_INTENTS = {
     "comparison": r"\b(compare|comparison|difference|vs|versus)\b",
     "definition": r"\b(what is|meaning|define|definition)\b",
 }
+OTHER_INTENTS = ("recommendation", "general")
 ROUTER_INTENTS = {
     "exclusion": r"\b(exclude|exclusion|not covered|not payable|denied)\b",
     "coverage": r"\b(cover|coverage|covered|benefit|eligible)\b",
@@ -77,6 +78,9 @@ BIAS_TERMS = ("obviously", "everyone knows", "clearly stupid", "always lies", "n
 COMPRESS_SENTENCES, COMPRESS_JACCARD, COMPRESS_BUDGET = 4, 0.65, 1800
 VERDICT = {"faithfulness": 0.2, "relevance": 0.15, "completeness": 0.001, "coverage": 0.1, "top_score": 0.45}
 INVALID_TAG_PENALTY = 0.3
+# What a corrective pass can mend, and what it widens the search by.
+RETRYABLE = ("low_relevance", "low_faithfulness", "hallucinated_citation", "no_supporting_chunks", "low_coverage", "retrieval_low_confidence")
+WIDER, SLIGHTLY_WIDER, WIDEST, DRIFT = 8, 2, 30, 0.65
 PROFILE_SLOTS = {
     "coverage_limit": ("sum insured", "coverage"), "room_rent": ("room rent",), "icu_charges": ("icu",), "co_payment": ("co-payment", "copayment"),
     "network_hospitals": ("hospital",), "day_care": ("day care",), "maternity": ("maternity",), "no_claim_bonus": ("no-claim", "bonus"),

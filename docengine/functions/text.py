@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,8 +56,8 @@ def drop_number_lines(text: Column) -> Column:
 
 
 def drop_repeated_neighbours(text: Column) -> Column:
-    lines = F.split(text, "\n")
-    return F.array_join(F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1))), "\n")
+    """Each run of equal lines as one line; one pass, whatever the number of lines."""
+    return F.regexp_replace(text, r"(?md)^(.*+)(?:\n\1$)+", "$1")
 
 
 def strip(text: Column) -> Column:
@@ -70,6 +71,11 @@ def clean_text(text: Column) -> Column:
     return strip(squeeze_blank_lines(drop_number_lines(drop_repeated_neighbours(out))))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def blank_tokens(text: Column) -> Column:
     """Lower-case tokens parted by white space, with repeats."""
     return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")

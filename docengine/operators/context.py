@@ -76,6 +76,47 @@ def verdict(faithfulness: Column, relevance: Column, completeness: Column, cover
     return {"passed": F.size(failed) == 0, "reasons": F.concat(failed, F.array_compact(F.array(F.when(top_score < v["top_score"], F.lit("low_retrieval")))))}
 
 
+def correction(faithfulness: Column, relevance: Column, coverage: Column, invalid: Column, nothing_used: Column) -> dict[str, Column]:
+    """Whether a corrective pass is due, for what first, and whether an answer is to be dropped at once."""
+    v = lx.VERDICT
+    low_rel, low_faith = relevance < v["relevance"], faithfulness < v["faithfulness"]
+    return {
+        "crag_required": low_rel | low_faith | invalid | (coverage < v["coverage"]), "crag_priority": F.when(low_rel, "low_relevance").when(low_faith | invalid, "low_faithfulness"),
+        "drop_immediately": (relevance < 0.05) & (faithfulness < 0.05) & (coverage < 0.1) & nothing_used,
+    }
+
+
+def context_block(used: DataFrame, hits: DataFrame) -> DataFrame:
+    """qid, block, tokens_used, dropped, compression_ratio: a line [tag] (type, page n): text for each used chunk.
+
+    used carries chunk_type and page_start; a query has a bounded list of hits.
+    """
+    line = F.concat(F.lit("["), "tag", F.lit("] ("), F.coalesce("chunk_type", F.lit("unknown")), F.lit(", page "), F.coalesce(F.col("page_start").cast("string"), F.lit("?")), F.lit("): "), "text")
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_pos", line.alias("line")))), lambda x: x["line"]), "\n")
+    blocks = used.groupBy("qid").agg(lines.alias("block"), F.sum("tokens").alias("tokens_used"), F.count("*").alias("used"))
+    got = blocks.join(hits.groupBy("qid").agg(F.count("*").alias("candidates")), "qid")
+    return got.select("qid", "block", "tokens_used", (F.col("candidates") - F.col("used")).alias("dropped"), _ratio().alias("compression_ratio"))
+
+
+def _ratio() -> Column:
+    return F.round(F.col("used") / F.greatest(F.lit(1), "candidates"), 2)
+
+
+def single_pass(used: DataFrame, hits: DataFrame, n: int = 4) -> DataFrame:
+    """qid, faithfulness, relevance, confidence, compression_ratio of the answer made of the first n used chunks.
+
+    faithfulness is the share of the answer's words that the context holds, relevance that of the question's words in the answer.
+    """
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("first_pos", "text"))), lambda x: x["text"])
+    made = used.groupBy("qid").agg(texts.alias("texts"), F.count("*").alias("used"))
+    asked = hits.groupBy("qid").agg(F.first("qtext").alias("qtext"), F.count("*").alias("candidates"), F.max("score").alias("top"))
+    words = made.join(asked, "qid").select("qid", "used", "candidates", "top", tx.word_set(F.array_join(F.slice("texts", 1, n), " ")).alias("a"), tx.word_set(F.array_join("texts", " ")).alias("c"), tx.word_set(F.col("qtext")).alias("q"))
+    share = lambda part, whole: F.round(F.when(F.size(part) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(part, whole)) / F.size(part)), 3)
+    judged = words.withColumns({"faithfulness": share("a", "c"), "relevance": share("q", "a")})
+    sure = 0.4 * F.col("faithfulness") + 0.3 * F.col("relevance") + 0.3 * F.least(F.lit(1.0), "top")
+    return judged.select("qid", "faithfulness", "relevance", F.round(sure, 3).alias("confidence"), _ratio().alias("compression_ratio"))
+
+
 def retrieval_stats(hits: DataFrame) -> DataFrame:
     """Per query the number of hits, their scores and the gap between the first two."""
     n = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))

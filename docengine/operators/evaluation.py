@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docengine.functions import text as tx
-from docengine.operators import lexical, retrieval, understanding
+from docengine.operators import lexical, understanding
+from docengine.plans.staging import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 STRATEGIES = ("naive", "hybrid", "table_aware", "full_agentic")
 
 
-def strategy_scores(cases: DataFrame, docs: DataFrame) -> DataFrame:
-    """qid, chunk_id, strategy, score of every case and chunk that share a token, scores rounded to four places."""
-    pairs = lexical.term_cosine(cases.select("qid", "qtext"), docs.select("chunk_id", "text"))
+#: The most that a pair gains over its base by preferences and intents, and over rounding.
+GAIN = 0.28 + 2e-4
+
+
+def _by_strategy(raw, shared, jac):
+    return [(raw, 2e-4), (0.7 * raw + 0.3 * jac, GAIN)]
+
+
+def strategy_scores(cases: DataFrame, docs: DataFrame, best: int | None = None) -> DataFrame:
+    """qid, chunk_id, strategy, score of every case and chunk that share a token, scores rounded to four places.
+
+    With best, pairs that cannot be among the best of their case under any strategy are left out where they are scored.
+    """
+    pairs = lexical.term_cosine(cases.select("qid", "qtext"), docs.select("chunk_id", "text"), best=best, by=_by_strategy)
     kept = docs.select(
         "chunk_id", ((F.coalesce("table_id", F.lit("")) != "") | F.col("row_number").isNotNull() | F.col("chunk_type").isin("table_row", "table_meta")).alias("is_table"),
         ((F.col("chunk_type") == "exclusion") | F.lower("text").contains("not covered")).alias("excl"), F.lower("text").contains("waiting").alias("waits"),
@@ -29,7 +44,8 @@ def strategy_scores(cases: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def best_hits(scores: DataFrame, k: int = 5) -> DataFrame:
-    return retrieval.top(scores.withColumn("key", F.concat_ws("/", "qid", "strategy")), k, "score", by="key").drop("key")
+    rank = F.row_number().over(W.partitionBy("qid", "strategy").orderBy(F.desc("score"), "chunk_id"))
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -58,6 +74,13 @@ def case_metrics(cases: DataFrame, hits: DataFrame, docs: DataFrame, k: int = 5)
         F.when((F.col("top_score") < 0.2) | (F.col("top_rel") == 0), 1.0).otherwise(0.0).alias("clarification"))
 
 
+def context_recall(hits: DataFrame, used: DataFrame) -> DataFrame:
+    """qid, candidates, relevant, context_recall: the share of relevant hits whose chunk was used, 1 where none is relevant."""
+    rows = hits.join(used.select("qid", "chunk_id", F.lit(True).alias("kept")), ["qid", "chunk_id"], "left").withColumn("rel", _similar(F.col("qtext"), F.col("text")) >= 0.3)
+    n, kept = F.count_if("rel"), F.count_if(F.col("rel") & F.col("kept").isNotNull())
+    return rows.groupBy("qid").agg(F.count("*").alias("candidates"), n.alias("relevant"), F.round(F.when(n == 0, F.lit(1.0)).otherwise(kept / n), 3).alias("context_recall"))
+
+
 METRICS = ("recall_at_5", "mrr", "ndcg_at_5", "faithfulness", "hallucination", "answer_relevancy", "context_precision", "noise_robustness", "clarification")
 
 

@@ -1,13 +1,34 @@
-"""Lexical statistics and BM25 over an inverted index of token postings."""
+"""Lexical statistics, BM25 and token similarity of a stated query set against all documents."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docengine.functions import lexicon as lx
 from docengine.functions import text as tx
+from docengine.plans.staging import ship_with_tasks, small_side, stage
+
+ship_with_tasks(__name__)
+
+#: Queries that are scored in one scan of the documents.
+QUERY_BLOCK = 512
+
+_WORD, _BLANK = re.compile(r"[a-z0-9]+"), re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def _blank(text: str) -> list[str]:
+    return [w for w in _BLANK.split(text.lower()) if w]
 
 
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -22,34 +43,138 @@ def term_stats(docs: DataFrame, key: str = "chunk_id") -> DataFrame:
     return df.crossJoin(F.broadcast(total)).select("tok", "df", "cf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))  # total: one row
 
 
+def _slices(queries: DataFrame, qid: str) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of the stated query set, QUERY_BLOCK at a time."""
+    ids, texts = [], []
+    for r in queries.filter("qtext is not null").select(qid, "qtext").toLocalIterator():
+        ids.append(r[0])
+        texts.append(r[1])
+        if len(ids) == QUERY_BLOCK:
+            yield ids, texts
+            ids, texts = [], []
+    if ids:
+        yield ids, texts
+
+
+def _columns(texts: list[str], split) -> tuple[dict[str, int], np.ndarray]:
+    """The slice's vocabulary, and its counts with a row per token and a column per query."""
+    counts = [Counter(split(t)) for t in texts]
+    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
+    table = np.zeros((len(vocabulary), len(texts)))
+    for j, c in enumerate(counts):
+        for w, n in c.items():
+            table[vocabulary[w], j] = n
+    return vocabulary, table
+
+
+def _counted(texts: pd.Series, vocabulary: dict[str, int], split) -> tuple[np.ndarray, list[Counter]]:
+    """Counts of the slice's tokens with a row per document, and all counts of each."""
+    counts = [Counter(split(t)) for t in texts]
+    spots = [(i, vocabulary[w], n) for i, c in enumerate(counts) for w, n in c.items() if w in vocabulary]
+    table = np.zeros((len(counts), len(vocabulary)))
+    if spots:
+        row, col, n = zip(*spots)
+        table[list(row), list(col)] = n
+    return table, counts
+
+
+def _cut(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """Batches so short that a table of width columns stays small."""
+    step = max(16, min(1024, 4_000_000 // max(1, width)))
+    for batch in batches:
+        for a in range(0, len(batch), step):
+            yield batch.iloc[a : a + step]
+
+
+def _scan(queries: DataFrame, docs: DataFrame, qid: str, key: str, values: str, build) -> DataFrame:
+    """The union over the slices of the query set of one scan of the documents each, by the function that build() makes of a slice."""
+    types = dict(queries.dtypes)[qid], dict(docs.dtypes)[key]
+    schema, out = f"{qid} {types[0]}, {key} {types[1]}, {values}", None
+    texts = docs.select(key, "text").filter("text <> ''")
+    for ids, asked in _slices(queries, qid):
+        found = texts.mapInPandas(build(np.array(ids), asked), schema)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, qid: str = "qid", key: str = "chunk_id") -> DataFrame:
-    """qid, key, bm25 of every document with a query token; a repeated query token counts again."""
-    asked = postings(queries.withColumnRenamed("qtext", "text"), qid, tx.blank_tokens(F.col("text"))).withColumnRenamed("tf", "qtf")
-    sized = docs.select(key, F.size(tx.blank_tokens(F.col("text"))).alias("dl"))
-    mean = sized.agg(F.avg("dl").alias("avgdl"))
-    stats = term_stats(docs, key).join(asked.select("tok").distinct(), "tok", "left_semi")
-    held = postings(docs, key, tx.blank_tokens(F.col("text"))).join(stats, "tok").join(sized, key).crossJoin(F.broadcast(mean))  # mean: one row
-    weight = F.col("idf") * F.col("tf") * (lx.BM25_K1 + 1) / (F.col("tf") + lx.BM25_K1 * (1 - lx.BM25_B + lx.BM25_B * F.col("dl") / (F.col("avgdl") + lx.EPSILON)) + lx.EPSILON)
-    weighed = held.select("tok", key, weight.alias("w"))
-    return weighed.join(asked, "tok").groupBy(qid, key).agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("bm25"))
+    """qid, key, bm25 of every document with a query token; a repeated query token counts again.
+
+    Document frequencies are counted for the query tokens only; each task multiplies the weights of its documents by the counts of the
+    queries, so that postings are never shuffled by token.
+    """
+    text = F.col("text")
+    length, known = docs.agg(F.avg(F.size(tx.blank_tokens(text))), F.count("*")).first()
+    asked_tokens = queries.filter("qtext is not null").select(F.explode(tx.blank_tokens(F.col("qtext"))).alias("tok")).distinct()
+    df = docs.select(F.explode(F.array_distinct(tx.blank_tokens(text))).alias("tok")).join(small_side(asked_tokens), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
+    df = stage(df)
+    context = docs.sparkSession.sparkContext
+
+    def build(ids: np.ndarray, asked: list[str]):
+        vocabulary, table = _columns(asked, _blank)
+        met = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "tok string").join(df, "tok")  # a slice's vocabulary
+        idf = np.zeros(len(vocabulary))
+        for r in met.toLocalIterator():
+            idf[vocabulary[r["tok"]]] = np.log((known - r["df"] + 0.5) / (r["df"] + 0.5) + 1)
+        shared = context.broadcast((ids, vocabulary, table, idf))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, vocabulary, table, idf = shared.value
+            for batch in _cut(batches, len(vocabulary)):
+                tf, counts = _counted(batch["text"], vocabulary, _blank)
+                dl = np.array([sum(c.values()) for c in counts], np.float64)[:, None]
+                weight = idf * tf * (lx.BM25_K1 + 1) / (tf + lx.BM25_K1 * (1 - lx.BM25_B + lx.BM25_B * dl / (length + lx.EPSILON)) + lx.EPSILON)
+                row, col = np.nonzero((tf > 0).astype(np.float32) @ (table > 0).astype(np.float32))
+                yield pd.DataFrame({qid: ids[col], key: batch[key].to_numpy()[row], "bm25": (weight @ table)[row, col]})
+
+        return score
+
+    return _scan(queries, docs, qid, key, "bm25 double", build).withColumn("bm25", F.round("bm25", 6))
 
 
 def min_max(scores: DataFrame, n_docs: DataFrame, qid: str = "qid", score: str = "bm25") -> DataFrame:
     """Adds norm: the score scaled over the whole corpus, where documents without a row score 0."""
-    w = W.partitionBy(qid)
-    low = F.when(F.count("*").over(w) < F.col("n_docs"), F.lit(0.0)).otherwise(F.min(score).over(w))
-    scored = scores.crossJoin(F.broadcast(n_docs)).withColumn("low", low)  # n_docs: one row
-    return scored.withColumn("norm", F.round((F.col(score) - F.col("low")) / (F.max(score).over(w) - F.col("low") + lx.EPSILON), 6)).drop("low", "n_docs")
-
-
-def term_cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", key: str = "chunk_id") -> DataFrame:
-    """qid, key, sim (six places), raw, shared, jac: cosine of token counts and Jaccard of token sets, of pairs with a common token."""
-    q = postings(queries, qid, tx.word_tokens(F.col("qtext"))).withColumnRenamed("tf", "qtf")
-    d = postings(docs, key, tx.word_tokens(F.col("text")))
-    qn = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qn"), F.count("*").alias("qs"))
-    dn = d.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"), F.count("*").alias("ds"))
-    dots = d.join(q, "tok").groupBy(qid, key).agg(F.sum(F.col("qtf") * F.col("tf")).alias("dot"), F.count("*").alias("shared"))
-    both = dots.join(qn, qid).join(dn, key)
-    return both.select(
-        qid, key, F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 6).alias("sim"), (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("raw"), "shared",
-        (F.col("shared") / (F.col("qs") + F.col("ds") - F.col("shared"))).alias("jac"))
+    scores = stage(scores)
+    ends = scores.groupBy(qid).agg(F.count("*").alias("n"), F.min(score).alias("least"), F.max(score).alias("most")).crossJoin(F.broadcast(n_docs))  # n_docs: one row
+    ends = ends.select(qid, F.when(F.col("n") < F.col("n_docs"), F.lit(0.0)).otherwise(F.col("least")).alias("low"), "most")
+    return scores.join(small_side(ends), qid).withColumn("norm", F.round((F.col(score) - F.col("low")) / (F.col("most") - F.col("low") + lx.EPSILON), 6)).drop("low", "most")
+
+
+#: What may be among the best of a task's documents: scores of pairs, with the amount by which a pair may yet gain on another.
+BY_SIM = lambda raw, shared, jac: [(raw, 2e-6)]
+BY_SHARED = lambda raw, shared, jac: [(shared, 0.0)]
+
+
+def term_cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", key: str = "chunk_id", best: int | None = None, by=BY_SIM) -> DataFrame:
+    """qid, key, sim (six places), raw, shared, jac: cosine of token counts and Jaccard of token sets, of pairs with a common token.
+
+    With best, a task gives only the pairs that may be among the best of their query by one of the scores of by, ties included.
+    """
+    context = docs.sparkSession.sparkContext
+
+    def build(ids: np.ndarray, asked: list[str]):
+        shared_value = context.broadcast((ids, *_columns(asked, _words)))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, vocabulary, table = shared_value.value
+            has, q_norm, q_size = (table > 0).astype(np.float32), np.sqrt((table * table).sum(0)), (table > 0).sum(0)
+            for batch in _cut(batches, len(vocabulary)):
+                tf, counts = _counted(batch["text"], vocabulary, _words)
+                d_norm, d_size = np.array([sum(n * n for n in c.values()) for c in counts], np.float64) ** 0.5, np.array([len(c) for c in counts])
+                shared = ((tf > 0).astype(np.float32) @ has).astype(np.int64)
+                keep = shared > 0
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    raw = (tf @ table) / (q_norm[None, :] * d_norm[:, None])
+                    jac = shared / (q_size[None, :] + d_size[:, None] - shared)
+                if best and len(batch) > best:
+                    likely = np.zeros_like(keep)
+                    for value, gain in by(raw, shared, jac):
+                        value = np.where(keep, value, -np.inf)
+                        likely |= value + gain >= np.partition(value, -best, axis=0)[-best]
+                    keep &= likely
+                row, col = np.nonzero(keep)
+                yield pd.DataFrame({qid: ids[col], key: batch[key].to_numpy()[row], "raw": raw[row, col], "shared": shared[row, col], "jac": jac[row, col]})
+
+        return score
+
+    return _scan(queries, docs, qid, key, "raw double, shared bigint, jac double", build).select(qid, key, F.round("raw", 6).alias("sim"), "raw", "shared", "jac")

@@ -27,7 +27,7 @@ def top(rows: DataFrame, k: int, score: str, by: str = "qid", key: str = "chunk_
 
 def hybrid(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Vector candidates (3 k per query) re-scored with normalised BM25 and boosted (R01 - R04): adds sim, norm, boost, retrieval_score."""
-    near = top(lexical.term_cosine(queries, docs).select("qid", "chunk_id", "sim"), 3 * k, "sim")
+    near = top(lexical.term_cosine(queries, docs, best=3 * k).select("qid", "chunk_id", "sim"), 3 * k, "sim")
     scaled = lexical.min_max(lexical.bm25(queries, docs), docs.agg(F.count("*").alias("n_docs")))
     hits = near.join(scaled.select("qid", "chunk_id", "norm"), ["qid", "chunk_id"], "left").join(docs, "chunk_id")
     boost = structure_boost(F.col("chunk_type"), F.col("table_id"))
@@ -101,15 +101,31 @@ def pack_related(rows: DataFrame) -> DataFrame:
     return rows.groupBy("qid", "table_id", "section", "page_start").agg(text.alias("text"), F.max("final_score").alias("final_score"), first("chunk_id"), first("chunk_type"), first("row_number"))
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """The whole path: fusion over 9 k vector candidates, neighbours, rerank of the best 2 k, blend, packing, best k."""
+def whole_rows(rows: DataFrame) -> DataFrame:
+    """Parts of one table row that a query met as one record, everything else as it is (R12 in the path of R16)."""
+    part = (F.coalesce("table_id", F.lit("")) != "") & F.col("row_number").isNotNull()
+    order = F.struct(F.coalesce("row_part", F.lit(0)).alias("p"), F.col("chunk_id"))
+    first = lambda c: F.min_by(c, order).alias(c)
+    fields = ("section", "page_start", "row_part", "chunk_id", "chunk_type")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("text").alias("t")))), lambda x: x["t"]), "\n")
+    made = rows.filter(part).groupBy("qid", "table_id", "row_number").agg(text.alias("text"), F.max("final_score").alias("final_score"), *[first(c) for c in fields])
+    return made.unionByName(rows.filter(~part).select(*made.columns))
+
+
+def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, blended: bool = True) -> DataFrame:
+    """The whole path: fusion over 9 k vector candidates, neighbours, rerank of the best 2 k, blend, whole rows, packing, best k.
+
+    With blended=False the path ends after the rerank: best k by keyword (R17).
+    """
     wide = with_neighbours(hybrid(queries, docs, 3 * k), docs, expand=6 * k, keep=3 * k).drop("rank").join(queries, "qid")
     scored = wide.withColumn("keyword", keyword_score(F.col("qtext"), F.col("text"), F.col("chunk_type")))
+    if not blended:
+        return top(scored, k, "keyword")
     picked = top(scored, 2 * k, "keyword").drop("rank")
     hybrid_part = F.coalesce("retrieval_score", F.lit(0.0))
     a, b, c = lx.FINAL_WEIGHTS
     blend = (a + b) * hybrid_part + c * intent_boost(F.col("qtext"), F.col("text"), F.col("chunk_type"))
-    packed = pack_related(picked.withColumn("final_score", F.round(blend, 6)))
+    packed = pack_related(whole_rows(picked.withColumn("final_score", F.round(blend, 6))))
     return top(packed, k, "final_score").withColumn("context_hint", context_hint())
 
 
@@ -122,5 +138,5 @@ def confidence(hits: DataFrame, score: str = "final_score", scale: float = 6.0)
 
 def overlap_retriever(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """Records by the number of query tokens they share, at least one, best k."""
-    found = lexical.term_cosine(queries, docs).select("qid", "chunk_id", "shared")
+    found = lexical.term_cosine(queries, docs, best=k, by=lexical.BY_SHARED).select("qid", "chunk_id", "shared")
     return top(found, k, "shared")

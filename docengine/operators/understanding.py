@@ -73,6 +73,18 @@ def normalized(query: Column) -> Column:
     return F.concat(F.upper(F.substring(bare, 1, 1)), F.substr(bare, F.lit(2)), F.lit("?"))
 
 
+def valid_confidence(confidence: Column) -> Column:
+    """Between 0 and 1; a half where it is missing (Q09)."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.when(~F.isnan(confidence), confidence), F.lit(0.5))))
+
+
+def final_intent(query: Column, told: Column, confidence: Column) -> Column:
+    """The intent told, if it is a known one, else general; a comparison overrules it, and a pattern where the confidence is low (Q08, Q09)."""
+    found, named = first_intent(query), F.lower(told)
+    known = F.when(named.isin(*lx.FIRST_INTENTS, *lx.OTHER_INTENTS), named).otherwise("general")
+    return F.when(is_comparison(query), "comparison").when((confidence < 0.75) & (found != "general"), found).otherwise(known)
+
+
 def rewrite(query: Column) -> Column:
     """The first known term's synonym added; else filler removed; else a suffix (Q10)."""
     out = None

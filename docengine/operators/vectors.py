@@ -58,17 +58,23 @@ def _best(shared, k: int):
         if not len(ids):
             return
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        best_so_far = None
         for batch in batches:
-            if not len(batch) or not len(ids):
+            if not len(batch):
                 continue
             x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             sim = np.round(q @ x.T, 6)
             names = batch["chunk_id"].to_numpy()
-            for i, row in enumerate(sim):
-                cut = np.partition(row, -k)[-k] if len(row) > k else -2.0
-                keep = np.nonzero(row >= cut)[0]  # ties at the cut stay, the rank below settles them
-                yield pd.DataFrame({"qid": ids[i], "chunk_id": names[keep], "similarity": row[keep]})
+            cut = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(sim), -2.0)
+            row, col = np.nonzero(sim >= cut[:, None])  # ties at the cut stay, the rank below settles them
+            found = pd.DataFrame({"qid": row, "chunk_id": names[col], "similarity": sim[row, col]})
+            if best_so_far is not None:
+                found = pd.concat([best_so_far, found])
+            found = found.sort_values(["qid", "similarity", "chunk_id"], ascending=[True, False, True], kind="stable")
+            best_so_far = found[found.groupby("qid").cumcount() < k]
+        if best_so_far is not None:
+            yield best_so_far.assign(qid=ids[best_so_far["qid"].to_numpy()])
 
     return best
 
@@ -76,9 +82,10 @@ def _best(shared, k: int):
 def hashing_embedding(text: Column, size: int = 64) -> Column:
     """Unit vector of token counts by hashed position: the default where no model is plugged in."""
     slots = F.transform(tx.word_tokens(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length == 0, counts).otherwise(F.transform(counts, lambda x: x / length))
+    count = lambda held: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(held, lambda s: s == i)).cast("double"))
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda c: tx.once(length(c), lambda n: F.when(n == 0, c).otherwise(F.transform(c, lambda x: x / n)))
+    return tx.once(tx.once(slots, count), unit)
 
 
 def index_stats(vectors: DataFrame) -> DataFrame:

@@ -15,9 +15,11 @@ BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a new one of this machine where it is unset and Spark runs here alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="docengine-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -40,6 +42,11 @@ def staged_bytes(df: DataFrame) -> int:
     return total
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Stage df and mark it for broadcast if its measured size is within limit; else leave the join to shuffle."""
     staged = stage(df)

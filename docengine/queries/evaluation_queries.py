@@ -23,7 +23,7 @@ def cases_of(t: Tables) -> DataFrame:
 
 
 def _hits(t: Tables, k: int = 20) -> DataFrame:
-    near = retrieval.top(lexical.term_cosine(asked(t), docs_of(t)).select("qid", "chunk_id", F.col("sim").alias("score")), k, "score").drop("rank")
+    near = retrieval.top(lexical.term_cosine(asked(t), docs_of(t), best=k).select("qid", "chunk_id", F.col("sim").alias("score")), k, "score").drop("rank")
     return near.join(docs_of(t).select("chunk_id", "text"), "chunk_id").join(asked(t), "qid")
 
 
@@ -116,11 +116,11 @@ m AS (SELECT qid, strategy, case_type, CASE WHEN n_rel > 0 THEN 1e0 ELSE 0e0 END
 
 @query(f"WITH {_SCORES} SELECT qid, strategy, chunk_id, score, rank FROM hits")
 def e07_strategy_scores(t: Tables) -> DataFrame:
-    return evaluation.best_hits(evaluation.strategy_scores(cases_of(t), docs_of(t))).select("qid", "strategy", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
+    return evaluation.best_hits(evaluation.strategy_scores(cases_of(t), docs_of(t), 5)).select("qid", "strategy", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def _metrics(t: Tables) -> DataFrame:
-    return evaluation.case_metrics(cases_of(t), evaluation.best_hits(evaluation.strategy_scores(cases_of(t), docs_of(t))), docs_of(t))
+    return evaluation.case_metrics(cases_of(t), evaluation.best_hits(evaluation.strategy_scores(cases_of(t), docs_of(t), 5)), docs_of(t))
 
 
 @query(f"WITH {_METRICS} SELECT * EXCLUDE (case_type) FROM m")

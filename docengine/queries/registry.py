@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docengine.plans.staging import read_table
+from docengine.plans.staging import read_table, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,12 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self._spark, self._dir = spark, sf_dir
 
+    def staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that a query uses in several places, made and written once."""
+        if name not in self.__dict__:
+            self.__dict__[name] = stage(build())
+        return self.__dict__[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         return read_table(self._spark, self._dir, name)
 

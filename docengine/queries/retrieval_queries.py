@@ -20,7 +20,8 @@ REQ = once("query_requests", "request_id", "logged_at", "req")
 
 
 def docs_of(t: Tables) -> DataFrame:
-    return chunks_of(t.chunks).filter("text <> ''").select("chunk_id", "text", "chunk_type", "table_id", "row_number", "row_part", "section", "page_start")
+    """The chunks with text, each once: what every search of a query runs over."""
+    return t.staged("_docs", lambda: chunks_of(t.chunks).filter("text <> ''").select("chunk_id", "text", "chunk_type", "table_id", "row_number", "row_part", "section", "page_start"))
 
 
 def asked(t: Tables) -> DataFrame:
@@ -82,7 +83,7 @@ def l06_bm25_minmax(t: Tables) -> DataFrame:
 
 @query(f"WITH {BASE}, {COS} SELECT qid, chunk_id, round(jac, 6) AS jaccard, sim FROM cs {best('sim', 10)}")
 def l07_jaccard_cosine(t: Tables) -> DataFrame:
-    return retrieval.top(lexical.term_cosine(asked(t), docs_of(t)), 10, "sim").select("qid", "chunk_id", F.round("jac", 6).alias("jaccard"), "sim")
+    return retrieval.top(lexical.term_cosine(asked(t), docs_of(t), best=10), 10, "sim").select("qid", "chunk_id", F.round("jac", 6).alias("jaccard"), "sim")
 
 
 @query(f"WITH {CHUNK} SELECT chunk_id, greatest(1, CAST(floor(len({_BTOK.format('text')}) * 1.3) AS INT)) AS tokens FROM chunk WHERE text IS NOT NULL")
@@ -258,7 +259,7 @@ _KEYWORD = f"round(0.1e0 * len(list_filter({_BTOK.format('qtext')}, lambda w: co
 @query(f"""WITH {BASE}, {COS}, near AS (SELECT qid, chunk_id, sim FROM cs {best('sim', 20)})
 SELECT qid, chunk_id, {_INTENT} AS intent_boost, {_KEYWORD} AS keyword FROM near JOIN doc USING (chunk_id) JOIN q USING (qid)""")
 def r08_intent_boost(t: Tables) -> DataFrame:
-    near = retrieval.top(lexical.term_cosine(asked(t), docs_of(t)).select("qid", "chunk_id", "sim"), 20, "sim").join(docs_of(t), "chunk_id").join(asked(t), "qid")
+    near = retrieval.top(lexical.term_cosine(asked(t), docs_of(t), best=20).select("qid", "chunk_id", "sim"), 20, "sim").join(docs_of(t), "chunk_id").join(asked(t), "qid")
     return near.select(
         "qid", "chunk_id", retrieval.intent_boost(F.col("qtext"), F.col("text"), F.col("chunk_type")).alias("intent_boost"),
         retrieval.keyword_score(F.col("qtext"), F.col("text"), F.col("chunk_type")).alias("keyword"))
@@ -275,9 +276,12 @@ _HINT = """concat_ws('|', CASE WHEN coalesce(table_id, '') <> '' THEN 'table_con
 FULL = f"""{BASE}, {BM25}, {COS}, {hybrid_sql(15)}, {expand_sql(30, 15)},
 kw AS (SELECT wide.*, {_KEYWORD} AS keyword, {_INTENT} AS ib FROM wide JOIN q USING (qid)), rr AS (SELECT * FROM kw {best('keyword', 10)}),
 bl AS (SELECT * EXCLUDE (final_score), round(0.9 * coalesce(retrieval_score, 0.0) + 0.1 * ib, 6) AS final_score FROM rr),
+rw AS (SELECT qid, table_id, row_number, string_agg(text, chr(10) ORDER BY coalesce(row_part, 0), chunk_id) AS text, max(final_score) AS final_score, first(section ORDER BY coalesce(row_part, 0), chunk_id) AS section, first(page_start ORDER BY coalesce(row_part, 0), chunk_id) AS page_start,
+  first(row_part ORDER BY coalesce(row_part, 0), chunk_id) AS row_part, first(chunk_id ORDER BY coalesce(row_part, 0), chunk_id) AS chunk_id, first(chunk_type ORDER BY coalesce(row_part, 0), chunk_id) AS chunk_type FROM bl WHERE coalesce(table_id, '') <> '' AND row_number IS NOT NULL GROUP BY qid, table_id, row_number
+  UNION ALL SELECT qid, table_id, row_number, text, final_score, section, page_start, row_part, chunk_id, chunk_type FROM bl WHERE NOT (coalesce(table_id, '') <> '' AND row_number IS NOT NULL)),
 pk AS (SELECT qid, table_id, section, page_start, string_agg(text, chr(10) || chr(10) ORDER BY coalesce(row_number, -1), coalesce(row_part, 0), chunk_id) AS text, max(final_score) AS final_score,
   first(chunk_id ORDER BY coalesce(row_number, -1), coalesce(row_part, 0), chunk_id) AS chunk_id, first(chunk_type ORDER BY coalesce(row_number, -1), coalesce(row_part, 0), chunk_id) AS chunk_type,
-  first(row_number ORDER BY coalesce(row_number, -1), coalesce(row_part, 0), chunk_id) AS row_number FROM bl GROUP BY qid, table_id, section, page_start),
+  first(row_number ORDER BY coalesce(row_number, -1), coalesce(row_part, 0), chunk_id) AS row_number FROM rw GROUP BY qid, table_id, section, page_start),
 final AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, chunk_id) AS INT) AS rank, {_HINT} AS context_hint FROM pk {best('final_score', 5)})"""
 
 

@@ -32,10 +32,15 @@ def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Records without any text are left out. A file that is no JSON goes to the second result with its path.
     """
     whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).withColumn("path", F.col("_metadata.file_path"))
+    return parse_chunks(whole)
+
+
+def parse_chunks(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks of payload texts (value, path), and path and reason of those that are no JSON."""
     held = whole.withColumn("as_payload", F.from_json("value", f"struct<chunks: array<struct<{_fields()}>>>")).withColumn("as_list", F.from_json("value", f"array<struct<{_fields()}>>"))
     parsed = held.withColumn("ok", F.try_parse_json("value").isNotNull()).withColumn("chunks", F.when(F.ltrim("value").startswith("["), F.col("as_list")).otherwise(F.col("as_payload.chunks")))
     chunks = parsed.filter("ok").select(F.explode("chunks").alias("c")).select("c.*").filter("coalesce(text, '') <> '' or coalesce(embedding_text, '') <> '' or coalesce(content, '') <> ''")
-    return chunks, parsed.filter("not ok").select("path")
+    return chunks, parsed.filter("not ok").select("path", F.lit("not JSON").alias("reason"))
 
 
 def _fields() -> str:
@@ -47,10 +52,14 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("insurer", "document_type").parquet(path)
 
 
-def append_traces(events: DataFrame, path: str) -> None:
-    """Events as JSON lines by sanitised session id."""
+def append_traces(events: DataFrame, path: str, files: int | None = None) -> None:
+    """Events as JSON lines by sanitised session id (S12, L14): a folder per session, or with files so many files that share the sessions."""
     clean = F.regexp_replace(F.coalesce("session_id", F.lit("anonymous")), r"[^A-Za-z0-9_.-]", "_")
-    events.withColumn("session", clean).write.mode("append").partitionBy("session").json(path)
+    named = events.withColumn("session", clean)
+    if files:
+        named.repartition(files, "session").write.mode("append").json(path)
+    else:
+        named.write.mode("append").partitionBy("session").json(path)
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:

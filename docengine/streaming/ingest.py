@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docengine.operators.vectors import upsert_new
+from docengine.plans.staging import exists
 
 
 def distinct_arrivals(chunks: DataFrame, time: str = "indexed_at", late: str = "2 days") -> DataFrame:
@@ -19,10 +20,8 @@ def stream_upsert(chunks: DataFrame, target: str, checkpoint: str) -> StreamingQ
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(target).select("chunk_id")
-        except Exception:  # the target does not exist before the first batch
-            known = batch.select("chunk_id").limit(0)
+        # the target does not exist before the first batch; a read that fails for any other reason must fail here
+        known = spark.read.parquet(target).select("chunk_id") if exists(spark, target) else batch.select("chunk_id").limit(0)
         upsert_new(batch, known).write.mode("append").parquet(target)
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
