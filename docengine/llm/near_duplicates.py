@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.plans.staging import ship_with_tasks, small_side, stage
+from docengine.plans.staging import discard, ship_with_tasks, small_side, stage
 
 ship_with_tasks(__name__)
 
@@ -125,7 +125,7 @@ def _met(classes: DataFrame, threshold: float) -> DataFrame:
         return a.join(b, likely).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
 
     cold = rows.join(hot, "key", "left_anti").repartition(tasks, "key")
-    dealt = rows.join(hot, "key")
+    dealt = stage(rows.join(hot, "key"))
     one = dealt.withColumn("slot", F.pmod(F.xxhash64("set_id"), "slots").cast("int"))
     every = dealt.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     return pairs(cold, cold, ["key"]).union(pairs(one, every, ["key", "slot"])).distinct()
@@ -140,12 +140,14 @@ def similar_sets(records: DataFrame, threshold: float, min_words: int) -> tuple[
     several = small_side(per.filter("text_id_low <> text_id_high").select("id"))
     last = signed.join(several, "id").groupBy("id").agg(F.max_by(F.struct("set_id", "text_id", "n"), F.struct("at", "text_id")).alias("r")).select("id", "r.*")
     one = per.filter("text_id_low = text_id_high").select("id", "set_id", F.col("text_id_low").alias("text_id"), "n")
-    members = one.unionByName(last).filter(F.col("n") > 0).drop("n")
+    members = stage(one.unionByName(last).filter(F.col("n") > 0).drop("n"))
     classes = stage(signed.filter(F.col("n") > 0).groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("text_id", "sketch", "sketch2", "symbols")]))  # alike in a class, but for the text
+    discard(signed, per)
     met = stage(_met(classes, threshold))
-    needed = met.select(F.col("set_a").alias("set_id")).union(met.select("set_b")).distinct().join(classes.select("set_id", "text_id"), "set_id")
+    needed = small_side(met.select(F.col("set_a").alias("set_id")).union(met.select("set_b")).distinct().join(classes.select("set_id", "text_id"), "set_id"))
+    discard(classes)
     # the words of a class are those of one of its texts, whatever records came with it
-    texts = records.select("text", F.xxhash64("text").alias("text_id")).join(small_side(needed), "text_id").groupBy("set_id").agg(F.first("text").alias("text"))
+    texts = records.select("text", F.xxhash64("text").alias("text_id")).join(needed, "text_id").groupBy("set_id").agg(F.first("text").alias("text"))
     words = stage(texts.select("set_id", _words(F.col("text")).alias("words")))
     both = met.join(words.select(F.col("set_id").alias("set_a"), F.col("words").alias("words_a")), "set_a").join(words.select(F.col("set_id").alias("set_b"), F.col("words").alias("words_b")), "set_b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
@@ -170,7 +172,6 @@ def near_duplicate_pairs(table: DataFrame, key: str = "chunk_id", text: str = "t
     representative, so that a join of the two gives every pair.
     """
     members, links = similar_sets(_records(table, key, text, latest_by), threshold, min_words)
-    members = stage(members)
     copies = members.groupBy("set_id", "text_id").agg(F.count("*").alias("size"), F.min("id").alias("head"))
     many = small_side(copies.filter(F.col("size") > copies_written_out).select("set_id", "text_id", "head"))
     known = members.join(many, ["set_id", "text_id"], "left")
@@ -211,7 +212,7 @@ def near_duplicate_groups(table: DataFrame, key: str = "chunk_id", text: str = "
     """One row per record that takes part: key, group (a class id), head (the first record with the very same text), first (the first
     record with the same words), copies (records with the same words), links (to other word sets)."""
     members, links = similar_sets(_records(table, key, text, latest_by), threshold, min_words)
-    members, links = stage(members), stage(links)
+    links = stage(links)
     roots = components(links, "set_a", "set_b")
     degree = links.select(F.col("set_a").alias("set_id")).union(links.select("set_b")).groupBy("set_id").agg(F.count("*").alias("links"))
     size = members.groupBy("set_id").agg(F.count("*").alias("copies"))

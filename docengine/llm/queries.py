@@ -136,5 +136,21 @@ SELECT source, CAST(CASE WHEN n = 0 THEN 0 ELSE c END AS INT) AS copies, CASE WH
 """
 
 
+_P2 = """
+WITH vec AS (SELECT chunk_id, max(embedding) AS e FROM chunk_vectors WHERE chunk_id IS NOT NULL AND len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+d AS (SELECT chunk_id, list_transform(e, lambda x: CAST(x AS DOUBLE)) AS e FROM vec),
+s AS (SELECT a.chunk_id AS x, b.chunk_id AS y, row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.chunk_id) AS n FROM d a JOIN d b ON a.chunk_id <> b.chunk_id)
+SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM s WHERE n <= 5
+"""
+
+_P6 = """
+WITH c AS (SELECT chunk_id, arg_max(text, indexed_at) AS t FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+w AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')) AS ws FROM c WHERE t IS NOT NULL),
+u AS (SELECT chunk_id, len(ws) AS n, unnest(ws) AS w FROM w WHERE len(ws) >= 20),
+p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, any_value(a.n) + any_value(b.n) AS n, count(*) AS s FROM u a JOIN u b ON a.w = b.w AND a.chunk_id < b.chunk_id AND 10 * b.n >= 7 * a.n AND 10 * a.n >= 7 * b.n GROUP BY a.chunk_id, b.chunk_id)
+SELECT x AS chunk_id_a, y AS chunk_id_b FROM p WHERE 10 * s >= 7 * (n - s)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3, "p5_found": _P5, "p7_found": _P7, "p8_found": _P8}
+    return {"p2_found": _P2, "p6_found": _P6, "p3_found": _P3, "p5_found": _P5, "p7_found": _P7, "p8_found": _P8}
