@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,12 +16,22 @@ ship_with_tasks(__name__)
 STRATEGIES = ("naive", "hybrid", "table_aware", "full_agentic")
 
 
-#: The most that a pair gains over its base by preferences and intents, and over rounding.
-GAIN = 0.28 + 2e-4
+#: What a record gains for an intent: the record's mark and the amount.
+INTENT_GAINS = {"exclusion": ("excl", 0.16), "waiting_period": ("waits", 0.14), "claim": ("claims", 0.14), "premium": ("prem", 0.12), "coverage": ("covers", 0.10)}
+MARKS = ("is_table", *[mark for mark, _ in INTENT_GAINS.values()])
 
 
-def _by_strategy(raw, shared, jac):
-    return [(raw, 2e-4), (0.7 * raw + 0.3 * jac, GAIN)]
+def _by_strategy(wants: dict):
+    """The four scores of the pairs of a batch, by the wants (prefers_table, intent) of each case; rounding may gain as much as is added."""
+
+    def by(raw, shared, jac, batch, ids):
+        prefers, intents = (np.array([wants[i][k] for i in ids.tolist()]) for k in (0, 1))
+        base = 0.7 * raw + 0.3 * jac
+        tables = base + np.where(prefers[None, :] & batch["is_table"].to_numpy(bool)[:, None], 0.12 * np.minimum(1.0, np.maximum(0.0, base) / 0.5), 0.0)
+        full = tables + sum(v * ((intents == intent)[None, :] & batch[mark].to_numpy(bool)[:, None]) for intent, (mark, v) in INTENT_GAINS.items())
+        return [(score, 2e-4) for score in (raw, base, tables, full)]
+
+    return by
 
 
 def strategy_scores(cases: DataFrame, docs: DataFrame, best: int | None = None) -> DataFrame:
@@ -28,17 +39,17 @@ def strategy_scores(cases: DataFrame, docs: DataFrame, best: int | None = None)
 
     With best, pairs that cannot be among the best of their case under any strategy are left out where they are scored.
     """
-    pairs = lexical.term_cosine(cases.select("qid", "qtext"), docs.select("chunk_id", "text"), best=best, by=_by_strategy)
-    kept = docs.select(
-        "chunk_id", ((F.coalesce("table_id", F.lit("")) != "") | F.col("row_number").isNotNull() | F.col("chunk_type").isin("table_row", "table_meta")).alias("is_table"),
-        ((F.col("chunk_type") == "exclusion") | F.lower("text").contains("not covered")).alias("excl"), F.lower("text").contains("waiting").alias("waits"),
-        F.lower("text").contains("claim").alias("claims"), F.lower("text").contains("premium").alias("prem"), (F.lower("text").contains("cover") | F.lower("text").contains("benefit")).alias("covers"))
+    low = F.lower("text")
+    table = (F.coalesce("table_id", F.lit("")) != "") | F.col("row_number").isNotNull() | F.col("chunk_type").isin("table_row", "table_meta")
+    marks = {"is_table": table, "excl": (F.col("chunk_type") == "exclusion") | low.contains("not covered"), "waits": low.contains("waiting"), "claims": low.contains("claim"), "prem": low.contains("premium"), "covers": low.contains("cover") | low.contains("benefit")}
+    marked = docs.select("chunk_id", "text", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in marks.items()])
     want = cases.select("qid", F.coalesce("prefers_table", F.lit(False)).alias("prefers_table"), understanding.benchmark_intent(F.col("qtext")).alias("intent"))
-    rows = pairs.join(want, "qid").join(kept, "chunk_id")
+    wants = {r["qid"]: (r["prefers_table"], r["intent"]) for r in want.toLocalIterator()} if best else {}  # the stated cases
+    pairs = lexical.term_cosine(cases.select("qid", "qtext"), marked, best=best, by=_by_strategy(wants), columns=MARKS)
+    rows = pairs.join(want, "qid").join(marked.drop("text"), "chunk_id")
     base = 0.7 * F.col("raw") + 0.3 * F.col("jac")
     bonus = F.when(F.col("prefers_table") & F.col("is_table"), 0.12 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), base) / 0.5)).otherwise(0.0)
-    fits = lambda intent, flag, v: F.when((F.col("intent") == intent) & F.col(flag), v)
-    boost = F.coalesce(fits("exclusion", "excl", 0.16), fits("waiting_period", "waits", 0.14), fits("claim", "claims", 0.14), fits("premium", "prem", 0.12), fits("coverage", "covers", 0.10), F.lit(0.0))
+    boost = F.coalesce(*[F.when((F.col("intent") == intent) & F.col(mark), v) for intent, (mark, v) in INTENT_GAINS.items()], F.lit(0.0))
     scores = {"naive": F.col("raw"), "hybrid": base, "table_aware": base + bonus, "full_agentic": base + bonus + boost}
     return rows.select("qid", "chunk_id", F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.round(c, 4).alias("score")) for s, c in scores.items()])).alias("s")).select("qid", "chunk_id", "s.*")
 

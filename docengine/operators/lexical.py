@@ -86,11 +86,11 @@ def _cut(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
             yield batch.iloc[a : a + step]
 
 
-def _scan(queries: DataFrame, docs: DataFrame, qid: str, key: str, values: str, build) -> DataFrame:
+def _scan(queries: DataFrame, docs: DataFrame, qid: str, key: str, values: str, build, columns: tuple[str, ...] = ()) -> DataFrame:
     """The union over the slices of the query set of one scan of the documents each, by the function that build() makes of a slice."""
     types = dict(queries.dtypes)[qid], dict(docs.dtypes)[key]
     schema, out = f"{qid} {types[0]}, {key} {types[1]}, {values}", None
-    texts = docs.select(key, "text").filter("text <> ''")
+    texts = docs.select(key, "text", *columns).filter("text <> ''")
     for ids, asked in _slices(queries, qid):
         found = texts.mapInPandas(build(np.array(ids), asked), schema)
         out = found if out is None else out.unionByName(found)
@@ -141,14 +141,15 @@ def min_max(scores: DataFrame, n_docs: DataFrame, qid: str = "qid", score: str =
 
 
 #: What may be among the best of a task's documents: scores of pairs, with the amount by which a pair may yet gain on another.
-BY_SIM = lambda raw, shared, jac: [(raw, 2e-6)]
-BY_SHARED = lambda raw, shared, jac: [(shared, 0.0)]
+BY_SIM = lambda raw, shared, jac, batch, ids: [(raw, 2e-6)]
+BY_SHARED = lambda raw, shared, jac, batch, ids: [(shared, 0.0)]
 
 
-def term_cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", key: str = "chunk_id", best: int | None = None, by=BY_SIM) -> DataFrame:
+def term_cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", key: str = "chunk_id", best: int | None = None, by=BY_SIM, columns: tuple[str, ...] = ()) -> DataFrame:
     """qid, key, sim (six places), raw, shared, jac: cosine of token counts and Jaccard of token sets, of pairs with a common token.
 
-    With best, a task gives only the pairs that may be among the best of their query by one of the scores of by, ties included.
+    With best, a task gives only the pairs that may be among the best of their query by one of the scores of by, ties included; by sees
+    the columns named of the documents of its batch.
     """
     context = docs.sparkSession.sparkContext
 
@@ -168,7 +169,7 @@ def term_cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", key: str
                     jac = shared / (q_size[None, :] + d_size[:, None] - shared)
                 if best and len(batch) > best:
                     likely = np.zeros_like(keep)
-                    for value, gain in by(raw, shared, jac):
+                    for value, gain in by(raw, shared, jac, batch, ids):
                         value = np.where(keep, value, -np.inf)
                         likely |= value + gain >= np.partition(value, -best, axis=0)[-best]
                     keep &= likely
@@ -177,4 +178,4 @@ def term_cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", key: str
 
         return score
 
-    return _scan(queries, docs, qid, key, "raw double, shared bigint, jac double", build).select(qid, key, F.round("raw", 6).alias("sim"), "raw", "shared", "jac")
+    return _scan(queries, docs, qid, key, "raw double, shared bigint, jac double", build, columns).select(qid, key, F.round("raw", 6).alias("sim"), "raw", "shared", "jac")

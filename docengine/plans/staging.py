@@ -27,11 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back, so that later plans start from the files."""
-    path = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all staged tables of this application. Call it when the results that were made of them have been written or read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables made by stage(), when all that was made of them has been staged itself."""
+    for df in staged:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged_bytes(df: DataFrame) -> int:
     """Bytes on disk of a table made by stage()."""
     spark = df.sparkSession

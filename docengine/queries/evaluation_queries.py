@@ -67,7 +67,15 @@ def g09_extractive_answer(t: Tables) -> DataFrame:
     return context.extractive_answer(context.compress(_hits(t))).select("qid", "answer")
 
 
-@query()
+_SENT = r"""list_filter(list_transform(string_split(regexp_replace(replace(regexp_replace(regexp_replace({t}, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '[C_', ' [C_'), '(\])\s+(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
+_TAGS = r"list_distinct(regexp_extract_all({t}, '\[(C_[0-9A-Za-z]+)\]', 1))"
+_FACT = r"list_filter({s}, lambda x: len(list_filter(regexp_split_to_array(lower(regexp_replace(x, '\[C_[0-9A-Za-z]+\]', '', 'g')), '\s+'), lambda w: w <> '')) >= 4)"
+
+
+@query(f"""WITH {_USED}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_pos) AS n FROM used), an AS (SELECT qid, string_agg(text || ' [' || tag || ']', ' ' ORDER BY n) FILTER (WHERE n <= 4) AS answer, list(tag) AS ctx FROM r GROUP BY qid),
+y AS (SELECT qid, ctx, {_TAGS.format(t='answer')} AS cited, {_FACT.format(s=_SENT.format(t='answer'))} AS facts FROM an)
+SELECT qid, CAST(len(list_intersect(cited, ctx)) AS INT) AS valid, CAST(len(list_filter(cited, lambda c: NOT list_contains(ctx, c))) AS INT) AS invalid, CAST(len(facts) AS INT) AS factual,
+round(CASE WHEN len(facts) = 0 THEN 1e0 ELSE len(list_filter(facts, lambda f: len(list_intersect({_TAGS.format(t='f')}, ctx)) > 0)) / len(facts) END, 3) AS citation_coverage FROM y""")
 def g12_citation_coverage(t: Tables) -> DataFrame:
     made = context.extractive_answer(context.compress(_hits(t)))
     return made.select("qid", *[c.alias(k) for k, c in context.citation_report(F.col("answer"), F.col("context_tags")).items()])
@@ -81,19 +89,6 @@ def g11_citation_tags(t: Tables) -> DataFrame:
     return responses_of(t.query_responses).select("request_id", F.size(cited).cast("bigint").alias("cited"), F.size(F.array_intersect(cited, known)).cast("bigint").alias("valid"))
 
 
-@query()
-def g17_verdict(t: Tables) -> DataFrame:
-    """Each request's latest answer judged by token similarity to question and context."""
-    got = requests_of(t.query_requests).select("request_id", "query").join(responses_of(t.query_responses).select("request_id", "synthesized_answer", "sources", "confidence"), "request_id")
-    q, a = tx.word_set(F.col("query")), tx.word_set(F.col("synthesized_answer"))
-    rel = F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, a)) / F.size(q))
-    cite = context.citation_report(F.coalesce("synthesized_answer", F.lit("")), F.coalesce("sources", F.array().cast("array<string>")))
-    faith = F.round(cite["citation_coverage"] * F.when(cite["invalid"] > 0, lx.INVALID_TAG_PENALTY).otherwise(1.0), 3)
-    full = F.least(F.lit(1.0), 0.7 * rel + 0.3 * tx.jaccard(q, a))
-    judged = context.verdict(faith, rel, full, rel, F.coalesce("confidence", F.lit(0.0)))
-    return got.select("request_id", faith.alias("faithfulness"), F.round(rel, 3).alias("relevance"), F.round(full, 3).alias("completeness"), *[c.alias(k) for k, c in judged.items()])
-
-
 _CASE = "CASE " + " ".join(f"WHEN regexp_matches(lower(qtext), '{p}') THEN '{k}'" for k, p in lx.BENCHMARK_INTENTS.items()) + " ELSE 'general' END"
 _JAC = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
 _SCORES = f"""{CHUNK}, doc AS (SELECT chunk_id, text, chunk_type, table_id, row_number FROM chunk WHERE text <> ''),

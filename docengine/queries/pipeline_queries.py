@@ -13,7 +13,7 @@ from docengine.functions import text as tx
 from docengine.operators import context, evaluation, lexical, retrieval, understanding, vectors
 from docengine.operators.records import chunks_of, pages_of, requests_of, responses_of
 from docengine.plans.staging import shared_dir
-from docengine.queries.evaluation_queries import _HITS, _JAC, _POOL, RESP, _hits
+from docengine.queries.evaluation_queries import _FACT, _HITS, _JAC, _POOL, _SENT, _TAGS, RESP, _hits
 from docengine.queries.registry import Registry, Tables
 from docengine.queries.retrieval_queries import _KEYWORD, _PRE, _UNIT, _VEC, _WTOK, BASE, BM25, COS, REQ, _case, asked, best, docs_of, expand_sql, hybrid_sql
 from docengine.queries.text_queries import CHUNK, PAGE
@@ -58,9 +58,6 @@ def g22_single_pass(t: Tables) -> DataFrame:
     return context.single_pass(_used(t), _staged_hits(t))
 
 
-_SENT = r"""list_filter(list_transform(string_split(regexp_replace(replace(regexp_replace(regexp_replace({t}, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '[C_', ' [C_'), '(\])\s+(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
-_TAGS = r"list_distinct(regexp_extract_all({t}, '\[(C_[0-9A-Za-z]+)\]', 1))"
-_FACT = r"list_filter({s}, lambda x: len(list_filter(regexp_split_to_array(lower(regexp_replace(x, '\[C_[0-9A-Za-z]+\]', '', 'g')), '\s+'), lambda w: w <> '')) >= 4)"
 _JUDGED = f"""{REQ}, {RESP}, x AS (SELECT request_id, coalesce(intent, 'none') AS intent, list_distinct({_WTOK.format("coalesce(query, '')")}) AS qs, list_distinct({_WTOK.format("coalesce(synthesized_answer, '')")}) AS ts,
   coalesce(synthesized_answer, '') AS a, coalesce(sources, []) AS ctx, coalesce(confidence, 0e0) AS top FROM req JOIN resp USING (request_id)),
 y AS (SELECT *, {_TAGS.format(t='a')} AS cited, {_FACT.format(s=_SENT.format(t='a'))} AS facts FROM x),
@@ -80,7 +77,16 @@ def _verdicts(t: Tables) -> DataFrame:
     faith = F.round(cite["citation_coverage"] * F.when(cite["invalid"] > 0, lx.INVALID_TAG_PENALTY).otherwise(1.0), 3)
     full = F.least(F.lit(1.0), 0.7 * rel + 0.3 * tx.jaccard(q, a))
     judged = context.verdict(faith, rel, full, rel, F.coalesce("confidence", F.lit(0.0))) | context.correction(faith, rel, rel, cite["invalid"] > 0, F.size(known) == 0)
-    return got.select("request_id", F.coalesce("intent", F.lit("none")).alias("intent"), faith.alias("faithfulness"), F.round(rel, 3).alias("relevance"), *[c.alias(k) for k, c in judged.items()])
+    return got.select("request_id", F.coalesce("intent", F.lit("none")).alias("intent"), faith.alias("faithfulness"), F.round(rel, 3).alias("relevance"), F.round(full, 3).alias("completeness"), *[c.alias(k) for k, c in judged.items()])
+
+
+_REASONS = "list_filter([CASE WHEN faith < 0.2 THEN 'low_faithfulness' END, CASE WHEN rel < 0.15 THEN 'low_relevance' END, CASE WHEN full_score < 0.001 THEN 'low_completeness' END, CASE WHEN rel < 0.1 THEN 'low_coverage' END, CASE WHEN top < 0.45 THEN 'low_retrieval' END], lambda r: r IS NOT NULL)"
+
+
+@query(f"WITH {_JUDGED} SELECT request_id, faith AS faithfulness, round(rel, 3) AS relevance, round(full_score, 3) AS completeness, NOT (faith < 0.2 OR rel < 0.15 OR full_score < 0.001 OR rel < 0.1) AS passed, {_REASONS} AS reasons FROM v")
+def g17_verdict(t: Tables) -> DataFrame:
+    """Each request's latest answer judged by token similarity to question and context."""
+    return _verdicts(t).select("request_id", "faithfulness", "relevance", "completeness", "passed", "reasons")
 
 
 @query(f"WITH {_JUDGED} SELECT request_id, faithfulness, relevance, passed, crag_required, crag_priority, drop_immediately FROM verdict")

@@ -127,9 +127,12 @@ def v01_vector_norms(t: Tables) -> DataFrame:
     return vectors.valid(t.chunk_vectors, 96).select("chunk_id", F.round(vectors.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query()
+@query(f"""WITH {BASE}, s AS (SELECT chunk_id, list_transform({_WTOK.format('text')}, lambda w: CAST(('0x' || substr(md5(w), 1, 4)) AS INT) % 64) AS slots FROM doc),
+c AS (SELECT chunk_id, list_transform(range(0, 64), lambda i: CAST(len(list_filter(slots, lambda x: x = i)) AS DOUBLE)) AS c FROM s), n AS (SELECT chunk_id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM c)
+SELECT chunk_id, list_transform(c, lambda x: round(CASE WHEN n = 0 THEN x ELSE x / n END, 6)) AS embedding FROM n""")
 def v01_hashing_embedding(t: Tables) -> DataFrame:
-    return docs_of(t).select("chunk_id", vectors.hashing_embedding(F.col("text")).alias("embedding"))
+    unit = vectors.hashing_embedding(F.col("text"))
+    return docs_of(t).select("chunk_id", F.transform(unit, lambda x: F.round(x, 6)).alias("embedding"))
 
 
 _ID = "CAST(('0x' || substr(replace(chunk_id, 'C_', ''), 1, 15)) AS BIGINT)"

@@ -52,17 +52,23 @@ def t10_repeated_lines(t: Tables) -> DataFrame:
     return cleaning.repeated_page_lines(pages_of(t.pages))
 
 
-@query(rf"""WITH {PAGE}, line AS (SELECT page_id, document_id, unnest(string_split(raw_text, chr(10))) AS raw, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i FROM page WHERE raw_text IS NOT NULL AND document_id IS NOT NULL),
+_STRIP = rf"""WITH {PAGE}, line AS (SELECT page_id, document_id, unnest(string_split(raw_text, chr(10))) AS raw, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i FROM page WHERE raw_text IS NOT NULL AND document_id IS NOT NULL),
 trimmed AS (SELECT document_id, page_id, i, raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM line),
 n AS (SELECT document_id, count(*) AS pages FROM page WHERE raw_text IS NOT NULL GROUP BY document_id),
 rep AS (SELECT document_id, line FROM (SELECT DISTINCT document_id, page_id, line FROM trimmed) JOIN n USING (document_id) WHERE length(line) >= 3
         GROUP BY document_id, line, pages HAVING count(*) >= greatest(2, CAST(floor(0.6 * pages) AS BIGINT)))
-SELECT page_id, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE rep.line IS NULL), '') AS text FROM trimmed LEFT JOIN rep ON trimmed.document_id = rep.document_id AND trimmed.line = rep.line GROUP BY page_id""")
+SELECT page_id, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE rep.line IS NULL), '') AS text FROM trimmed LEFT JOIN rep ON trimmed.document_id = rep.document_id AND trimmed.line = rep.line GROUP BY page_id"""
+
+
+@query(_STRIP)
 def t11_strip_repeated(t: Tables) -> DataFrame:
     return cleaning.strip_page_lines(pages_of(t.pages))
 
 
-@query()
+_STRIPPED = _CLEAN.replace("FROM page WHERE raw_text IS NOT NULL", f"FROM (SELECT page_id, text AS raw_text FROM ({_STRIP}))")
+
+
+@query(f"WITH {_STRIPPED} SELECT page_id, cleaned FROM clean")
 def t12_clean_pages(t: Tables) -> DataFrame:
     return cleaning.strip_page_lines(pages_of(t.pages)).select("page_id", tx.clean_text(F.col("text")).alias("cleaned"))
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import math
 
 import pytest
@@ -117,6 +119,34 @@ def test_sessions(spark):
     assert [r.j for r in body] == ['{"a":1}', None]
 
 
+def test_corrective_rules(spark):
+    """Hard stop, no retryable reason, wide and slight widening."""
+    q = queries(spark, (1, "room rent limit"), (2, "bad"), (3, "thin"), (4, "wide"), (5, "slight"))
+    hits = lambda a, k: a.crossJoin(spark.range(1, k + 1).withColumnRenamed("id", "rank"))
+    rows = {1: (True, 1.0, 1.0, []), 2: (False, 0.1, 0.1, ["low_relevance"]), 3: (False, 0.9, 0.9, ["partial"]), 4: (False, 0.9, 0.1, ["low_relevance: 0.1"]), 5: (False, 0.2, 0.9, ["hallucinated_citation"])}
+    table = spark.createDataFrame([(k, *v) for k, v in rows.items()], "qid long, passed boolean, faithfulness double, relevance double, reasons array<string>")
+    judge = lambda h: h.groupBy("qid").agg(F.count("*").cast("double").alias("score")).join(table, "qid")
+    got = {r.qid: (r.passes, r.passed, r.score) for r in corrective_loop(q, hits, judge).collect()}
+    assert got[1] == (1, True, 8.0) and got[2] == (1, False, 8.0) and got[3] == (1, False, 8.0) and got[5] == (3, False, 12.0)
+    assert got[4][:2] == (3, False) and got[4][2] >= 24.0
+
+
+def test_token_scores_against_brute_force(spark, docs, monkeypatch):
+    texts = ["the room rent is due", "the premium of the room", None, "", "rent rent rent", "no common word here", "the the the room"]
+    table = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(texts * 4)], "chunk_id string, text string").withColumn("chunk_id", F.concat("chunk_id", F.monotonically_increasing_id().cast("string")))
+    q = queries(spark, (1, "the room"), (2, "rent"), (3, None))
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 1)
+    every = {(r.qid, r.chunk_id): r.sim for r in lexical.term_cosine(q, table).collect()}
+    known = {r.chunk_id: r.text for r in table.collect()}
+    for (qid, c), sim in every.items():
+        a, b = Counter({1: "the room", 2: "rent"}[qid].split()), Counter(known[c].split())
+        assert abs(sim - sum(a[w] * b[w] for w in a) / (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5) < 1e-6
+    assert len(every) == sum(bool(set(x.split()) & set(t.split())) for t in known.values() if t for x in ("the room", "rent"))
+    top = retrieval.top(lexical.term_cosine(q, table), 2, "sim").select("qid", "chunk_id").collect()
+    assert {tuple(r) for r in top} == {tuple(r) for r in retrieval.top(lexical.term_cosine(q, table, best=2), 2, "sim").select("qid", "chunk_id").collect()}
+    assert lexical.term_cosine(q.filter("qid = 3"), table).count() == 0 and lexical.bm25(q, table.limit(0)).count() == 0
+
+
 def test_corrective_loop_stops(spark, docs):
     q = queries(spark, (1, "room rent"), (2, "zzz"))
     judge = lambda hits: hits.groupBy("qid").agg(F.lit(True).alias("passed"), F.lit(1.0).alias("score"))

@@ -84,3 +84,10 @@ def test_clean_text_is_stable(spark, texts):
     once = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.clean_text(F.col("t")).alias("t"))
     for r in once.withColumn("again", tx.squeeze_blank_lines(tx.trim_lines(F.col("t")))).collect():
         assert r.again.strip() == r.t.strip() and "\r" not in r.t
+
+
+def test_runs_of_equal_lines(spark):
+    texts = ["a\na\nb", "a\n\n\nb", "", "\n\n", "a\na", "aa\na\na\naa", "x\ny\nx", "a\n\n", "é\né\u2028é\né", " a\na"]
+    want = ["\n".join(line for i, line in enumerate(t.split("\n")) if i == 0 or line != t.split("\n")[i - 1]) for t in texts]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.drop_repeated_neighbours(F.col("t")).alias("t")).collect()]
+    assert got == want
