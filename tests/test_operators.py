@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docengine.operators import analysis, context, evaluation, lexical, records, retrieval, vectors
 from docengine.plans.corrective import corrective_loop
-from docengine.plans.staging import small_side, stage, staged_bytes
+from docengine.plans.staging import discard, exists, small_side, stage, staged_bytes
 
 DOC = "chunk_id string, text string, chunk_type string, table_id string, row_number int, row_part int, section string, page_start int"
 
@@ -157,4 +157,7 @@ def test_corrective_loop_stops(spark, docs):
 def test_staging(spark):
     staged = stage(spark.range(10))
     assert staged_bytes(staged) > 0 and staged.count() == 10
+    folder = staged.inputFiles()[0].rsplit("/", 1)[0]
+    discard(staged)
+    assert not exists(spark, folder)
     assert small_side(spark.range(3)).count() == 3
