@@ -44,7 +44,7 @@ def strategy_scores(cases: DataFrame, docs: DataFrame, best: int | None = None)
     marks = {"is_table": table, "excl": (F.col("chunk_type") == "exclusion") | low.contains("not covered"), "waits": low.contains("waiting"), "claims": low.contains("claim"), "prem": low.contains("premium"), "covers": low.contains("cover") | low.contains("benefit")}
     marked = docs.select("chunk_id", "text", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in marks.items()])
     want = cases.select("qid", F.coalesce("prefers_table", F.lit(False)).alias("prefers_table"), understanding.benchmark_intent(F.col("qtext")).alias("intent"))
-    wants = {r["qid"]: (r["prefers_table"], r["intent"]) for r in want.toLocalIterator()} if best else {}  # the stated cases
+    wants = {r["qid"]: (r["prefers_table"], r["intent"]) for r in want.coalesce(1).toLocalIterator()} if best else {}  # the stated cases
     pairs = lexical.term_cosine(cases.select("qid", "qtext"), marked, best=best, by=_by_strategy(wants), columns=MARKS)
     rows = pairs.join(want, "qid").join(marked.drop("text"), "chunk_id")
     base = 0.7 * F.col("raw") + 0.3 * F.col("jac")

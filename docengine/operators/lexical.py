@@ -46,7 +46,7 @@ def term_stats(docs: DataFrame, key: str = "chunk_id") -> DataFrame:
 def _slices(queries: DataFrame, qid: str) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of the stated query set, QUERY_BLOCK at a time."""
     ids, texts = [], []
-    for r in queries.filter("qtext is not null").select(qid, "qtext").toLocalIterator():
+    for r in queries.filter("qtext is not null").select(qid, "qtext").coalesce(1).toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
         if len(ids) == QUERY_BLOCK:
@@ -107,15 +107,13 @@ def bm25(queries: DataFrame, docs: DataFrame, qid: str = "qid", key: str = "chun
     length, known = docs.agg(F.avg(F.size(tx.blank_tokens(text))), F.count("*")).first()
     asked_tokens = queries.filter("qtext is not null").select(F.explode(tx.blank_tokens(F.col("qtext"))).alias("tok")).distinct()
     df = docs.select(F.explode(F.array_distinct(tx.blank_tokens(text))).alias("tok")).join(small_side(asked_tokens), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
-    df = stage(df)
+    frequency = {r["tok"]: r["df"] for r in df.coalesce(1).toLocalIterator()}  # the vocabulary of the stated queries
     context = docs.sparkSession.sparkContext
 
     def build(ids: np.ndarray, asked: list[str]):
         vocabulary, table = _columns(asked, _blank)
-        met = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "tok string").join(df, "tok")  # a slice's vocabulary
-        idf = np.zeros(len(vocabulary))
-        for r in met.toLocalIterator():
-            idf[vocabulary[r["tok"]]] = np.log((known - r["df"] + 0.5) / (r["df"] + 0.5) + 1)
+        held = np.array([frequency.get(w, 0) for w in vocabulary], np.float64)
+        idf = np.where(held > 0, np.log((known - held + 0.5) / (held + 0.5) + 1), 0.0)
         shared = context.broadcast((ids, vocabulary, table, idf))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

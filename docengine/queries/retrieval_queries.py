@@ -25,7 +25,8 @@ def docs_of(t: Tables) -> DataFrame:
 
 
 def asked(t: Tables) -> DataFrame:
-    return requests_of(t.query_requests).filter("request_id % 100 = 0 and query is not null").select(F.col("request_id").alias("qid"), F.col("query").alias("qtext"))
+    """The stated query set."""
+    return t.staged("_asked", lambda: requests_of(t.query_requests.filter("request_id % 100 = 0")).filter("query is not null").select(F.col("request_id").alias("qid"), F.col("query").alias("qtext")))
 
 
 _BTOK = "list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda x: x <> '')"
