@@ -1,15 +1,18 @@
 """Retrieval writes what it keeps of each query, not a row for each pair of query and document."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from docengine.operators import lexical, retrieval
 from docengine.plans.staging import _own_dir, release
 
 DOC = "chunk_id string, text string, chunk_type string, table_id string, row_number int, row_part int, section string, page_start int"
 N_DOCS, N_QUERIES = 900, 40
+SMALL = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +68,17 @@ def test_halves_are_rounded_as_in_sql(spark):
     frame = {"s": [s for s, _ in pairs], "n": [n for _, n in pairs]}
     want = duckdb.execute("SELECT round(0.7 * s + 0.3 * n + 0e0, 6) FROM (SELECT unnest($s::DOUBLE[]) AS s, unnest($n::DOUBLE[]) AS n)", frame).fetchall()
     assert [r[0] for r in got] == [w for w, in want]
+
+
+@pytest.mark.parametrize("name", ["r16_full_retrieval"])
+def test_queries_stage_no_row_for_each_pair(spark, name):
+    """Of 8 queries and 2,469 documents, 11,476 pairs have a token in common."""
+    duckdb = pytest.importorskip("duckdb")
+    release(spark)
+    df = __spark_entry__.queries()[name](spark, SMALL)
+    got = sorted(repr(tuple(r)) for r in df.collect())
+    assert largest_staged(spark) <= 2500
+    for f in os.listdir(SMALL):
+        duckdb.execute(f"CREATE OR REPLACE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SMALL}/{f}'")
+    want = duckdb.sql(f"SELECT {', '.join(df.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    assert got == sorted(map(repr, want))
