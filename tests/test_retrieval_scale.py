@@ -70,7 +70,7 @@ def test_halves_are_rounded_as_in_sql(spark):
     assert [r[0] for r in got] == [w for w, in want]
 
 
-@pytest.mark.parametrize("name", ["r16_full_retrieval", "r18_retrieval_confidence", "r06_neighbour_expand"])
+@pytest.mark.parametrize("name", ["r16_full_retrieval", "r18_retrieval_confidence", "r06_neighbour_expand", "r17_routed_retrieval"])
 def test_queries_stage_no_row_for_each_pair(spark, name):
     """Of 8 queries and 2,469 documents, 11,476 pairs have a token in common."""
     duckdb = pytest.importorskip("duckdb")
