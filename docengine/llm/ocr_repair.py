@@ -30,8 +30,10 @@ SLOT = 2000
 ROMAN = (("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100), ("d", 500), ("m", 1000))
 
 _DIVIDED = rf"[{DIVIDES}]\s*$"
-_CODE = r"\b\p{Lu}{1,4}-\s*\d+\b"
+_CODE = r"\p{Lu}(?<=\b\p{Lu})\p{Lu}{0,3}-\s*\d+\b"
 _GLYPH = r"\p{L}0-9@!+$£€¢"
+#: What parts tokens: other signs with the dashes behind them, or dashes and other signs, as often as they follow.
+_PARTS = rf"[^{_GLYPH}ﬁﬂ\-][^{_GLYPH}ﬁﬂ]*+|(?:-++[^{_GLYPH}ﬁﬂ\-]++)++"
 _NUMBER = r"(?iU)^\W*(?:(?:page|seite|página|pagina|pág|pag|p|s|blatt|folio|feuillet)\b\.?)?\W*([0-9OoQlIi|!SsBZz]{1,4})\s*(?:(?:/|of|von|de|sur|aus)\s*[0-9OoQlIi|!SsBZz]{1,4})?\W*$"
 _DRESSED = r"(?iU)(?:page|seite|página|pagina|pág|pag|p\.|s\.|blatt|folio|feuillet|/|\bof\b|\bvon\b|\bde\b|\bsur\b|[\[(\-–—])"
 
@@ -135,10 +137,9 @@ def content_lines(scans: DataFrame, running: DataFrame) -> DataFrame:
         led.alias("led"), F.when(led, F.lit("")).otherwise(prior).alias("prior"))
 
 
-def _tokens(text: Column) -> Column:
-    low = F.lower(F.regexp_replace(text, _CODE, " "))
-    kept = F.regexp_replace(low, rf"[^{_GLYPH}ﬁﬂ\-]+", " ")
-    return F.split(F.regexp_replace(F.concat(F.lit(" "), kept, F.lit(" ")), r" -+|-++ ", " "), " +")
+def _tokens(text: Column, parts: str = _PARTS) -> Column:
+    """The lower-case words between blanks, the first and the last empty; codes are left out."""
+    return F.split(F.concat(F.lit(" "), F.lower(F.regexp_replace(text, _CODE, " ")), F.lit(" ")), parts)
 
 
 def _is_word(token: Column) -> Column:
@@ -155,11 +156,14 @@ def divided_words(lines: DataFrame) -> DataFrame:
 
 
 def word_forms(texts: DataFrame, divided: DataFrame) -> DataFrame:
-    """prev, form, n, clean: how often each form follows each other form in all pages, and how often in pages that were not scanned."""
+    """prev, form, n, clean: how often each form follows each other form in all pages, and how often in pages that were not scanned.
+
+    Forms without a small letter are left in; they are told apart once each, where the pairs have been staged.
+    """
     whole = F.regexp_replace("text", rf"(?<!\S)\S++(?<=[{DIVIDES}]) *+\n\s*+\S++", " \n ")
     words = texts.select("scanned", _tokens(whole).alias("w"))
-    pairs = words.select("scanned", F.explode(F.transform("w", lambda t, i: F.struct(F.when(i > 0, F.get("w", i - 1)).otherwise(F.lit("")).alias("prev"), t.alias("form")))).alias("x")).select("scanned", "x.prev", "x.form")
-    pairs = pairs.filter("length(form) > 1").groupBy("prev", "form").agg(F.count("*").alias("n"), F.count(F.when(~F.col("scanned"), 1)).alias("clean")).filter(_is_word(F.col("form")))
+    pairs = words.select("scanned", F.inline(F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("prev"), F.col("w").alias("form")))).toDF("scanned", "prev", "form")
+    pairs = pairs.filter("length(form) > 1").groupBy("prev", "form").agg(F.count("*").alias("n"), F.count(F.when(~F.col("scanned"), 1)).alias("clean"))
     joined = divided.select(F.lit("").alias("prev"), F.explode(F.split(F.lower(F.concat("head", "tail")), "-")).alias("form")).filter(_is_word(F.col("form")))
     return pairs.unionByName(joined.groupBy("prev", "form").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("clean")))
 
@@ -192,8 +196,8 @@ def misread_forms(pairs: DataFrame, ratio: int = 4) -> DataFrame:
 def _misread_lines(lines: DataFrame, divided: DataFrame, misread: DataFrame) -> DataFrame:
     """page_id, line_no of the lines that hold a misread word; what it means in its context is not asked."""
     forms = small_side(misread.groupBy("form").agg(F.max("default").alias("default")))
-    words = F.array_distinct(F.flatten(F.transform(_tokens(_own_text()), lambda t: F.split(t, "-"))))
-    said = lines.select("page_id", "line_no", F.explode(words).alias("form")).filter(_is_word(F.col("form"))).join(forms.select("form"), "form").select("page_id", "line_no")
+    words = F.array_distinct(_tokens(_own_text(), rf"[^{_GLYPH}ﬁﬂ]+"))  # a word's parts between hyphens
+    said = lines.select("page_id", "line_no", F.explode(words).alias("form")).join(forms.select("form"), "form").select("page_id", "line_no")
     return said.unionByName(_divided_misread(divided, forms).select("page_id", "line_no")).distinct()
 
 
@@ -283,7 +287,7 @@ def _parts(pages: DataFrame, files: DataFrame) -> tuple[DataFrame, ...]:
     running = stage(running_lines(scans, files))
     lines = stage(content_lines(scans, running))
     divided = stage(divided_words(lines))
-    pairs = stage(word_forms(texts, divided))
+    pairs = stage(word_forms(texts, divided)).filter(_is_word(F.col("form")))
     return scans, running, lines, divided, pairs
 
 

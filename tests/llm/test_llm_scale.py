@@ -2,6 +2,7 @@ import difflib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -165,3 +166,20 @@ def test_one_form_with_two_meanings_on_a_line(spark):
     numerals = {"i": 1, "iv": 4, "xc": 90, "cdxliv": 444, "mcmxcix": 1999, "mmmmcm": 4900}
     got = spark.createDataFrame([(k,) for k in numerals], "r string").select("r", ocr_repair._roman_value(F.col("r")).alias("n")).collect()
     assert {r.r: r.n for r in got} == numerals
+
+
+def test_words_of_scans_are_split_at_once_and_counted_without_lambdas(spark):
+    odd = ["", " ", "-", "a- -b", "a -- - b", "(-b) c-", "NL-6613 ab-CD-12 xNL-1 ÄB- 7", "x-\n- item", "ein­ge-\n  teilt ﬁne", "1,234 -- €5", "a-b--c- - -d", "W0rd, wörd."]
+
+    def plainly(text):
+        low = re.sub(r"\b[A-ZÄÖÜ]{1,4}-\s*\d+\b", " ", text).lower()
+        kept = re.sub(r"[^a-zäöüß0-9@!+$£€¢ﬁﬂ\-]+", " ", low)
+        return re.split(" +", re.sub(r" -+|-+ ", " ", f" {kept} "))
+
+    rows = spark.createDataFrame([(x,) for x in odd], "text string")
+    assert [r.w for r in rows.select(ocr_repair._tokens(F.col("text")).alias("w")).collect()] == [plainly(x) for x in odd]
+    said = [x for x in odd if "\n" not in x]
+    texts = spark.createDataFrame([(True, x) for x in said], "scanned boolean, text string")
+    pairs = ocr_repair.word_forms(texts, spark.createDataFrame([], "head string, tail string"))
+    assert {(r.prev, r.form): r.n for r in pairs.collect()} == Counter(p for x in said for p in zip(plainly(x), plainly(x)[1:]) if len(p[1]) > 1)
+    assert "lambda" not in pairs._jdf.queryExecution().executedPlan().toString()
